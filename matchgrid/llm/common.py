@@ -65,7 +65,7 @@ def map_text(
     """Append columns computed from one text column, slice by slice.
 
     ``setup`` runs once a task and gives a function from a list of texts to one
-    list per output. An output takes the place of an input column of its name.
+    list or Arrow array per output. An output takes the place of an input column of its name.
     """
     new = T.StructType.fromDDL(outputs)
     taken = {n.lower() for n in new.names}
@@ -77,7 +77,7 @@ def map_text(
         for batch in batches:
             for part in slices(batch, column):
                 found = call(part.column(column).to_pylist())
-                made = [pa.array(v, t) for v, t in zip(found, types, strict=True)]
+                made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in keep] + made, names)
 
     return df.mapInArrow(run, schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import line_dedup
+from matchgrid.llm import bpe, line_dedup
 
 
 def queries():
     return {
+        "op9_bpe": bpe.query,
         "op10_line_dedup": line_dedup.query,
     }
 
