@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import bpe, line_dedup
+from matchgrid.llm import bpe, decontamination, language_id, line_dedup
 
 
 def queries():
     return {
+        "op1_language_id": language_id.query,
+        "op2_decontamination": decontamination.query,
         "op9_bpe": bpe.query,
         "op10_line_dedup": line_dedup.query,
     }
