@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from matchgrid.llm.common import map_text
 
 END = 256
 SYMBOLS = 257
-#: Words and pairs that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Words (in each of two halves) and pairs that a worker remembers.
+REMEMBERED = 250_000
 
 # Fixed values of the vocabulary's rules: its word pattern, with Unicode white
 # space written out as the library reads it.
@@ -147,8 +148,9 @@ class Encoder:
             self.parts.setdefault(ab, (a, b))
             self.born.setdefault(ab, r)
         self.names, self.special = v["names"], v["special"]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.link)
+        self.pairs: dict[int, bool] = {}
+        self.words = Words(self)
 
     def border(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at the token's border (side 1: right) while it is built, and until which merge."""
@@ -160,51 +162,80 @@ class Encoder:
         return out
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = True
-            right = self.border(b, 0)
-            for x, x_until in self.border(a, 1):
-                for y, y_until in right:
-                    r = self.rank.get((x, y))
-                    # Of equal merges the one further left comes first.
-                    if r is not None and r < x_until and r <= y_until:
-                        known = False
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[a, b] = known
-        return known
+        right = self.border(b, 0)
+        for x, x_until in self.border(a, 1):
+            for y, y_until in right:
+                r = self.rank.get((x, y))
+                # Of equal merges the one further left comes first.
+                if r is not None and r < x_until and r <= y_until:
+                    return False
+        return True
+
+    def ends_at(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(size, token) of every token that ends where the automaton is in ``state``, longest first."""
+        out, at = [], state if state in self.own else self.up[state]
+        while at > 0:
+            out += self.own[at]
+            at = self.up[at]
+        self.ending[state] = found = tuple(out)
+        return found
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
-        symbols = [*word.encode(), END]
-        last: list[int] = [-1] * (len(symbols) + 1)
-        start: list[int] = [0] * (len(symbols) + 1)
-        state = size = 0
-        for end, symbol in enumerate(symbols, 1):
-            while (to := self.edges.get(state * SYMBOLS + symbol)) is None:
-                state = self.link[state]
-                size = self.length[state]
-            state, size = to, size + 1
-            at = state if state in self.own else self.up[state]
-            while at > 0 and last[end] < 0:
-                for n, token in self.own[at]:
-                    if n <= size and (n == end or last[end - n] >= 0 and self.compatible(last[end - n], token)):
-                        last[end], start[end] = token, end - n
-                        break
-                at = self.up[at]
-        out, end = [], len(symbols)
+        edges, link, length, ending, pairs = self.edges, self.link, self.length, self.ending, self.pairs
+        if len(pairs) >= REMEMBERED:
+            pairs.clear()
+        last, start = [0], [0]
+        state = size = end = 0
+        for symbol in (*word.encode(), END):
+            to = edges.get(state * SYMBOLS + symbol)
+            while to is None:
+                state = link[state]
+                size = length[state]
+                to = edges.get(state * SYMBOLS + symbol)
+            state = to
+            size += 1
+            end += 1
+            for n, token in ending[state] or self.ends_at(state):
+                if n <= size:
+                    if n < end:
+                        before = last[end - n]
+                        if before < 0:
+                            continue
+                        pair = before << 32 | token
+                        good = pairs.get(pair)
+                        if good is None:
+                            good = pairs[pair] = self.compatible(before, token)
+                        if not good:
+                            continue
+                    last.append(token)
+                    start.append(end - n)
+                    break
+            else:
+                last.append(-1)
+                start.append(0)
+        out = []
         while end:
             out.append(last[end])
             end = start[end]
         return out[::-1]
 
-    def packed(self, word: str) -> bytes:
-        ids = self.words.get(word)
+
+class Words(dict):
+    """The packed ids of words seen lately: a full half takes the place of the older one."""
+
+    def __init__(self, coder: Encoder):
+        super().__init__()
+        self.coder, self.older = coder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
         if ids is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            ids = self.words[word] = np.array(self.word(word), np.int32).tobytes()
+            ids = array("i", self.coder.word(word)).tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -224,8 +255,11 @@ def encoder_of(kept) -> Encoder:
     return v["kept"]["encoder"]
 
 
-def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (array of int): the token ids of the whole text."""
+def encode(df: DataFrame, path: str, column: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` with ``ids`` (array of int): the token ids of the whole text.
+
+    With ``decoded`` the ids are decoded again in the same pass, into ``decoded``.
+    """
     kept = df.sparkSession.sparkContext.broadcast(load(path))
 
     def setup():
@@ -233,37 +267,37 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
 
         coder = encoder_of(kept)
         find = regex.compile(WORDS).findall
+        packed = coder.words.__getitem__
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(coder.special, key=len, reverse=True))) + ")").split
 
         def ids_of(text: str) -> bytes:
             parts = cut(text) if any(s in text for s in coder.special) else [text]
-            return b"".join(np.int32(coder.special[p]).tobytes() if p in coder.special else b"".join(map(coder.packed, find(lower(p)))) for p in parts)
+            return b"".join(np.int32(coder.special[p]).tobytes() if p in coder.special else b"".join(map(packed, find(lower(p)))) for p in parts)
 
         def call(texts):
-            packed = [ids_of(t) if t else b"" for t in texts]
-            ends = np.cumsum([0] + [len(p) // 4 for p in packed])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+            each = [ids_of(t) if t else b"" for t in texts]
+            ends = np.cumsum([0] + [len(p) // 4 for p in each])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
+            return [ids, [joined(coder.names, p) for p in each]] if decoded else [ids]
 
         return call
 
-    return map_text(df, column, "ids array<int>", setup)
+    return map_text(df, column, "ids array<int>, decoded string" if decoded else "ids array<int>", setup)
 
 
-def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """``df`` with ``decoded``: the token strings of ``ids`` joined by one space.
+def joined(names: list[str], packed: bytes) -> str:
+    """Token strings joined by one space: the vocabulary names no decoder, and this is what the library then does."""
+    return " ".join(map(names.__getitem__, memoryview(packed).cast("i")))
 
-    The vocabulary names no decoder, and this is what the library then does.
-    """
+
+def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
+    """``df`` with ``decoded``, the text of ``ids``."""
     kept = df.sparkSession.sparkContext.broadcast(load(path)["names"])
     keep = [f for f in df.schema.fields if f.name.lower() != "decoded"]
 
     def run(batches):
-        name = kept.value.__getitem__
         for batch in batches:
-            ids = batch.column(column)
-            ends = np.cumsum([0] + pa.compute.list_value_length(ids).fill_null(0).to_pylist()).tolist()
-            every = list(map(name, ids.flatten().to_pylist()))
-            texts = [" ".join(every[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            texts = [joined(kept.value, array("i", ids.as_py() or []).tobytes()) for ids in batch.column(column)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())], [*(f.name for f in keep), "decoded"])
 
     return df.mapInArrow(run, T.StructType([*keep, T.StructField("decoded", T.StringType())]))
@@ -271,11 +305,10 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every row's text."""
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    both = decode(encode(df, path).drop("text"), path)
+    both = encode(df, path, decoded=True).drop("text")
     return both.select(
         *(c for c in both.columns if c not in ("ids", "decoded")),
-        F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

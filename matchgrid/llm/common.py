@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Text bytes that one Arrow slice hands to a Python function, so that a batch
 #: of very long documents never stands in memory as Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
