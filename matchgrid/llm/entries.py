@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import bpe, decontamination, language_id, line_dedup
+from matchgrid.llm import bpe, decontamination, language_id, line_dedup, near_dedup
 
 
 def queries():
     return {
         "op1_language_id": language_id.query,
         "op2_decontamination": decontamination.query,
+        "op5_near_dedup": near_dedup.query,
         "op9_bpe": bpe.query,
         "op10_line_dedup": line_dedup.query,
     }
