@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import bpe, decontamination, language_id, line_dedup, near_dedup
+from matchgrid.llm import bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, url_filters
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_language_id": language_id.query,
         "op2_decontamination": decontamination.query,
         "op5_near_dedup": near_dedup.query,
+        "op7_url_filters": url_filters.query,
+        "op8_chat_format": chat_format.query,
         "op9_bpe": bpe.query,
         "op10_line_dedup": line_dedup.query,
     }
@@ -17,5 +19,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op7_url_filters": url_filters.ORACLE,
+        "op8_chat_format": chat_format.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
