@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, pii, quality_rules, url_filters
+from matchgrid.llm import bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, pii, quality_rules, url_filters, warc
 
 
 def queries():
     return {
         "op1_language_id": language_id.query,
         "op2_decontamination": decontamination.query,
+        "op3_warc": warc.query,
         "op4_pii": pii.query,
         "op5_near_dedup": near_dedup.query,
         "op6_quality_rules": quality_rules.query,
@@ -21,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_warc": warc.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
         "op7_url_filters": url_filters.ORACLE,
         "op8_chat_format": chat_format.ORACLE,
