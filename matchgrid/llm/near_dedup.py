@@ -8,10 +8,14 @@ vertex, so exact copies never meet as pairs.
 Vertices that share a band are candidates. The XOR population count of two odd
 sketches estimates their similarity; a candidate goes on if the count is at
 most what sets of similarity ``similarity - 0.15`` are expected to show, which
-is more than four standard errors below the threshold. What is left is
-confirmed on the full shingle sets. Two rounds keep this linear in large groups:
-
-1. Each vertex is confirmed against the closest of its bands' leaders.
+is more than four standard errors below the threshold. In hot bands the private
+shingles of each vertex (in no other vertex of a hot band) are counted: they
+bound the intersection from above, so a pair that cannot reach the threshold
+goes no further. What is left is confirmed on the full shingle sets. Two rounds
+keep this small in large groups:
+
+1. Each vertex is confirmed against the closest few of its bands' leaders, which
+   are the vertices with the least share of private shingles.
 2. Components are contracted. In bands that still hold several components, every
    vertex outside the band's largest one is compared with all vertices of other
    components, so no link between components is lost, whatever the group's size.
@@ -35,6 +39,10 @@ from matchgrid.llm import shingles as S
 from matchgrid.llm.common import map_text, slices, stored
 from matchgrid.llm.components import components
 
+#: A band with more vertices than this is hot: private shingles are counted in it.
+HOT = 64
+#: Leaders that a vertex is confirmed against.
+LEADERS = 3
 SKETCH = ["s1", "s2", "s3", "s4"]
 SIGNED = "n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
@@ -68,40 +76,82 @@ def distance(other: str = "") -> F.Column:
     return sum((F.bit_count(F.col(s).bitwiseXOR(F.col(other + s))) for s in SKETCH), F.lit(0))
 
 
-def may_reach(similarity: float, other: str) -> F.Column:
-    """Set sizes and sketches allow the similarity."""
+def may_reach(percent: int, other: str) -> F.Column:
+    """Set sizes, shingles of no other vertex of the band and sketches allow the similarity."""
     n, m = F.col("n_shingles"), F.col(f"{other}n_shingles")
-    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (distance(other) <= S.farthest(similarity - 0.15))
+    most = F.least(n - F.col("private"), m - F.col(f"{other}private"))
+    return ((100 + percent) * most >= percent * (n + m)) & (distance(other) <= S.farthest(percent / 100 - 0.15))
 
 
 def shared_bands(vertices: DataFrame) -> DataFrame:
-    """(band, set_key, n_shingles, sketch) of bands that several vertices share."""
-    every = vertices.select("set_key", F.explode("bands").alias("band"))
-    several = every.groupBy("band").count().filter("count > 1").select("band")
-    return every.join(several, "band").join(vertices.select("set_key", "n_shingles", *SKETCH), "set_key")
+    """(band, place, hot, set_key) of bands that several vertices share; hot if more than HOT do."""
+    every = vertices.select("set_key", F.posexplode("bands").alias("place", "band"))
+    several = every.groupBy("band").count().filter("count > 1").select("band", (F.col("count") > HOT).alias("hot"))
+    return every.join(several, "band")
+
+
+def private_counts(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """(set_key, found): the shingles of each vertex of hot bands that no other such vertex has."""
+    hot = bands.filter("hot").select("set_key").distinct()
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                keys = np.frombuffer(b"".join(part.column("set_key").to_pylist()), np.int64).reshape(-1, 2)
+                sets = S.shingle_sets(part.column("text").to_pylist())
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                every = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(keys[owner, 0]), pa.array(keys[owner, 1])], ["shingle", "k1", "k2"])
+
+    each = texts.join(hot, "set_key", "left_semi").select("set_key", "text").mapInArrow(run, "shingle long, k1 long, k2 long")
+    # Of a single row the exclusive or is the row's own key.
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2")).filter("n = 1")
+    counts = alone.groupBy("k1", "k2").agg(F.count("*").alias("found"))
+    split = hot.select("set_key", *(little_endian(F.substr("set_key", F.lit(i), F.lit(8))).alias(k) for i, k in ((1, "k1"), (9, "k2"))))
+    return split.join(counts, ["k1", "k2"]).select("set_key", "found")
+
+
+def little_endian(eight_bytes: F.Column) -> F.Column:
+    """Eight bytes as the signed number that numpy reads from them."""
+    pairs = F.transform(F.sequence(F.lit(15), F.lit(1), F.lit(-2)), lambda i: F.substr(F.hex(eight_bytes), i, F.lit(2)))
+    digits = F.array_join(pairs, "")
+    high = F.conv(F.substr(digits, F.lit(1), F.lit(8)), 16, 10).cast("long")
+    low = F.conv(F.substr(digits, F.lit(9), F.lit(8)), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def closest_leaders(bands: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each vertex with the LEADERS nearest of its bands' leaders.
+
+    A band's leader is the vertex with the least share of private shingles.
+    """
+    order = F.struct((F.col("private") / F.col("n_shingles")).alias("share"), F.xxhash64("set_key", "band").alias("h"))
+    leader = bands.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n_shingles", "private", *SKETCH)).alias("l"))
+    leader = leader.select("band", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("set_key", "n_shingles", "private", *SKETCH)))
+    near = bands.join(leader, "band").filter((F.col("set_key") != F.col("l_set_key")) & may_reach(percent, "l_"))
+    # At most one leader a band, so the set is bounded.
+    each = near.groupBy("set_key").agg(F.collect_set(F.struct(distance("l_").alias("d"), "l_set_key")).alias("ls"))
+    best = each.select(F.col("set_key").alias("a"), F.explode(F.slice(F.array_sort("ls"), 1, LEADERS)).alias("l"))
+    return best.select("a", F.col("l.l_set_key").alias("b"))
 
-def closest_leaders(bands: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each vertex with the nearest of its bands' leaders."""
-    order = F.xxhash64("set_key", "band")
-    leader = bands.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n_shingles", *SKETCH)).alias("l"))
-    leader = leader.select("band", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("set_key", "n_shingles", *SKETCH)))
-    near = bands.join(leader, "band").filter((F.col("set_key") != F.col("l_set_key")) & may_reach(similarity, "l_"))
-    best = near.groupBy("set_key").agg(F.min(F.struct(distance("l_").alias("d"), "l_set_key")).alias("best"))
-    return best.select(F.col("set_key").alias("a"), F.col("best.l_set_key").alias("b"))
 
+def outsiders(bands: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidates of different components, each pair once, in the first band that it shares.
 
-def outsiders(bands: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): candidates of different components, a outside its band's largest component."""
+    Of two vertices of different components at least one is outside their band's largest one.
+    """
     rooted = bands.join(labels.withColumnRenamed("v", "set_key"), "set_key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set_key"))
     sizes = rooted.groupBy("band", "root").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     main = main.filter("roots > 1").select("band", F.col("main.root").alias("main"))
-    mixed = rooted.join(main, "band")
-    other = mixed.select("band", *(F.col(c).alias(f"o_{c}") for c in ("set_key", "root", "n_shingles", *SKETCH)))
-    found = mixed.filter("root != main").join(other, "band").filter((F.col("root") != F.col("o_root")) & may_reach(similarity, "o_"))
-    return found.select(F.least("set_key", "o_set_key").alias("a"), F.greatest("set_key", "o_set_key").alias("b")).distinct()
+    mixed = rooted.join(main, "band").join(vertices.select("set_key", "bands"), "set_key")
+    fields = ("set_key", "root", "n_shingles", "private", "bands", *SKETCH)
+    other = mixed.select("band", *(F.col(c).alias(f"o_{c}") for c in fields))
+    once = (F.col("o_root") == F.col("main")) | (F.col("set_key") < F.col("o_set_key"))
+    before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("o_bands", F.lit(1), F.col("place")))
+    wanted = (F.col("root") != F.col("o_root")) & once & may_reach(percent, "o_") & ~before
+    return mixed.filter("root != main").join(other, "band").filter(wanted).select(F.col("set_key").alias("a"), F.col("o_set_key").alias("b"))
 
 
 def texts_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame:
@@ -144,23 +194,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text)."""
-    similarity = percent / 100
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs), "signatures")
     with_words = signed.filter("set_key is not null")
     vertices = with_words.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)))
     vertices = stored(vertices, "vertices")
-    bands = stored(shared_bands(vertices), "bands")
-    texts = stored(texts_of(docs, vertices, bands.select("set_key").distinct()), "texts")
+    places = stored(shared_bands(vertices), "bands")
+    texts = stored(texts_of(docs, vertices, places.select("set_key").distinct()), "texts")
+    private = stored(private_counts(texts, places), "private")
+    bands = places.join(vertices.select("set_key", "n_shingles", *SKETCH), "set_key").join(private, "set_key", "left")
+    bands = stored(bands.withColumn("private", F.when(F.col("hot"), F.coalesce("found", F.lit(0))).otherwise(0)).drop("found"), "bands")
 
-    links = stored(confirmed(closest_leaders(bands, similarity), texts, percent), "links")
+    links = stored(confirmed(closest_leaders(bands, percent), texts, percent), "links")
     labels = components(links, "a", "b")
-    more = stored(confirmed(outsiders(bands, labels, similarity), texts, percent), "links")
-    contracted = more
+    contracted = confirmed(outsiders(bands, vertices, labels, percent), texts, percent)
     for side in ("a", "b"):
         contracted = contracted.join(labels.select(F.col("v").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         contracted = contracted.withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    merged = components(contracted, "a_root", "b_root")
+    merged = components(stored(contracted, "links"), "a_root", "b_root")
 
     first = vertices.select("set_key", "doc_id").join(labels.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     last = first.join(merged.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
