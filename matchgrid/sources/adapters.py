@@ -25,16 +25,20 @@ def _long(c: Column) -> Column:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box per event: 20 detections a frame, two frames a second."""
-    e = scan(spark, sf_dir, "events")
+    return detections_of(scan(spark, sf_dir, "events"))
+
+
+def detections_of(e: DataFrame, *more: str) -> DataFrame:
+    """The boxes of a batch or stream of events, with ``more`` of its columns."""
     c, i = _long(F.round(F.col("value") * 100)), F.col("event_id")
     hint = F.when(F.col("event_type").isin("click", "view"), "A").when(F.col("event_type").isin("purchase", "signup"), "B").otherwise("")
     base = e.select(
-        i, F.expr("cast(event_id div 20 as int)").alias("frame"), (i % PER_FRAME).cast("int").alias("detection_id"),
+        *more, i, F.expr("cast(event_id div 20 as int)").alias("frame"), (i % PER_FRAME).cast("int").alias("detection_id"),
         (F.col("user_id") % PLAYERS).cast("int").alias("player_id"), ((7 * c + 13 * i) % 1900).alias("_x"), (760 + (11 * c + 29 * i) % 130).alias("_y"),
         (F.get_json_object("props", "$.k").cast("int") / 100.0).alias("confidence"), hint.alias("team_hint"),
     )
     boxes = base.select(
-        "event_id", "frame", "detection_id", "player_id", (F.col("frame") / 2.0).alias("time"), F.col("_x").cast("double").alias("x1"), F.col("_y").cast("double").alias("y1"),
+        *more, "event_id", "frame", "detection_id", "player_id", (F.col("frame") / 2.0).alias("time"), F.col("_x").cast("double").alias("x1"), F.col("_y").cast("double").alias("y1"),
         (F.col("_x") + 8 + F.col("event_id") % 17).cast("double").alias("x2"), (F.col("_y") + 20 + (3 * F.col("event_id")) % 25).cast("double").alias("y2"), "confidence", "team_hint",
     )
     fx, fy = G.foot(F.col("x1"), F.col("x2"), F.col("y2"))
