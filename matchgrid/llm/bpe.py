@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchgrid.llm.common import map_text
+from matchgrid.llm.common import map_text, tidy
 
 END = 256
 SYMBOLS = 257
 #: Words (in each of two halves) and pairs that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 # Fixed values of the vocabulary's rules: its word pattern, with Unicode white
 # space written out as the library reads it.
@@ -300,7 +300,7 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
             texts = [joined(kept.value, array("i", ids.as_py() or []).tobytes()) for ids in batch.column(column)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())], [*(f.name for f in keep), "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*keep, T.StructField("decoded", T.StringType())]))
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

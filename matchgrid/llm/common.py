@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Text bytes that one Arrow slice hands to a Python function, so that a batch
 #: of very long documents never stands in memory as Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,7 +80,31 @@ def map_text(
                 made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in keep] + made, names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` with its memory handed back at the task's end: Python workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
+def released() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def arrow_types(schema: T.StructType) -> list[pa.DataType]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from matchgrid.llm.common import map_text
 
 PER_LANG = 32
-LETTERS = 40_000
+LETTERS = 24_000
 #: Letters beyond this many most frequent ones share one class.
 ALPHABET = 250
 BLOCK = 256

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text, slices, stored
+from matchgrid.llm.common import map_text, slices, stored, tidy
 from matchgrid.llm.mph import Shard, build
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -69,7 +69,7 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                     ["hi", "lo", "docs"],
                 )
 
-    counted = docs.select("text").mapInArrow(run, "hi long, lo long, docs long")
+    counted = docs.select("text").mapInArrow(tidy(run), "hi long, lo long, docs long")
     return counted.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
 
 
@@ -161,8 +161,8 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hits, pa.binary())], ["text_key", "hits"])
 
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("probes"), "sizes", "bits", "fingerprints", "counts")
-    both = copies.unionByName(docs.select("text").mapInArrow(probes, probe_schema))
-    hits = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "text_key binary, hits binary")
+    both = copies.unionByName(docs.select("text").mapInArrow(tidy(probes), probe_schema))
+    hits = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(tidy(answer), "text_key binary, hits binary")
     hits = hits.distinct().groupBy("text_key").agg(F.collect_list("hits").alias("line_hits"))
     keyed = map_text(docs.withColumn("line_text", F.col("text")), "text", "text_key binary", lambda: lambda texts: [[xxhash.xxh3_128_digest((t or "").encode()) for t in texts]])
     joined = keyed.join(hits, "text_key", "left").drop("text_key", "line_text")
@@ -180,7 +180,7 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
 
     keep = [c for c in joined.columns if c.lower() not in ("text", "n_lines", "n_dropped", "line_hits")]
     kept = joined.select(*keep, "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    return joined.mapInArrow(finish, kept)
+    return joined.mapInArrow(tidy(finish), kept)
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 64 << 20) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.llm import shingles as S
-from matchgrid.llm.common import map_text, slices, stored
+from matchgrid.llm.common import map_text, slices, stored, tidy
 from matchgrid.llm.components import components
 
 #: A band with more vertices than this is hot: private shingles are counted in it.
@@ -103,7 +103,7 @@ def private_counts(texts: DataFrame, bands: DataFrame) -> DataFrame:
                 every = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(keys[owner, 0]), pa.array(keys[owner, 1])], ["shingle", "k1", "k2"])
 
-    each = texts.join(hot, "set_key", "left_semi").select("set_key", "text").mapInArrow(run, "shingle long, k1 long, k2 long")
+    each = texts.join(hot, "set_key", "left_semi").select("set_key", "text").mapInArrow(tidy(run), "shingle long, k1 long, k2 long")
     # Of a single row the exclusive or is the row's own key.
     alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2")).filter("n = 1")
     counts = alone.groupBy("k1", "k2").agg(F.count("*").alias("found"))
@@ -169,7 +169,7 @@ def texts_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame
                 good = [k == w for k, w in zip(keys, part.column("set_key").to_pylist(), strict=True)]
                 yield part.filter(pa.array(good))
 
-    return found.mapInArrow(check, "set_key binary, text string").dropDuplicates(["set_key"])
+    return found.mapInArrow(tidy(check), "set_key binary, text string").dropDuplicates(["set_key"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     good.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:

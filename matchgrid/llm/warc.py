@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import shared_dir, slices
+from matchgrid.llm.common import shared_dir, slices, tidy
 
 LEAST_REVISIT = 100
 PER_FILE = 2000
@@ -89,7 +89,7 @@ def write(pages: DataFrame, path: str) -> None:
                 made = [member(i, u, p.encode(), d, t, r) for i, u, p, d, t, r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
 
-    records = typed(pages).mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+    records = typed(pages).mapInArrow(tidy(run), "member binary").select(F.col("member").cast("string").alias("value"))
     sink = records.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
     sink.option("maxRecordsPerFile", PER_FILE).text(path)
 
@@ -172,7 +172,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
