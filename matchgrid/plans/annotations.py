@@ -142,3 +142,62 @@ def region_areas(spark, d):
 SELECT event_id, round(abs(degrees(atan2(37.66 - y_pitch, 105 - x_pitch) - atan2(30.34 - y_pitch, 105 - x_pitch))), 4) AS angle FROM track""", "track")
 def visible_angle(spark, d):
     return A.tracks(spark, d).select("event_id", F.round(N.visible_angle(F.col("x_pitch"), F.col("y_pitch"), 105.0, 30.34, 37.66), 4).alias("angle"))
+
+
+@query("a01_csv_scan", "SELECT event_id, frame, x1, confidence, team_hint FROM det WHERE frame < 100", "det")
+def csv_scan(spark, d):
+    """Rows written as CSV text and parsed with a declared schema; a blank cell is null."""
+    rows = A.detections(spark, d).filter("frame < 100").select("event_id", "frame", "x1", "confidence", "team_hint")
+    text = rows.select(F.to_csv(F.struct(*rows.columns)).alias("line"))
+    parsed = text.select(F.from_csv("line", "event_id long, frame int, x1 double, confidence double, team_hint string").alias("r")).select("r.*")
+    return parsed.withColumn("team_hint", F.coalesce("team_hint", F.lit("")))
+
+
+@query("b04_prompt_lines", """
+SELECT player_id, '{"rank":' || player_id || ',"metrics":{"n":' || count(*) || ',"last":' || max(frame) || '}}' AS line FROM track GROUP BY player_id""", "track")
+def prompt_lines(spark, d):
+    counts = A.tracks(spark, d).groupBy("player_id").agg(F.count("*").alias("n"), F.max("frame").alias("last"))
+    return counts.select("player_id", F.to_json(F.struct(F.col("player_id").alias("rank"), F.struct("n", "last").alias("metrics"))).alias("line"))
+
+
+@query("b10_movement_bars", "SELECT player_id, count(*) AS n FROM track GROUP BY player_id HAVING count(*) >= 10 ORDER BY n DESC, player_id LIMIT 12", "track")
+def movement_bars(spark, d):
+    counts = A.tracks(spark, d).groupBy("player_id").agg(F.count("*").alias("n")).filter("n >= 10")
+    return counts.orderBy(F.desc("n"), "player_id").limit(12)
+
+
+@query("p30_lerp", "SELECT event_id, round(x1 + (x2 - x1) * ((event_id % 8) / 8.0::DOUBLE), 6) AS x FROM det", "det")
+def lerp(spark, d):
+    from matchgrid.functions import geometry as G
+
+    return A.detections(spark, d).select("event_id", F.round(G.lerp(F.col("x1"), F.col("x2"), F.col("event_id") % 8 / 8.0), 6).alias("x"))
+
+
+@query("f05_key_values", "SELECT event_id, split_part(s, '=', 1) AS k, split_part(s, '=', 2) AS v FROM (SELECT event_id, event_type || '=' || user_id AS s FROM events)")
+def key_values(spark, d):
+    s = F.concat("event_type", F.lit("="), F.col("user_id").cast("string"))
+    return A.scan(spark, d, "events").select("event_id", F.split_part(s, F.lit("="), F.lit(1)).alias("k"), F.split_part(s, F.lit("="), F.lit(2)).alias("v"))
+
+
+@query("f13_counter", """
+SELECT frame, arg_min(event_type, struct_pack(a := -n, b := event_type)) AS top, max(n) AS n FROM (SELECT event_id // 20 AS frame, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY frame""")
+def counter(spark, d):
+    counts = A.scan(spark, d, "events").groupBy(F.expr("event_id div 20").alias("frame"), "event_type").agg(F.count("*").alias("n"))
+    return counts.groupBy("frame").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("top"), F.max("n").alias("n"))
+
+
+@query("f16_optional_column", "SELECT count(*) AS n FROM det", "det")
+def optional_column(spark, d):
+    """Without an in_pitch column every row counts."""
+    return ingest.analysed(A.detections(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("k12_learned_threshold", """
+WITH v AS (SELECT q[3] AS v, team = 1 AS p FROM features WHERE vec_id % 2 = 0), t AS (SELECT DISTINCT v AS th FROM v),
+f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) GROUP BY th, high)
+SELECT th AS threshold, high AS high_is_positive, round(ok / n, 6) AS accuracy FROM f ORDER BY ok DESC, high DESC, th LIMIT 1""", "features")
+def learned_threshold(spark, d):
+    """Learns from annotated rows only, and only with enough of both teams."""
+    rows = A.features(spark, d).filter("vec_id % 2 = 0").select(F.get("q", F.lit(2)).alias("v"), "team")
+    n = rows.agg(F.count("*").alias("n"), F.count_distinct("team").alias("t")).first()
+    return models.accuracy_threshold(rows if n.n >= 12 and n.t == 2 else rows.limit(0), "v", F.col("team") == 1)

@@ -42,3 +42,19 @@ def windowed_counts(spark, d):
 @query("x04_presence_sessions")
 def presence_sessions(spark, d):
     return drained(spark, live.presence_sessions(stream(spark, d, ["ts", "player_id"])))
+
+
+@query("x03_live_ema", """
+WITH RECURSIVE o AS (SELECT player_id, frame, x, row_number() OVER (PARTITION BY player_id ORDER BY frame) AS i FROM (SELECT player_id, frame, min(foot_x) AS x FROM det WHERE detection_id = (player_id % 20) GROUP BY ALL)),
+e AS (SELECT player_id, frame, x, i FROM o WHERE i = 1 UNION ALL SELECT o.player_id, o.frame, 0.5 * o.x + 0.5 * e.x, o.i FROM e JOIN o ON o.player_id = e.player_id AND o.i = e.i + 1)
+SELECT player_id, frame, round(x, 4) AS x FROM e""", "det")
+def live_ema(spark, d):
+    rows = stream(spark, d, ["player_id", "frame", "detection_id", F.col("foot_x").alias("x")]).filter("detection_id = player_id % 20")
+    return drained(spark, live.live_ema(rows)).select("player_id", "frame", F.round("x", 4).alias("x"))
+
+
+@query("x06_reseed_windows", "SELECT (frame // 8)::BIGINT AS seed, count(*) AS n, count(DISTINCT frame) AS frames FROM det GROUP BY ALL", "det")
+def reseed_windows(spark, d):
+    """Blocks of eight frames, each of which starts tracking anew."""
+    rows = stream(spark, d, ["frame"]).groupBy(F.floor(F.col("frame") / 8).alias("seed")).agg(F.count("*").alias("n"), F.size(F.collect_set("frame")).cast("long").alias("frames"))
+    return drained(spark, rows, "complete")

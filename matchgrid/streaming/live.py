@@ -58,3 +58,23 @@ def presence_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
         events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "player_id")
         .agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "player_id", "n")
     )
+
+
+def live_ema(points: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """Exponential smoothing of each player's position over a stream; the state is the last value."""
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frame, value = state.get if state.exists else (-1, None)
+        rows = pd.concat(list(parts)).sort_values("frame", kind="stable")
+        out = []
+        for f, x in zip(rows.frame, rows.x, strict=True):
+            if f > frame:  # older ones are late
+                value = x if value is None else alpha * x + (1 - alpha) * value
+                frame = int(f)
+                out.append((key[0], frame, value))
+        if out:
+            state.update((frame, float(value)))
+        yield pd.DataFrame(out, columns=["player_id", "frame", "x"])
+
+    rows = points.select("player_id", "frame", "x")
+    return rows.groupBy("player_id").applyInPandasWithState(update, "player_id int, frame int, x double", "frame int, x double", "append", GroupStateTimeout.NoTimeout)
