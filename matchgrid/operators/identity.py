@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.components import components as contracted
+
 
 def relabel(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, new_id): 1.. by descending number of rows, of equals the one seen first.
@@ -37,32 +39,10 @@ def split_teams(rows: DataFrame, full: int, half: int) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, root): every vertex of the edges with the least vertex of its component.
-
-    Least labels spread along edges; each round also follows the label of the
-    label, so chains shorten by half. Every round is cut by a reliable checkpoint.
-    """
-    checkpointed(edges)
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).checkpoint()
-    while True:
-        near = both.join(labels.withColumnRenamed("u", "v").withColumnRenamed("root", "r"), "v").groupBy("u").agg(F.min("r").alias("r"))
-        spread = labels.join(near, "u").select("u", F.least("root", "r").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("u").alias("root"), F.col("root").alias("far"))
-        new = spread.join(jump, "root", "left").select("u", F.least("root", "far").alias("root"), "old").checkpoint()
-        changed = new.filter("root <> old").limit(1).count()
-        labels = new.select("u", "root")
-        if not changed:
-            return labels.withColumnRenamed("u", "v")
-
-
-def checkpointed(df: DataFrame) -> None:
-    """Set a checkpoint folder where the session has none (tests)."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchgrid-"))
+    """(v, root): every vertex of the edges with the least vertex of its component."""
+    found = contracted(edges, a, b)
+    alone = edges.select(F.explode(F.array(a, b)).alias("v")).distinct().join(found, "v", "left_anti")
+    return found.unionByName(alone.select("v", F.col("v").alias("root")))
 
 
 def decision_edges(decisions: DataFrame) -> DataFrame:
