@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text, slices, stored, tidy
+from matchgrid.llm.common import map_text, slices, stored, tidy, tidy
 from matchgrid.llm.mph import Shard, build
 
 WHITE = b" \t\n\x0b\x0c\r"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import shared_dir, slices, tidy
+from matchgrid.llm.common import shared_dir, slices, tidy, tidy
 
 LEAST_REVISIT = 100
 PER_FILE = 2000
