@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text, slices, stored, tidy, tidy
+from matchgrid.llm.common import map_text, slices, tidy
 from matchgrid.llm.mph import Shard, build
+from matchgrid.sources.store import stored
 
 WHITE = b" \t\n\x0b\x0c\r"
 SHARD_SCHEMA = "shard int, sizes array<int>, bits binary, fingerprints binary, counts binary"

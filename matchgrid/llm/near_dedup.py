@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.llm import shingles as S
-from matchgrid.llm.common import map_text, slices, stored, tidy, tidy
-from matchgrid.llm.components import components
+from matchgrid.llm.common import map_text, slices, tidy
+from matchgrid.operators.components import components
+from matchgrid.sources.store import stored
 
 #: A band with more vertices than this is hot: private shingles are counted in it.
 HOT = 64

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import shared_dir, slices, tidy, tidy
+from matchgrid.llm.common import slices, tidy
+from matchgrid.sources.store import shared_dir
 
 LEAST_REVISIT = 100
 PER_FILE = 2000
