@@ -23,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op3_warc": warc.ORACLE,
+        "op5_near_dedup": near_dedup.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
         "op7_url_filters": url_filters.ORACLE,
         "op8_chat_format": chat_format.ORACLE,

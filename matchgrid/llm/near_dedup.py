@@ -226,3 +226,21 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the near-duplicate component of every document."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Components over all pairs that share a shingle, compared as sets of word sequences.
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS s FROM split),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM sets UNION SELECT y, r FROM reach JOIN links ON d = x),
+named AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN named ON doc_id = d
+"""
