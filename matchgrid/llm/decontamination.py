@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text
+from matchgrid.llm.common import map_text, unused
 from matchgrid.sources.store import stored
 
 ERROR_RATE = 0.08
@@ -171,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     out = docs
     for i, block in enumerate(blocks):
         items = [(r.item_id, r.text) for r in block.collect()]
-        before = f"bench_hits_{i}"
+        before = unused(out, "bench_hits_before")
         if i:
             out = out.withColumnRenamed("bench_hits", before)
         out = matches(out, items, error_rate)

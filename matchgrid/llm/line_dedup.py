@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text, slices, tidy
+from matchgrid.llm.common import map_text, slices, tidy, unused
 from matchgrid.llm.mph import Shard, build
 from matchgrid.sources.store import stored
 
@@ -164,22 +164,23 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("probes"), "sizes", "bits", "fingerprints", "counts")
     both = copies.unionByName(docs.select("text").mapInArrow(tidy(probes), probe_schema))
     hits = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(tidy(answer), "text_key binary, hits binary")
-    hits = hits.distinct().groupBy("text_key").agg(F.collect_list("hits").alias("line_hits"))
-    keyed = map_text(docs.withColumn("line_text", F.col("text")), "text", "text_key binary", lambda: lambda texts: [[xxhash.xxh3_128_digest((t or "").encode()) for t in texts]])
-    joined = keyed.join(hits, "text_key", "left").drop("text_key", "line_text")
+    text_key, line_hits = unused(docs, "text_key"), unused(docs, "line_hits")
+    hits = hits.distinct().groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list("hits").alias(line_hits))
+    keyed = map_text(docs, "text", f"{text_key} binary", lambda: lambda texts: [[xxhash.xxh3_128_digest((t or "").encode()) for t in texts]])
+    joined = keyed.join(hits, text_key, "left").drop(text_key)
 
     def finish(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 made = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("line_hits").to_pylist(), strict=True):
+                for text, found in zip(part.column("text").to_pylist(), part.column(line_hits).to_pylist(), strict=True):
                     joined_hits = b"".join(found or [])
                     gone = {joined_hits[i : i + 16] for i in range(0, len(joined_hits), 16)}
                     made.append(without(text, keys_of(text, min_chars), gone))
                 new = [pa.array(c, t) for c, t in zip(list(zip(*made, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + new, [*keep, "text", "n_lines", "n_dropped"])
 
-    keep = [c for c in joined.columns if c.lower() not in ("text", "n_lines", "n_dropped", "line_hits")]
+    keep = [c for c in joined.columns if c.lower() not in ("text", "n_lines", "n_dropped", line_hits.lower())]
     kept = joined.select(*keep, "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     return joined.mapInArrow(tidy(finish), kept)
 

@@ -147,7 +147,8 @@ def find(docs: DataFrame) -> DataFrame:
     tests = {"email": lambda m: F.lit(True), "ip": is_ip, "card": is_card, "phone": is_phone}
     hints = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.rlike(r"\+[0-9]")}
     keep = [c for c in docs.columns if c.lower() not in ("base_spans", "all_spans")]
-    df = docs.select(*keep).withColumn("text", F.coalesce("text", F.lit("")))
+    # The row's own columns stay together, apart from the working columns.
+    df = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     for kind, pattern in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.items():
         df = located(df, kind, pattern, hints[kind])
         df = df.withColumn(f"_{kind}", named(passing(f"_{kind}", tests[kind]), kind))
@@ -158,7 +159,8 @@ def find(docs: DataFrame) -> DataFrame:
     iban = F.filter("_iban", lambda s: mod_97(s["match"]) & (scored(s, 0.75, IBAN_WORDS, 0.2) >= LEAST_SCORE) & free(s))
     local = F.filter("_local", lambda s: F.length(digits(s["match"])).between(7, 15) & (scored(s, 0.4, PHONE_WORDS, 0.4) >= LEAST_SCORE) & free(s))
     df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", named(iban, "iban"), named(local, "phone_local"))))
-    return df.drop("_iban", "_local")
+    own = [F.col("text") if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in keep]
+    return df.select(*own, "base_spans", "all_spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

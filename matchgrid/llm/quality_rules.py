@@ -13,7 +13,7 @@ probability 1 - ERROR all strata keep all but RISK of their good documents.
 A window of five words found twice or more in a text makes its words repeated.
 Windows are compared by hash and only texts that repeat one are sorted.
 
-Null text has no words and fails. A null lang is a stratum of its own. Labels
+Null text has no words and fails. Null and empty lang are one stratum. Labels
 are matched by doc_id; repeated rows of either table count each. Empty tables
 give an empty result. Extra columns are not read.
 """
@@ -104,7 +104,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: f
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts of ``docs`` (doc_id, text, lang) with base_failed and kept."""
-    found = measured(stored(counts(docs), "quality-counts"))
+    found = measured(stored(counts(docs.select("doc_id", "text", "lang")), "quality-counts"))
     chosen = cutoffs(found, labels)
     over = F.lit(False)
     for m in MEASURES:

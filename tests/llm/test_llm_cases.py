@@ -314,6 +314,48 @@ def test_line_dedup_cases(spark, limit):
     assert line_dedup.drop_common_lines(df.limit(0), broadcast_bytes=limit).count() == 0
 
 
+# all
+
+
+OWN = ["_row", "_m", "_n", "_email", "_iban", "_words", "_lines", "_at", "bench_hits_before", "bench_hits", "text_key", "line_hits", "hits", "lang_pred", "score", "n_lines", "stratum", "symbols", "kept_id", "times", "row"]
+
+
+def with_own(df):
+    return df.select("*", *(F.lit("own").alias(c) for c in OWN))
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, f"same line of words here\nother {i} at a{i}@b.com with seven more words", "xx") for i in range(12)] + [(None, None, None), (90, "", "yy")]
+    return with_own(table(spark, rows, "doc_id long, text string, lang string"))
+
+
+def kept_own(found, replaced=()):
+    rows = found.collect()
+    return len(rows) and all(r[c] == "own" for r in rows for c in OWN if c not in replaced)
+
+
+def test_columns_of_working_names_stay(spark, clashing):
+    assert kept_own(pii.find(clashing))
+    bench = with_own(table(spark, [(1, "nothing of this"), (2, "same line of words")], "item_id long, text string"))
+    for block in (4_000_000, 5):
+        assert kept_own(decontamination.contaminated(clashing, bench, block_chars=block), ["bench_hits"])
+    for limit in (64 << 20, -1):
+        assert kept_own(line_dedup.drop_common_lines(clashing, broadcast_bytes=limit), ["n_lines"])
+    labels = with_own(table(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert quality_rules.judged(clashing, labels).count() == clashing.count()
+    assert near_dedup.groups(clashing).count() == clashing.count()
+
+
+def test_pipeline_stages_leave_other_columns_alone(spark, clashing, sf_dir):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, clashing, sf_dir)
+        assert found.columns == clashing.columns, name
+        assert all(r[c] == "own" for r in found.collect() for c in OWN), name
+
+
 # pipeline
 
 
