@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it to the shared folder and reads it again as the next stage's ``docs``. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``; columns that only share a name
+with something an operator makes keep their values.
 """
 
 from __future__ import annotations
@@ -14,35 +15,45 @@ from matchgrid.llm import bpe, decontamination, language_id, line_dedup, near_de
 from matchgrid.sources.store import stored
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns but the text in one, where no operator's outputs replace them."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text is in a language that the labelled ones teach.
 
     Rejected are texts without a letter and texts of which the best language's
     automaton knows next to nothing (a phrase for every letter or two).
     """
-    found = language_id.identify(docs, language_id.trained(docs))
+    found = language_id.identify(packed(docs), language_id.trained(docs))
     good = (F.col("lang_pred") != "und") & (F.col("phrase_letters") >= language_id.LEAST_PHRASE)
-    return found.filter(good).select(*docs.columns)
+    return unpacked(found.filter(good), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the lines that many documents share out of every text."""
-    found = line_dedup.drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    found = unpacked(line_dedup.drop_common_lines(packed(docs)), docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group; of repeated rows keep one."""
     kept = near_dedup.groups(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    once = found.filter("times = 1").select(*docs.columns)
-    return once.unionByName(found.filter("times > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    found = packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
+    once = unpacked(found.filter("times = 1"), docs)
+    return once.unionByName(unpacked(found.filter("times > 1"), docs).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no benchmark item is found."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.contaminated(docs, benchmark).filter(F.size("bench_hits") == 0).select(*docs.columns)
+    return unpacked(decontamination.contaminated(packed(docs), benchmark).filter(F.size("bench_hits") == 0), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
