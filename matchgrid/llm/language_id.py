@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text
+from matchgrid.llm.common import map_text, released
 
 PER_LANG = 32
 LETTERS = 24_000
@@ -111,7 +111,7 @@ class Model:
         tables, self.roots, base = [], [], 0
         for text in texts.values():
             edges = automaton([class_of.get(c, 0 if c == " " else other) for c in text])
-            start = np.zeros(self.width, np.int64)  # from the root, or after a mismatch
+            start = np.zeros(self.width, np.int32)  # from the root, or after a mismatch
             for c in range(self.width):
                 start[c] = (base + edges[0].get(c, 0)) * self.width * 2 + 1
             start[self.pad] = base * self.width * 2
@@ -122,7 +122,9 @@ class Model:
             tables.append(table)
             self.roots.append(base * self.width * 2)
             base += len(edges)
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+            del edges
+            released()
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts.values()])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
