@@ -15,6 +15,10 @@ from matchgrid.llm import bpe, decontamination, language_id, line_dedup, near_de
 from matchgrid.sources.store import stored
 
 
+#: Per cent of shared shingles from which two documents are near copies; op5's own contract says 85.
+NEAR = 80
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(row, text): all columns but the text in one, where no operator's outputs replace them."""
     return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
@@ -44,7 +48,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group; of repeated rows keep one."""
-    kept = near_dedup.groups(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
+    kept = near_dedup.groups(docs, percent=NEAR).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
     found = packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
     once = unpacked(found.filter("times = 1"), docs)
     return once.unionByName(unpacked(found.filter("times > 1"), docs).dropDuplicates(["doc_id", "text"]))
