@@ -6,9 +6,8 @@ sketch (the samples folded into parity bits). Texts with equal sets are one
 vertex, so exact copies never meet as pairs.
 
 Vertices that share a band are candidates. The XOR population count of two odd
-sketches estimates their similarity; a candidate goes on if the count is at
-most what sets of similarity ``similarity - 0.15`` are expected to show, which
-is more than four standard errors below the threshold. In hot bands the private
+sketches estimates their similarity; a candidate goes on unless sets at the
+threshold would show such a count with a probability below 1e-8. In hot bands the private
 shingles of each vertex (in no other vertex of a hot band) are counted: they
 bound the intersection from above, so a pair that cannot reach the threshold
 goes no further. What is left is confirmed on the full shingle sets. Two rounds
@@ -81,7 +80,7 @@ def may_reach(percent: int, other: str) -> F.Column:
     """Set sizes, shingles of no other vertex of the band and sketches allow the similarity."""
     n, m = F.col("n_shingles"), F.col(f"{other}n_shingles")
     most = F.least(n - F.col("private"), m - F.col(f"{other}private"))
-    return ((100 + percent) * most >= percent * (n + m)) & (distance(other) <= S.farthest(percent / 100 - 0.15))
+    return ((100 + percent) * most >= percent * (n + m)) & (distance(other) <= S.farthest(percent))
 
 
 def shared_bands(vertices: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ sequence as its one shingle, a text without words has none.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
 
@@ -17,6 +19,8 @@ BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 #: Bits of the odd sketch.
 BITS = 256
+#: Probability with which the sketches may rule out a pair at the threshold.
+MISS = 1e-8
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +110,21 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(len(samples), BITS), axis=1)
 
 
-def farthest(similarity: float) -> int:
-    """The XOR population count that sketches of sets of this similarity are expected to show."""
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - similarity))))
+@functools.cache
+def farthest(percent: int) -> int:
+    """The XOR population count that sketches of sets of this similarity exceed with a probability of MISS at most.
+
+    The samples that differ are binomial; each throws two balls, and the count is that of the bits with an odd number.
+    """
+    differ = np.ones(1)
+    for _ in range(SAMPLES):
+        differ = np.convolve(differ, [percent / 100, 1 - percent / 100])
+    bits = np.arange(BITS + 1) / BITS
+    odd, counts = np.eye(1, BITS + 1)[0], np.zeros(BITS + 1)
+    for chance in differ:
+        counts += chance * odd
+        for _ in range(2):
+            up, down = odd * (1 - bits), odd * bits
+            odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    beyond = np.append(counts[::-1].cumsum()[::-1][1:], 0)
+    return int(np.argmax(beyond <= MISS))

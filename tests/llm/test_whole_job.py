@@ -3,8 +3,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from test_llm_queries import shingles
 
+from matchgrid.llm import near_dedup
+from matchgrid.llm import shingles as S
+
 TEXT = "doc_id long, text string"
 
 
@@ -34,3 +38,13 @@ def test_pipeline_links_from_80_percent(spark):
     assert set(want.values()) < set(components(rows, 85).values())
     found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, TEXT), "")
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(want.values()))
+
+
+def test_near_dedup_keeps_pairs_of_unlucky_sketches(spark):
+    pairs = [window_pair(seed, 37, 3) for seed in (18375, 24408, 37329, 37338, 37395)]
+    for pair in pairs:
+        sketches = S.odd_sketches(np.stack([S.minhash(s) for s in S.shingle_sets(list(pair))]))
+        assert np.unpackbits((sketches[0] ^ sketches[1]).view(np.uint8)).sum() >= 70  # 40 are expected
+    rows = [(i, text) for i, text in enumerate(t for pair in pairs for t in pair)]
+    found = near_dedup.groups(spark.createDataFrame(rows, TEXT)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i, _ in rows}
