@@ -47,9 +47,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group; of repeated rows keep one."""
-    kept = near_dedup.groups(docs, percent=NEAR).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
-    found = packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
+    """Keep one document of each near-duplicate group; of repeated rows keep one.
+
+    A row is known by doc_id and text. Where several texts of a group bear the
+    doc_id that names it, the one whose digest sorts first stays.
+    """
+    found = near_dedup.labelled(docs.select("doc_id", "text", F.md5("text").alias("digest")), NEAR).filter("kept")
+    rows = found.groupBy("doc_id", "top", "digest").agg(F.count("*").alias("times"))
+    alone = F.when(F.col("top").isNull(), F.col("digest"))  # texts without words are in no group
+    kept = rows.groupBy(F.col("doc_id").alias("kept_id"), "top", alone.alias("alone")).agg(F.min(F.struct("digest", "times")).alias("first"))
+    kept = kept.select("kept_id", F.col("first.digest").alias("digest"), F.col("first.times").alias("times"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & F.md5("text").eqNullSafe(F.col("digest"))
+    found = packed(docs).join(kept, same)
     once = unpacked(found.filter("times = 1"), docs)
     return once.unionByName(unpacked(found.filter("times > 1"), docs).dropDuplicates(["doc_id", "text"]))
 

@@ -192,9 +192,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(tidy(check), "a binary, b binary")
 
 
-def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs`` without its text, with n_shingles, component_id, kept and top.
+
+    top is the set key that stands for the component, null without words: where
+    doc_ids repeat, components of the same component_id differ in it.
+    """
     signed = stored(signatures(docs), "signatures")
     with_words = signed.filter("set_key is not null")
     vertices = with_words.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)))
@@ -216,10 +219,16 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = vertices.select("set_key", "doc_id").join(labels.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     last = first.join(merged.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
     named = last.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    of_set = last.join(named, "top").select("set_key", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    of_set = last.join(named, "top").select("set_key", "component_id", "top")
+    own = [c for c in docs.columns if c != "text"]
+    out = signed.select(*own, "n_shingles", "set_key").join(of_set, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(*own, "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "top")
+
+
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text)."""
+    return labelled(docs.select("doc_id", "text"), percent).drop("top")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -48,3 +48,14 @@ def test_near_dedup_keeps_pairs_of_unlucky_sketches(spark):
     rows = [(i, text) for i, text in enumerate(t for pair in pairs for t in pair)]
     found = near_dedup.groups(spark.createDataFrame(rows, TEXT)).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pipeline_keeps_one_text_of_a_group_where_doc_ids_repeat(spark):
+    base = [f"w{i}" for i in range(60)]
+    text, near, other, copy = " ".join(base), " ".join(base + ["end"]), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, text), (1, near), (2, text), (1, other), (1, other), (0, copy), (1, copy.upper()), (3, None), (3, None), (3, " "), (4, ""), (None, "a b"), (None, "A b")]
+    found = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, TEXT), "").collect()]
+    assert sum(r in found for r in [(1, text), (1, near)]) == 1 and (2, text) not in found
+    assert sum(r in found for r in [(None, "a b"), (None, "A b")]) == 1
+    rest = [r for r in found if r[1] not in (text, near, "a b", "A b")]
+    assert sorted(rest, key=repr) == sorted([(1, other), (0, copy), (3, None), (3, " "), (4, "")], key=repr) and len(found) == 7
