@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
+from matchgrid.sources.store import shared_dir
 from matchgrid.streaming import live
 
 
@@ -19,12 +20,23 @@ def stream(spark, d, columns):
     return det.select(*columns)
 
 
-def drained(spark, df, mode="append"):
-    """Run the stream until its input is read; the result is the table it wrote."""
-    name = f"live_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(spark, df, mode="append", at=None):
+    """Run the stream until its input is read; the result is the table it wrote.
+
+    Rows and checkpoint are in the shared folder; a run that is given the folder
+    ``at`` of one that was stopped goes on from its checkpoint.
+    """
+    at = at or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    rows = f"{at}/rows"
+    writer = df.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        # Each batch is the whole result so far, so it takes the place of the one before.
+        spark.createDataFrame([], df.schema).write.mode("ignore").parquet(rows)
+        running = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
+    else:
+        running = writer.format("parquet").start(rows)
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(rows)
 
 
 @query("x01_live_tracks")
