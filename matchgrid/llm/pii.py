@@ -2,17 +2,26 @@ r"""Personal data: regular expressions propose, validators confirm, context deci
 
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of
 their expressions that pass their validators: number ranges, Luhn, digit
-counts. The method adds IBANs, confirmed by mod-97, and phone numbers without
-a plus sign, which need a context word; each has a score made of its expression,
-its validator and the context words before it, and is kept from ``LEAST_SCORE``
-on if it overlaps no base span.
+counts. They always stay. The method adds the kinds of ``ADDED``: keys of known
+shape, IBANs (mod-97), secrets (strings of mixed letters and digits with the
+entropy of random ones), social security numbers (issued ranges) and phone
+numbers without a plus sign.
+
+Every span has a score: that of its kind once its validator has passed, plus
+``GAIN`` if one of the kind's words stands before it in the last ``CONTEXT``
+code points of its line, minus ``LOSS`` if a word stands there that speaks
+against it. An added span is kept from ``LEAST_SCORE`` on, if it overlaps no base
+span and no kept span of a kind listed before its own. So context decides both
+ways: ``token = "<40 hex digits>"`` is a secret, ``commit <40 hex digits>`` is
+none, an IBAN counts unless an example is announced.
 
 Positions come from the text between the matches: splitting at the expression
 gives the gaps, and running sums of the lengths of gaps and matches give
 the spans (code points, end exclusive). Everything is array functions on the
 row, so there is no shuffle. The expressions are written with possessive
 quantifiers and look-behind, which match the same spans as the plain ones but
-neither recurse nor scan a long run of characters more than once.
+neither recurse nor scan a long run of characters more than once, so very long
+texts are searched whole in time proportional to their length.
 
 Null and empty texts have no spans. Rows are independent, so repeated rows and
 ties need no rule; spans with equal starts are ordered by kind. An empty table
@@ -22,6 +31,7 @@ gives an empty result. Columns of the outputs' names are replaced; others stay.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +43,26 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![A-Za-z0-9.+(-])\(?[0-9]{2,5}\)?(?:[\x20/.-]?[0-9]{2,5}){2,4}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9])"
+SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+KEY = (
+    r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----)(?![A-Za-z0-9_])"
+)
+
+# Context words, for and against.
+PHONE_WORDS = "tel|phone|telephone|mobile|fax|call|telefon|teléfono|téléphone"
+IBAN_WORDS = "iban|account|konto|compte|cuenta"
+SECRET_WORDS = "token|secret|password|passwd|pwd|api.?key|access.?key|private.?key|auth|authorization|bearer|credential|credentials"
+SSN_WORDS = "ssn|social|security|taxpayer"
+EXAMPLE_WORDS = "example|sample|dummy|beispiel|muster|ejemplo|exemple"
+DIGEST_WORDS = "sha1|sha256|md5|commit|checksum|digest|hash|etag|uuid|revision"
+NUMBER_WORDS = "order|invoice|isbn|serial|article|part|version|bestellung|pedido|commande"
 
-PHONE_WORDS = r"(?i)\b(?:tel|phone|telephone|mobile|fax|call|telefon|teléfono|téléphone)\b[^0-9\n]{0,12}$"
-IBAN_WORDS = r"(?i)\b(?:iban|account|konto|compte|cuenta)\b[^\n]{0,20}$"
 #: Code points before a span in which context words count.
 CONTEXT = 40
-LEAST_SCORE = 0.7
+GAIN = LOSS = 0.3
+LEAST_SCORE = 0.6
 
 BASE = ["email", "ip", "card", "phone"]
 #: Lengths that one step of a running sum adds up.
@@ -116,25 +140,80 @@ def located(df: DataFrame, kind: str, pattern: str, hint: Column) -> DataFrame:
     return four.withColumn(f"_{kind}", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,match:string>>"))).drop("_m", "_n", "_r", "_p")
 
 
-def passing(spans: str, test: Callable[[Column], Column]) -> Column:
-    return F.filter(spans, lambda s: test(s["match"]))
-
-
 def of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
 def before(span: Column) -> Column:
-    return F.substr("text", F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
+    """What stands before a span in its line, ``CONTEXT`` code points at most."""
+    near = F.substr("text", F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
+    return F.element_at(F.split(near, "\n"), -1)
+
+
+def says(context: Column, words: str) -> Column:
+    return context.rlike(f"(?i)(?<![A-Za-z])(?:{words})(?![A-Za-z])")
+
+
+def entropy(match: Column) -> Column:
+    """Bits a character, from the frequencies of the characters in the string itself."""
+    chars = F.split(match, "")
+    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+    return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+
+def is_secret(match: Column) -> Column:
+    """Letters and several digits, at most 256 characters, as mixed as random hex digits are."""
+    sized = F.length(match).between(20, 256) & match.rlike("[A-Za-z]") & match.rlike("(?:[0-9][^0-9]*){3}")
+    return F.when(sized, entropy(match) >= 3.0).otherwise(False)
+
+
+def is_ssn(match: Column) -> Column:
+    """Of a range that is issued."""
+    return ~match.rlike("^(?:000|666|9..)|-00-|-0000$")
 
 
-def scored(span: Column, base: float, words: str, gain: float) -> Column:
-    return F.lit(base) + F.when(before(span).rlike(words), gain).otherwise(0.0)
+def is_local_phone(match: Column) -> Column:
+    return F.length(digits(match)).between(7, 15)
 
 
-def named(spans: Column, kind: str) -> Column:
-    place = BASE.index(kind) if kind in BASE else len(BASE)
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
+@dataclass(frozen=True)
+class Kind:
+    """What proposes a kind of span, a test every text with one passes, its validator, score and context words."""
+
+    pattern: str
+    hint: Callable[[Column], Column]
+    test: Callable[[Column], Column]
+    score: float
+    words: str
+    against: str
+
+
+KINDS = {
+    "email": Kind(EMAIL, lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), 0.9, "mail|email|e-mail|contact", EXAMPLE_WORDS),
+    "ip": Kind(IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), is_ip, 0.6, "ip|host|address|server|client", NUMBER_WORDS),
+    "card": Kind(CARD, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), is_card, 0.7, "card|visa|credit|karte|tarjeta|carte", NUMBER_WORDS),
+    "phone": Kind(PHONE, lambda t: t.rlike(r"\+[0-9]"), is_phone, 0.7, PHONE_WORDS, NUMBER_WORDS),
+    "key": Kind(KEY, lambda t: t.rlike("A[KS]IA|gh[oprsu]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN"), lambda m: F.lit(True), 0.8, SECRET_WORDS, EXAMPLE_WORDS),
+    "iban": Kind(IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), mod_97, 0.7, IBAN_WORDS, EXAMPLE_WORDS),
+    "secret": Kind(SECRET, lambda t: t.rlike("[A-Za-z0-9+/_-]{20}"), is_secret, 0.4, SECRET_WORDS, DIGEST_WORDS),
+    "ssn": Kind(SSN, lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), is_ssn, 0.4, SSN_WORDS, NUMBER_WORDS),
+    "phone_local": Kind(LOCAL_PHONE, lambda t: says(t, PHONE_WORDS), is_local_phone, 0.4, PHONE_WORDS, NUMBER_WORDS),
+}
+ADDED = [k for k in KINDS if k not in BASE]
+
+
+def score(span: Column, kind: Kind) -> Column:
+    context = before(span)
+    return F.round(F.lit(kind.score) + F.when(says(context, kind.words), GAIN).otherwise(0.0) - F.when(says(context, kind.against), LOSS).otherwise(0.0), 2)
+
+
+def named(spans: Column, name: str) -> Column:
+    """The spans that pass the kind's validator, with place (order of kinds), kind and score."""
+    kind, place = KINDS[name], list(KINDS).index(name)
+    good = F.filter(spans, lambda s: kind.test(s["match"]))
+    return F.transform(
+        good, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(name).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score(s, kind).alias("score"))
+    )
 
 
 def listed(spans: str) -> Column:
@@ -142,23 +221,22 @@ def listed(spans: str) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: arrays of struct(start, place, kind, end, match)."""
+    """``docs`` with ``base_spans`` and ``all_spans``: arrays of struct(start, place, kind, end, match, score)."""
     text = F.col("text")
-    tests = {"email": lambda m: F.lit(True), "ip": is_ip, "card": is_card, "phone": is_phone}
-    hints = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.rlike(r"\+[0-9]")}
     keep = [c for c in docs.columns if c.lower() not in ("base_spans", "all_spans")]
     # The row's own columns stay together, apart from the working columns.
     df = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    for kind, pattern in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.items():
-        df = located(df, kind, pattern, hints[kind])
-        df = df.withColumn(f"_{kind}", named(passing(f"_{kind}", tests[kind]), kind))
+    for name in BASE:
+        df = located(df, name, KINDS[name].pattern, KINDS[name].hint(text))
+        df = df.withColumn(f"_{name}", named(F.col(f"_{name}"), name))
     df = df.withColumn("base_spans", F.array_sort(F.concat(*(f"_{k}" for k in BASE)))).drop(*(f"_{k}" for k in BASE))
-    df = located(df, "iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"))
-    df = located(df, "local", LOCAL_PHONE, text.rlike("(?i)(?:tel|phone|fax|mobile|call|téléphone|teléfono)[^0-9\\n]{0,16}[0-9]{2}"))
-    free = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    iban = F.filter("_iban", lambda s: mod_97(s["match"]) & (scored(s, 0.75, IBAN_WORDS, 0.2) >= LEAST_SCORE) & free(s))
-    local = F.filter("_local", lambda s: F.length(digits(s["match"])).between(7, 15) & (scored(s, 0.4, PHONE_WORDS, 0.4) >= LEAST_SCORE) & free(s))
-    df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", named(iban, "iban"), named(local, "phone_local"))))
+    df = df.withColumn("_all", F.col("base_spans"))
+    for name in ADDED:
+        df = located(df, name, KINDS[name].pattern, KINDS[name].hint(text))
+        free = lambda s: ~F.exists("_all", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        good = F.filter(named(F.col(f"_{name}"), name), lambda s: (s["score"] >= LEAST_SCORE) & free(s))
+        df = df.withColumn("_all", F.concat("_all", good)).drop(f"_{name}")
+    df = df.withColumn("all_spans", F.array_sort("_all"))
     own = [F.col("text") if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in keep]
     return df.select(*own, "base_spans", "all_spans")
 
@@ -167,4 +245,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op4: the personal data in every text of ``documents``."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     per_kind = [F.size(of_kind("base_spans", k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *per_kind, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans"))
+    added = [F.size(of_kind("all_spans", k)).cast("long").alias(f"n_{k}") for k in ADDED]
+    scores = F.transform("all_spans", lambda s: s["score"]).alias("scores")
+    return found.select(
+        "doc_id", *per_kind, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans"),
+        scores, F.size("all_spans").cast("long").alias("n_spans"), *added,
+    )
