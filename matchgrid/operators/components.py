@@ -1,7 +1,8 @@
 """Connected components by alternating star contractions.
 
 Every round is a few grouped minima and joins over the edges, so no group is
-gathered in a task; the edges of a round are written to the shared folder.
+gathered in a task; the edges of a round are written to the shared folder, and
+those of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.sources.store import stored
+from matchgrid.sources.store import discard, stored
 
 
 def stars(pairs: DataFrame, toward_smaller_only: bool) -> DataFrame:
@@ -27,11 +28,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(v, root) for every vertex of ``edges`` but the roots themselves; a root is its component's least vertex."""
     a, b = F.col(left), F.col(right)
     now = edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    seen = None
+    seen, before = None, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = stored(stars(stars(both, False), True), "components")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is not None:
+            discard(before)
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        seen = mark
+        seen, before = mark, now

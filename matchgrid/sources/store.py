@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a temporary folder is set.
+    Where the session names none, a local master (one machine, as in tests) gets
+    a temporary folder; on a cluster that would be another folder on every
+    machine, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="matchgrid-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,3 +33,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+        shared = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.makeQualified(folder.getParent()).equals(fs.makeQualified(shared)):
+            fs.delete(folder, True)
