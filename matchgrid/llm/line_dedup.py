@@ -6,18 +6,22 @@ least ``min_docs`` documents hold lose all their lines.
 
 One pass hashes the lines to 128 bits and counts documents by key: each Arrow
 slice counts its own keys first, so a line that every document holds reaches
-the shuffle once a slice. The keys that reach the threshold go to shards; each
-shard is a minimal perfect hash over its line hashes with a fingerprint and a
-count array (mph.py). The shards are one table in the shared folder. A second
-pass lets the documents probe the arrays. While their summed size is at most
-``broadcast_bytes`` every task gets the shards; beyond it the hashes travel to
-the shards instead and only the hits come back to their documents. Both ways
-give the same rows. The other half of the hash serves as the fingerprint, so a
-line below the threshold passes for another only if 128 bits agree.
+the shuffle once a slice. All distinct keys go to shards of some ``SHARD_KEYS``
+keys each; a shard is a minimal perfect hash over its line hashes with a
+fingerprint and a count array (mph.py). The shards are one table in the shared
+folder. A second pass lets the documents probe the arrays, and the count found
+decides. As every line of the documents is in the index, each finds its own slot.
+
+While the arrays take at most ``broadcast_bytes`` every task gets the shards.
+Beyond that the hashes travel to the shards and only the hits come back to their
+documents. The most frequent keys (those in more than a 2**-20 th of all pairs of
+key and document, so at most 2**20 keys) would draw all documents to their shards;
+they are a small index of their own that every task gets. Both ways give the same rows.
 
 Null or empty text is one empty line, which stays. Repeated rows are documents
-of their own. An empty table gives an empty result. A column of the name of an
-output is replaced; every other column stays.
+of their own. An empty table gives an empty result. Very long texts are read one
+to a slice and split as a whole. A column of the name of an output is replaced;
+every other column stays.
 """
 
 from __future__ import annotations
@@ -29,9 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.llm.common import map_text, slices, tidy, unused
-from matchgrid.llm.mph import Shard, build
+from matchgrid.llm.mph import MOST, Shard, build
 from matchgrid.sources.store import stored
 
+#: Keys of a shard; a task builds one from 24 bytes a key.
+SHARD_KEYS = 1 << 18
+#: The most keys that can be frequent ones, and a count below which none is.
+FREQUENT_KEYS, FREQUENT_LEAST = 1 << 20, 1000
+
 WHITE = b" \t\n\x0b\x0c\r"
 SHARD_SCHEMA = "shard int, sizes array<int>, bits binary, fingerprints binary, counts binary"
 
@@ -97,25 +106,40 @@ def without(text: str | None, keys: list[bytes | None], gone: set[bytes]) -> tup
 OUT = "text string, n_lines long, n_dropped long"
 
 
+class Index:
+    """The shards that a task holds, ready to be probed."""
+
+    def __init__(self, rows: list[tuple], shards: int, min_docs: int):
+        self.arrays, self.shards, self.min_docs = {r[0]: Shard(*r[1:]) for r in rows}, shards, min_docs
+
+    def common(self, keys: list[bytes]) -> set[bytes]:
+        """Those of distinct keys whose count reaches the threshold."""
+        hi, lo = halves(keys)
+        shard_of = np.mod(hi.view(np.int64), self.shards)  # as Spark's pmod takes the signed number
+        order = np.argsort(shard_of, kind="stable")
+        cuts = np.searchsorted(shard_of[order], np.arange(self.shards + 1))
+        gone: set[bytes] = set()
+        for s, shard in self.arrays.items():
+            mine = order[cuts[s] : cuts[s + 1]]
+            if len(mine):
+                gone.update(keys[i] for i in mine[shard.count(hi[mine], lo[mine]) >= self.min_docs])
+        return gone
+
+
+def sent(index: DataFrame):
+    """The rows of a small index as a broadcast value."""
+    return index.sparkSession.sparkContext.broadcast([tuple(r) for r in index.collect()])
+
+
 def dropped_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int) -> DataFrame:
-    rows = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in index.collect()])
+    rows = sent(index)
 
     def setup():
-        arrays = {r[0]: Shard(*r[1:]) for r in rows.value}
+        own = Index(rows.value, shards, min_docs)
 
         def call(texts):
             keys = [keys_of(t, min_chars) for t in texts]
-            every = list({k for ks in keys for k in ks if k is not None})
-            hi, lo = halves(every)
-            gone: set[bytes] = set()
-            # Spark's pmod takes the hash as a signed number.
-            shard_of = np.mod(hi.view(np.int64), shards)
-            order = np.argsort(shard_of, kind="stable")
-            cuts = np.searchsorted(shard_of[order], np.arange(shards + 1))
-            for s, shard in arrays.items():
-                mine = order[cuts[s] : cuts[s + 1]]
-                if len(mine):
-                    gone.update(every[i] for i in mine[shard.count(hi[mine], lo[mine]) >= min_docs])
+            gone = own.common(list({k for ks in keys for k in ks if k is not None}))
             return list(zip(*(without(t, k, gone) for t, k in zip(texts, keys, strict=True)), strict=True)) or [[], [], []]
 
         return call
@@ -123,27 +147,30 @@ def dropped_by_broadcast(docs: DataFrame, index: DataFrame, shards: int, min_doc
     return map_text(docs, "text", OUT, setup)
 
 
-def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, salts: int = 16) -> DataFrame:
+def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, frequent: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """The line hashes of each text go to the shards, the hits come back by text hash.
 
-    Rows of a shard are ordered so that its arrays come before the probes, and
-    stream through the task; ``salts`` copies of a shard share its probes.
+    Frequent keys stay at home. Rows of a shard are ordered so that its arrays
+    come before the probes, and stream through the task.
     """
-    probe_schema = "shard int, salt int, kind int, text_key binary, probes binary, sizes array<int>, bits binary, fingerprints binary, counts binary"
+    probe_schema = "shard int, kind int, text_key binary, probes binary, sizes array<int>, bits binary, fingerprints binary, counts binary"
+    rows = sent(frequent)
 
     def probes(batches):
+        own = Index(rows.value, 1, min_docs)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
+                found = []
                 for text in set(part.column("text").to_pylist()):
-                    own = xxhash.xxh3_128_digest((text or "").encode())
-                    every = list({k for k in keys_of(text, min_chars) if k is not None})
+                    name = xxhash.xxh3_128_digest((text or "").encode())
+                    every = {k for k in keys_of(text, min_chars) if k is not None}
+                    every = list(every - own.common(list(every)))
                     by: dict[int, list[bytes]] = {}
                     for k, s in zip(every, np.mod(halves(every)[0].view(np.int64), shards).tolist(), strict=True):
                         by.setdefault(s, []).append(k)
-                    rows += [(s, own[0] % salts, 1, own, b"".join(ks), None, None, None, None) for s, ks in by.items()]
-                columns = list(zip(*rows, strict=True)) or [[]] * 9
-                types = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int32())] + [pa.binary()] * 3
+                    found += [(s, 1, name, b"".join(ks), None, None, None, None) for s, ks in by.items()]
+                columns = list(zip(*found, strict=True)) or [[]] * 8
+                types = [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int32())] + [pa.binary()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in probe_schema.split(", ")])
 
     def answer(batches):
@@ -152,8 +179,8 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
             keys, hits = [], []
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    at, shard = (r["shard"], r["salt"]), Shard(r["sizes"], r["bits"], r["fingerprints"], r["counts"])
-                elif at == (r["shard"], r["salt"]):
+                    at, shard = r["shard"], Shard(r["sizes"], r["bits"], r["fingerprints"], r["counts"])
+                elif at == r["shard"]:
                     hi, lo = halves([r["probes"]])
                     hit = shard.count(hi, lo) >= min_docs
                     if hit.any():
@@ -161,22 +188,23 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
                         hits.append(np.stack([hi[hit], lo[hit]], 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hits, pa.binary())], ["text_key", "hits"])
 
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("probes"), "sizes", "bits", "fingerprints", "counts")
-    both = copies.unionByName(docs.select("text").mapInArrow(tidy(probes), probe_schema))
-    hits = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(tidy(answer), "text_key binary, hits binary")
+    arrays = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text_key"), F.lit(None).cast("binary").alias("probes"), "sizes", "bits", "fingerprints", "counts")
+    both = arrays.unionByName(docs.select("text").mapInArrow(tidy(probes), probe_schema))
+    hits = both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidy(answer), "text_key binary, hits binary")
     text_key, line_hits = unused(docs, "text_key"), unused(docs, "line_hits")
     hits = hits.distinct().groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list("hits").alias(line_hits))
     keyed = map_text(docs, "text", f"{text_key} binary", lambda: lambda texts: [[xxhash.xxh3_128_digest((t or "").encode()) for t in texts]])
     joined = keyed.join(hits, text_key, "left").drop(text_key)
 
     def finish(batches):
+        own = Index(rows.value, 1, min_docs)
         for batch in batches:
             for part in slices(batch, "text"):
                 made = []
                 for text, found in zip(part.column("text").to_pylist(), part.column(line_hits).to_pylist(), strict=True):
-                    joined_hits = b"".join(found or [])
-                    gone = {joined_hits[i : i + 16] for i in range(0, len(joined_hits), 16)}
-                    made.append(without(text, keys_of(text, min_chars), gone))
+                    back, keys = b"".join(found or []), keys_of(text, min_chars)
+                    gone = {back[i : i + 16] for i in range(0, len(back), 16)} | own.common(list({k for k in keys if k is not None}))
+                    made.append(without(text, keys, gone))
                 new = [pa.array(c, t) for c, t in zip(list(zip(*made, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + new, [*keep, "text", "n_lines", "n_dropped"])
 
@@ -185,14 +213,19 @@ def dropped_by_routing(docs: DataFrame, index: DataFrame, shards: int, min_docs:
     return joined.mapInArrow(tidy(finish), kept)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 64 << 20, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``docs`` with the common lines out of ``text``, plus n_lines (before) and n_dropped."""
-    counts = line_counts(docs, min_chars).filter(F.col("docs") >= min_docs)
-    shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not 1 <= min_docs <= MOST:
+        raise ValueError(f"min_docs is from 1 to {MOST}")
+    counts = stored(line_counts(docs, min_chars), "line-counts")
+    keys, total = counts.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    shards = keys // shard_keys + 1
     index = stored(index_shards(counts, shards), "line-index")
     size = index.select(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
-    way = dropped_by_broadcast if size <= broadcast_bytes else dropped_by_routing
-    return way(docs, index, shards, min_docs, min_chars)
+    if size <= broadcast_bytes:
+        return dropped_by_broadcast(docs, index, shards, min_docs, min_chars)
+    frequent = counts.filter(F.col("docs") >= max(FREQUENT_LEAST, total // FREQUENT_KEYS))
+    return dropped_by_routing(docs, index, shards, index_shards(frequent, 1), min_docs, min_chars)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

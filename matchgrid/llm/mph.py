@@ -2,7 +2,9 @@
 
 Level by level, each key that alone hits a bit of the level's bitmap keeps it;
 the others go on to the next level. A key's slot is the rank of its bit. Slots
-carry a 64-bit fingerprint and a count, so a lookup of any other key fails.
+carry a 32-bit fingerprint and a count. A key that the hash was built of always
+finds its own slot; another one is recognised by its fingerprint, except for one in
+four billion. Counts are kept up to ``MOST``, larger ones as ``MOST``.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import numpy as np
 
 #: Bits of a level for each key that reaches it.
 LOAD = 2.0
+MOST = 2**32 - 1
+ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def mixed(hi: np.ndarray, lo: np.ndarray, level: int) -> np.ndarray:
@@ -22,6 +26,10 @@ def mixed(hi: np.ndarray, lo: np.ndarray, level: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def fingerprint(lo: np.ndarray) -> np.ndarray:
+    return (lo >> np.uint64(32)).astype(np.uint32)
+
+
 def build(hi: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[list[int], bytes, bytes, bytes]:
     """Level sizes, packed bitmaps, fingerprints and counts of distinct keys."""
     left = np.arange(len(hi))
@@ -39,7 +47,7 @@ def build(hi: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[list[int],
         left = left[~alone]
     order = np.concatenate(order) if order else left
     bits = np.packbits(np.concatenate(maps)) if maps else np.zeros(0, np.uint8)
-    return sizes, bits.tobytes(), lo[order].tobytes(), count[order].astype(np.uint32).tobytes()
+    return sizes, bits.tobytes(), fingerprint(lo[order]).tobytes(), np.minimum(count[order], MOST).astype(np.uint32).tobytes()
 
 
 class Shard:
@@ -47,10 +55,10 @@ class Shard:
 
     def __init__(self, sizes, bits: bytes, fingerprints: bytes, counts: bytes):
         self.sizes = list(sizes)
-        total = sum(self.sizes)
-        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8), count=total).astype(bool) if total else np.zeros(0, bool)
-        self.rank = np.cumsum(self.bits, dtype=np.int64) - 1
-        self.fingerprints = np.frombuffer(fingerprints, np.uint64)
+        self.bits = np.frombuffer(bits, np.uint8)
+        ones = np.cumsum(ONES[self.bits], dtype=np.uint32)
+        self.before = np.concatenate([np.zeros(1, np.uint32), ones])  # ones before each byte
+        self.fingerprints = np.frombuffer(fingerprints, np.uint32)
         self.counts = np.frombuffer(counts, np.uint32)
 
     def count(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -59,9 +67,10 @@ class Shard:
         left, start = np.arange(len(hi)), 0
         for level, size in enumerate(self.sizes):
             at = start + (mixed(hi[left], lo[left], level) % np.uint64(size)).astype(np.int64)
-            hit = self.bits[at]
-            slot, keys = self.rank[at[hit]], left[hit]
-            same = self.fingerprints[slot] == lo[keys]
+            upto = self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)
+            hit = (upto & 1).astype(bool)
+            slot, keys = self.before[at[hit] >> 3].astype(np.int64) + ONES[upto[hit]] - 1, left[hit]
+            same = self.fingerprints[slot] == fingerprint(lo[keys])
             out[keys[same]] = self.counts[slot[same]]
             left, start = left[~hit], start + size
             if not len(left):

@@ -296,16 +296,19 @@ def test_perfect_hash():
     shard = Shard(*build(hi, lo, np.arange(1, 5001)))
     assert shard.count(hi, lo).tolist() == list(range(1, 5001))
     assert not shard.count(lo, hi).any() and len(shard.fingerprints) == 5000
+    big = Shard(*build(hi[:3], lo[:3], np.array([1, 2**32 - 1, 2**40])))
+    assert big.count(hi[:3], lo[:3]).tolist() == [1, 2**32 - 1, 2**32 - 1]
     none = Shard(*build(hi[:0], lo[:0], hi[:0]))
     assert none.count(hi, lo).sum() == 0
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_line_dedup_cases(spark, limit):
+@pytest.mark.parametrize(("limit", "least", "shard_keys"), [(64 << 20, 1000, 1 << 18), (64 << 20, 1000, 3), (0, 1000, 1 << 18), (0, 12, 2), (0, 1, 5)])
+def test_line_dedup_cases(spark, monkeypatch, limit, least, shard_keys):
+    monkeypatch.setattr(line_dedup, "FREQUENT_LEAST", least)
     rows = [(i, f" Common LINE\t\nown {i}\n\nÄ line\r\n") for i in range(10)]
     rows += [(50, "x\ncommon line"), (50, "x\ncommon line"), (51, None), (52, ""), (53, "\n\n"), (54, "ä line\nown 3"), (None, "common line"), (55, "own 3\n" * 50000)]
     df = table(spark, rows).withColumn("n_lines", F.lit("own")).withColumn("hi", F.lit(1))
-    found = line_dedup.drop_common_lines(df, broadcast_bytes=limit)
+    found = line_dedup.drop_common_lines(df, broadcast_bytes=limit, shard_keys=shard_keys)
     assert set(found.columns) == {"doc_id", "hi", "text", "n_lines", "n_dropped"}
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.text[:20], r.n_lines, r.n_dropped) for r in found.collect())
     assert (0, "own 0\n\n", 5, 2) in rows and rows.count((50, "x", 2, 1)) == 2 and (-1, "", 1, 1) in rows
@@ -314,6 +317,18 @@ def test_line_dedup_cases(spark, limit):
     assert line_dedup.drop_common_lines(df.limit(0), broadcast_bytes=limit).count() == 0
 
 
+def test_line_index_holds_every_distinct_line(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    counts = line_dedup.line_counts(docs)
+    want = {(r.hi, r.lo): r.docs for r in counts.collect()}
+    index = line_dedup.index_shards(counts, 7).collect()
+    shards = {r[0]: Shard(*r[1:]) for r in index}
+    assert sum(len(s.counts) for s in shards.values()) == len(want) and min(want.values()) == 1
+    for (hi, lo), n in want.items():
+        key = np.array([hi]).view(np.uint64), np.array([lo]).view(np.uint64)
+        assert shards[hi % 7].count(*key).tolist() == [n]
+
+
 # all
 
 
