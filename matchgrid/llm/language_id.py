@@ -6,19 +6,26 @@ of m letters and gaps that takes c phrases against n letters of training text
 has c * log2(n) / m bits a letter (the cross-parsing estimate of Ziv and
 Merhav); the language with the fewest wins, on a tie the one that sorts first.
 
-Letters are lower-cased, everything between two words counts as one gap. Whole
-texts are parsed, in blocks of ``BLOCK`` letters so that numpy advances all
-blocks of many texts at once: an automaton with its restarts is one table of
-next states, in which a bit tells where a phrase begins.
-
-The training sample is bounded: at most ``PER_LANG`` distinct texts a language
-(those of moderate length first, in the order of a hash of the text) and of
-these at most ``LETTERS`` letters.
-
-Null text and text without a letter get ``und`` and score 0. The score is
-1 - best / second best (1 if only one language is known). Repeated rows get the
-same result; an empty table gives an empty result; without any labelled text
-everything is ``und``. A column of an output's name is replaced.
+Letters are lower-cased, everything between two words counts as one gap. The
+``FREQUENT`` most frequent letters of the training texts are one symbol each, rarer
+ones two (a page and a place on it), so that scripts with thousands of letters
+keep them apart in a table of few columns. Whole texts are parsed, in blocks of
+``BLOCK`` symbols so that numpy advances all blocks of many texts at once: an
+automaton with its restarts is a table of next states, in which a bit tells where
+a phrase begins. Only the automata's edges are broadcast (at most three a letter);
+tasks make the tables of them, all at once while they take at most ``TABLE_BYTES``,
+else one language after the other for each slice of texts.
+
+The training sample is bounded: of the ``MOST_LANGS`` most frequent languages at
+most ``PER_LANG`` distinct texts each (those of moderate length first, in the order
+of a hash of the text, none longer than ``LONGEST``), whole ones, until they have
+``LETTERS`` letters and gaps.
+
+Null text and text without a letter get ``und`` and score 0. Very long texts are
+parsed whole. The score is 1 - best / second best (1 if only one language is
+known). Repeated rows get the same result; an empty table gives an empty result;
+without any labelled text everything is ``und``. A column of an output's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,26 +36,31 @@ from pyspark.sql import functions as F
 
 from matchgrid.llm.common import map_text, released
 
-PER_LANG = 32
-LETTERS = 24_000
-#: Letters beyond this many most frequent ones share one class.
-ALPHABET = 250
+PER_LANG = 64
+LETTERS = 40_000
+LONGEST = 200_000
+MOST_LANGS = 400
+#: Letters of one symbol; the others are written with PAGES * PLACES pairs. Letters beyond those are one symbol together.
+FREQUENT, PAGES, PLACES = 100, 76, 76
 BLOCK = 256
-#: A text that takes a phrase for fewer letters than this fits no known language.
-LEAST_PHRASE = 1.5
-OUT = "lang_pred string, score double, phrase_letters double"
-
-
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[str]]:
-    """At most ``per_lang`` distinct texts a language of ``docs`` (text, lang)."""
-    labelled = docs.filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    odd = F.when(F.length("text").between(200, 4000), 0).otherwise(1)
-    ranked = Window.partitionBy("lang").orderBy("odd", "h")
-    chosen = (
-        labelled.select("lang", "h", odd.alias("odd")).distinct()
-        .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= per_lang).select("lang", "h")
-    )
-    rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+TABLE_BYTES = 256 << 20
+#: A text of at least so many letters that takes a phrase for fewer letters than this fits no known language. Random letters
+#: take one for some 1.5, the shortest phrases of labelled documents of the test tables have 2.0.
+LEAST_LETTERS, LEAST_PHRASE = 20, 1.8
+OUT = "lang_pred string, score double, phrase_letters double, fits boolean"
+
+
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, letters: int = LETTERS) -> dict[str, list[str]]:
+    """At most ``per_lang`` distinct texts a language of ``docs`` (text, lang), whole, of ``letters`` characters and one text's rest."""
+    usable = (F.length("text") <= LONGEST) & F.col("lang").isNotNull()
+    labelled = docs.filter(usable).select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+    odd = F.when(F.col("size").between(200, 4000), 0).otherwise(1)
+    order = Window.partitionBy("lang").orderBy("odd", "h", "size")
+    first = labelled.select("lang", "h", "size", odd.alias("odd")).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("before", before).filter(F.col("before") < letters).join(F.broadcast(langs), "lang", "left_semi").select("lang", "h", "size")
+    rows = labelled.join(F.broadcast(chosen), ["lang", "h", "size"]).groupBy("lang", "h", "size").agg(F.min("text").alias("text"))
     found: dict[str, list[str]] = {}
     for r in rows.orderBy("lang", "h").collect():
         found.setdefault(r.lang, []).append(r.text)
@@ -89,74 +101,98 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """The automata of all languages as one table, and the class of each character."""
+    """The edges of all languages' automata, and the symbols of each character."""
 
-    def __init__(self, sample: dict[str, list[str]], letters: int = LETTERS):
-        texts = {lang: t for lang in sorted(sample) if (t := " ".join(map(letters_of, sample[lang]))[:letters].strip())}
+    def __init__(self, sample: dict[str, list[str]]):
+        texts = {lang: t for lang in sorted(sample) if (t := " ".join(x for t in sample[lang] if (x := letters_of(t))))}
         seen: dict[str, int] = {}
         for text in texts.values():
             for c in text:
                 seen[c] = seen.get(c, 0) + 1
         seen.pop(" ", None)
-        known = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
-        # Classes: 0 gap, 1 .. known letters, then one for all others, then the padding of blocks.
-        class_of = {c: i for i, c in enumerate(known, 1)}
-        other, self.pad, self.width = len(known) + 1, len(known) + 2, len(known) + 3
-        self.classes = np.zeros(0x110000, np.uint8)
+        known = sorted(seen, key=lambda c: (-seen[c], c))[: FREQUENT + PAGES * PLACES]
+        # Symbols: 0 gap, frequent letters, pages, places, all other letters, the padding of blocks.
+        alone, rare = known[:FREQUENT], known[FREQUENT:]
+        pages, places = -(-len(rare) // PLACES), min(len(rare), PLACES)
+        symbols = {c: (i,) for i, c in enumerate(alone, 1)}
+        symbols |= {c: (1 + len(alone) + i // PLACES, 1 + len(alone) + pages + i % PLACES) for i, c in enumerate(rare)}
+        other = 1 + len(alone) + pages + places
+        self.pad, self.width = other + 1, other + 2
+        self.first, self.second = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                self.classes[cp] = class_of.get(c.lower(), other)
-        self.langs = list(texts)
-        tables, self.roots, base = [], [], 0
+                self.first[cp], self.second[cp] = (*symbols.get(c.lower(), (other,)), 0)[:2]
+        self.langs, self.edges = list(texts), []
         for text in texts.values():
-            edges = automaton([class_of.get(c, 0 if c == " " else other) for c in text])
-            start = np.zeros(self.width, np.int32)  # from the root, or after a mismatch
-            for c in range(self.width):
-                start[c] = (base + edges[0].get(c, 0)) * self.width * 2 + 1
-            start[self.pad] = base * self.width * 2
-            table = np.tile(start, (len(edges), 1))
-            for s, own in enumerate(edges[1:], 1):
-                for c, t in own.items():
-                    table[s, c] = (base + t) * self.width * 2
-            tables.append(table)
-            self.roots.append(base * self.width * 2)
-            base += len(edges)
-            del edges
+            states = automaton([s for c in text for s in ((0,) if c == " " else symbols.get(c, (other,)))])
+            sizes = np.array([len(e) for e in states], np.int64)
+            origin = np.repeat(np.arange(len(states), dtype=np.int32), sizes)
+            symbol = np.fromiter((c for e in states for c in e), np.uint8, len(origin))
+            target = np.fromiter((t for e in states for t in e.values()), np.int32, len(origin))
+            self.edges.append((len(states), origin, symbol, target))
+            del states
             released()
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts.values()])
 
+    def table(self, i: int) -> np.ndarray:
+        """Next states of a language: state * width * 2, and 1 where a phrase begins."""
+        count, origin, symbol, target = self.edges[i]
+        start = np.ones(self.width, np.int32)  # a mismatch restarts at the root's own edge
+        root = origin == 0
+        start[symbol[root]] = target[root] * self.width * 2 + 1
+        start[self.pad] = 0
+        table = np.tile(start, (count, 1))
+        table[origin[~root], symbol[~root]] = target[~root] * self.width * 2
+        return table.ravel()
+
+    def tables(self):
+        """The table of each language in turn."""
+        if 4 * self.width * sum(e[0] for e in self.edges) > TABLE_BYTES:
+            return map(self.table, range(len(self.langs)))
+        if not hasattr(self, "made"):
+            self.made = [self.table(i) for i in range(len(self.langs))]
+        return self.made
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letters and gaps of each text, and its phrases in each language."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        found = self.classes[points]
+        found = self.first[points]
         before = np.zeros_like(found)
         before[1:] = found[:-1]
         before[1:][doc[1:] != doc[:-1]] = 0
         keep = (found > 0) | (before > 0)
-        found, doc = found[keep], doc[keep]
+        found, doc, place = found[keep], doc[keep], self.second[points][keep]
+        letters = np.bincount(doc, minlength=len(texts))
+        if place.any():
+            twice = 1 + (place > 0)
+            ends = np.cumsum(twice) - 1
+            found, doc = np.repeat(found, twice), np.repeat(doc, twice)
+            found[ends[place > 0]] = place[place > 0]
         size = np.bincount(doc, minlength=len(texts))
         blocks = -(-size // BLOCK)
         first = np.cumsum(blocks) - blocks
         at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
         grid = np.full((BLOCK, int(blocks.sum())), self.pad, np.uint8)
         grid[at % BLOCK, first[doc] + at // BLOCK] = found
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], grid.shape[1], 1)
-        count = np.zeros(state.shape, np.int32)
-        for row in grid:
-            state >>= 1
-            state += row
-            state = self.table.take(state)
-            count += state & 1
         owner = np.repeat(np.arange(len(texts)), blocks)
-        return size, np.stack([np.bincount(owner, c, len(texts)) for c in count], 1)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        langs, scores, letters = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        counts = []
+        for table in self.tables():
+            state, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int32)
+            for row in grid:
+                state >>= 1
+                state += row
+                state = table.take(state)
+                count += state & 1
+            counts.append(np.bincount(owner, count, len(texts)))
+        return letters, np.stack(counts, 1)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
+        """Columns of OUT."""
+        langs, scores, letters, fits = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [False] * len(texts)
         if not texts or not self.langs:
-            return langs, scores, letters
+            return langs, scores, letters, fits
         size, phrases = self.phrases([t or "" for t in texts])
         has = np.flatnonzero(size > 0)
         cost = phrases[has] * self.bits / size[has, None]
@@ -166,11 +202,12 @@ class Model:
             langs[i] = self.langs[b]
             scores[i] = float(1 - c[0] / c[1]) if len(c) > 1 else 1.0
             letters[i] = float(size[i] / max(1.0, phrases[i, b]))
-        return langs, scores, letters
+            fits[i] = bool(size[i] < LEAST_LETTERS or letters[i] >= LEAST_PHRASE)
+        return langs, scores, letters, fits
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and phrase_letters (mean letters of a phrase of the winner)."""
+    """``docs`` with lang_pred, score, phrase_letters (mean letters of a phrase of the winner) and fits (a known language at all)."""
     kept = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def setup():

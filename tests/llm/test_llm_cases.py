@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import subprocess
 
 import numpy as np
@@ -47,6 +48,58 @@ def test_cross_parsing_counts_phrases():
     assert phrases[0].tolist() == [2, 5] and phrases[1].tolist() == [1, 1] and phrases[2].tolist() == [0, 0]
 
 
+def plain_phrases(train, text):
+    """Phrases of ``text`` in blocks, each the longest known part of ``train``, by plain search."""
+    count = 0
+    for at in range(0, len(text), language_id.BLOCK):
+        block, i = text[at : at + language_id.BLOCK], 0
+        while i < len(block):
+            size = 1
+            while i + size < len(block) and block[i : i + size + 1] in train:
+                size += 1
+            count, i = count + 1, i + size
+    return count
+
+
+def test_phrases_equal_plain_search_on_the_corpus(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sample = language_id.training_sample(docs, letters=6000)
+    model = language_id.Model(sample)
+    train = {lang: " ".join(language_id.letters_of(t) for t in ts) for lang, ts in sample.items()}
+    assert model.langs == sorted(train) and all(6000 * 0.8 < len(t) < 6000 + 4000 for t in train.values())
+    texts = [r.text for r in docs.filter("length(text) between 1 and 1500").collect()][:40]
+    size, phrases = model.phrases(texts)
+    for text, n, found in zip(texts, size.tolist(), phrases.tolist(), strict=True):
+        plain = re.sub(r"[\W\d_]+", " ", text.lower()).lstrip()
+        assert n == len(plain) and found == [plain_phrases(train[lang], plain) for lang in model.langs]
+
+
+@pytest.mark.parametrize("limit", [0, 256 << 20])
+def test_scripts_of_thousands_of_letters(monkeypatch, limit):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", limit)
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    a, b = rng.sample(letters, 2000), rng.sample(letters, 2000)
+    text = lambda own: " ".join("".join(rng.choice(own) + rng.choice(own[:30]) for _ in range(3)) for _ in range(900))
+    model = language_id.Model({"a": [text(a)], "b": [text(b)], "c": ["plain latin words " * 50]})
+    assert len({(x, y) for x, y in zip(model.first[0x4E00 : 0x4E00 + 3000].tolist(), model.second[0x4E00 : 0x4E00 + 3000].tolist(), strict=True)}) > 2000
+    assert model.predict([text(a)[:400], text(b)[:400], "latin words", "中", "x" * 100_000])[0][:3] == ["a", "b", "c"]
+
+
+def test_texts_of_no_known_language_do_not_fit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, rng = language_id.trained(docs), random.Random(2)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (100, 300, 1000) for _ in range(20)]
+    assert not any(model.predict([*noise, "съешь же ещё этих мягких булок", "123", None])[3])
+    assert all(model.predict([r.text for r in docs.collect()])[3]) and model.predict(["zq"])[3] == [True]
+
+
+def test_training_takes_whole_texts_within_its_bounds(spark):
+    rows = [(f"{w} " * 300, "xx") for w in ("aa", "bb", "cc", "dd")] + [("z" * (language_id.LONGEST + 1), "yy"), (None, "xx"), ("q", None), ("short", "zz")]
+    found = language_id.training_sample(table(spark, rows + rows, "text string, lang string"), letters=1000)
+    assert set(found) == {"xx", "zz"} and len(found["xx"]) == 2 and all(len(t) == 900 for t in found["xx"]) and found["zz"] == ["short"]
+
+
 # 2
 
 
