@@ -4,31 +4,42 @@ Texts and items are brought to lower-case words with one space between. An
 item of n characters may differ in k = floor(error_rate * n) edits; cut into
 k + 1 pieces, at least one piece of any such match is unchanged. One
 Aho-Corasick automaton finds the pieces in each text; every hit asks for a
-stretch of the text around it, and Myers' bit-parallel distance verifies that
-stretch. Items too short for an edit must stand in the text word for word.
+stretch of the text around it. As k edits change at most 3 k of the item's groups of
+three characters, a stretch that lacks more of them is out; Myers' bit-parallel
+distance verifies the others. That keeps pieces which many items share (the wording
+of a question) cheap. Items of equal text are searched once. Items too short
+for an edit must stand in the text word for word; items of fewer than
+``LEAST_WORDS`` words are in too many texts to tell anything and match nothing.
 
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters, with one
-pass over the documents each, so a benchmark of any size fits.
+pass over the documents each, so a benchmark of any size fits. With several
+blocks, a pass keeps only the hits and a digest of the texts that have any, and
+they are joined to the documents at the end.
 
 Null and empty texts match nothing; null and empty items match nothing.
 Repeated documents and repeated items are matched each on its own; of several
 matches of an item in a text the one with the fewest edits (then the first) is
-reported. Empty tables give an empty result. Spans count code points of the
-original text, end exclusive.
+reported. Very long texts are searched whole. Empty tables give an empty result.
+Spans count code points of the original text, end exclusive, from a word's
+character to a word's character. A column of the output's name is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import map_text, unused
+from matchgrid.llm.common import map_text
 from matchgrid.sources.store import stored
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
+LEAST_WORDS = 3
+#: Characters of a part of a text whose groups of GRAM characters are looked up together.
+PART, GRAM = 256, 3
 WORD = re.compile(r"[^\W_]+")
 HITS = "array<struct<item_id: long, edits: int, start: int, end: int>>"
 
@@ -68,23 +79,29 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 class Items:
     """Searches texts for the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_words: int = LEAST_WORDS):
         import ahocorasick
 
         self.items, self.trie = [], ahocorasick.Automaton()
-        owners: dict[str, list[tuple[int, int]]] = {}
+        same: dict[str, list[int]] = {}
         for item_id, text in items:
             word = normal(text)
-            if not word:
-                continue
+            if word and word.count(" ") + 1 >= least_words:
+                same.setdefault(word, []).append(item_id)
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for word, ids in same.items():
             k = int(len(word) * error_rate)
             pattern = word if k else f" {word} "
             for offset, piece in pieces_of(pattern, k):
                 owners.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, pattern, k))
+            self.items.append((ids, pattern, k, grams(pattern)))
         for piece, own in owners.items():
             self.trie.add_word(piece, (len(piece), own))
         if owners:
@@ -98,19 +115,30 @@ class Items:
         for end, (size, own) in self.trie.iter(body):
             for item, offset in own:
                 starts.setdefault(item, set()).add(end + 1 - size - offset)
+        parts: dict[int, set[str]] = {}
         found = []
         for item, at in starts.items():
-            item_id, pattern, k = self.items[item]
+            ids, pattern, k, own = self.items[item]
             best = None
             for low, high in stretches(sorted(at), k):
-                left = max(0, low - k)
-                hit = myers(pattern, body[left : high + len(pattern) + k], k)
+                left, right = max(0, low - k), high + len(pattern) + k
+                lacking = own
+                for p in range(left // PART, right // PART + 1):
+                    if p not in parts:
+                        parts[p] = grams(body[p * PART : (p + 1) * PART + GRAM - 1])
+                    lacking = lacking - parts[p]
+                if len(lacking) > GRAM * k:
+                    continue
+                hit = myers(pattern, body[left:right], k)
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], left + hit[1])
             if best:
                 edits, end = best
                 back = myers(pattern[::-1], body[max(0, end - len(pattern) - k) : end][::-1], edits)
-                found.append({"item_id": item_id, "edits": edits, "start": end - back[1], "end": end})
+                start = end - back[1]
+                start += len(body[start:end]) - len(body[start:end].lstrip(" "))
+                end -= len(body[start:end]) - len(body[start:end].rstrip(" "))
+                found += [{"item_id": i, "edits": edits, "start": start, "end": end} for i in ids]
         if found:
             to_original(text, found)
         return sorted(found, key=lambda h: (h["item_id"], h["start"]))
@@ -136,8 +164,6 @@ def to_original(text: str, found: list[dict]) -> None:
     for hit in found:
         hit["start"] = places[min(hit["start"], len(places) - 1)]
         hit["end"] = places[min(hit["end"] - 1, len(places) - 1)] + 1
-        if hit["end"] > 1 and not text[hit["end"] - 1 : hit["end"]].isalnum():
-            hit["end"] -= 1
 
 
 def matches(docs: DataFrame, items: list[tuple[int, str]], error_rate: float = ERROR_RATE) -> DataFrame:
@@ -164,22 +190,20 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``bench_hits`` over every block of the benchmark.
 
-    Each block's pass is written out before the next one, so that the driver
-    holds the items of one block at a time.
+    Of several blocks the driver holds the items of one at a time.
     """
     blocks = item_blocks(benchmark, block_chars)
-    out = docs
-    for i, block in enumerate(blocks):
-        items = [(r.item_id, r.text) for r in block.collect()]
-        before = unused(out, "bench_hits_before")
-        if i:
-            out = out.withColumnRenamed("bench_hits", before)
-        out = matches(out, items, error_rate)
-        if i:
-            out = out.withColumn("bench_hits", F.concat(before, "bench_hits")).drop(before)
-        if len(blocks) > 1:
-            out = stored(out, "decontamination")
-    return out
+    items = lambda block: [(r.item_id, r.text) for r in block.collect()]
+    if len(blocks) == 1:
+        return matches(docs, items(blocks[0]), error_rate)
+    passes = []
+    for block in blocks:
+        hits = matches(docs.select("text"), items(block), error_rate).filter(F.size("bench_hits") > 0)
+        passes.append(stored(hits.select(F.sha2("text", 256).alias("hit_key"), "bench_hits").dropDuplicates(["hit_key"]), "decontamination"))
+    every = functools.reduce(DataFrame.unionByName, passes).groupBy("hit_key").agg(F.flatten(F.collect_list("bench_hits")).alias("found"))
+    own = [c for c in docs.columns if c.lower() != "bench_hits"]
+    rows = docs.select(F.struct(*own).alias("row"), F.sha2("text", 256).alias("key")).join(every, F.col("key") == F.col("hit_key"), "left")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in own), F.array_sort(F.coalesce("found", F.array())).cast(HITS.replace(": ", ":")).alias("bench_hits"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,48 @@ def test_myers_and_pigeonhole_equal_the_plain_table(seed):
     assert [h["edits"] for h in found] == ([want] if want <= k else [])
 
 
+def least_edits(patterns, bodies):
+    """Fewest edits of each pattern against any stretch of each body: plain rows of the distance table, all bodies at once."""
+    apart = "\0" * 64
+    places, at = [], 0
+    for body in bodies:
+        places.append((at, at + len(body)))
+        at += len(body) + len(apart)
+    text = np.frombuffer((apart.join(bodies) + apart).encode("utf-32-le"), np.uint32)
+    steps = np.arange(len(text) + 1, dtype=np.int32)
+    out = []
+    for pattern in patterns:
+        row = np.zeros(len(text) + 1, np.int32)
+        for i, p in enumerate(pattern, 1):
+            new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (text != ord(p))]))
+            row = np.minimum.accumulate(new - steps) + steps
+        out.append([int(row[a : b + 1].min()) for a, b in places])
+    return out
+
+
+def test_decontamination_query_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r.text or "") <= 2500]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy(F.xxhash64("item_id")).limit(40).collect()]
+    bodies = [f" {decontamination.normal(t)} " for _, t in docs]
+    patterns = [decontamination.normal(t) for _, t in items]
+    assert all(len(p) * 0.08 >= 1 for p in patterns)
+    want = {(d, i, e) for (i, _), p, row in zip(items, patterns, least_edits(patterns, bodies), strict=True) for (d, _), e in zip(docs, row, strict=True) if e <= int(len(p) * 0.08)}
+    for block in (4_000_000, 2000):
+        hits = decontamination.contaminated(table(spark, docs), table(spark, items, "item_id long, text string"), block_chars=block)
+        rows = hits.select("doc_id", F.explode("bench_hits").alias("h")).collect()
+        assert want and {(r.doc_id, r.h.item_id, r.h.edits) for r in rows} == want and len(rows) == len(want)
+
+
+def test_items_with_common_wording():
+    wording = "which of the following answers is right in the case of "
+    items = [(i, wording + f"w{i}x{i * i} y{i}z and {i * 7919}") for i in range(400)]
+    search = decontamination.Items(items, 0.08).search
+    text = "some words " + items[7][1] + " more " + wording + "none of them at all and so on until the end " + items[9][1].replace("y9z", "y9")
+    assert {h["item_id"]: h["edits"] for h in search(text)}.items() >= {7: 0, 9: 1}.items()
+    want = least_edits([decontamination.normal(t) for _, t in items], [f" {decontamination.normal(text)} "])
+    assert {h["item_id"]: h["edits"] for h in search(text)} == {i: e for (i, t), (e,) in zip(items, want, strict=True) if e <= int(len(decontamination.normal(t)) * 0.08)}
+
+
 def test_decontamination_cases(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch quietly"
     docs = table(spark, [(1, f"x {item.upper()}!! y"), (2, None), (3, ""), (4, "the quick brown fox"), (1, item), (5, "pad " * 30000 + item.replace("lazy", "lazzy"))])
@@ -140,6 +182,9 @@ def test_decontamination_cases(spark):
         assert sorted((r.doc_id, r.h.item_id, r.h.edits) for r in rows) == [(1, 9, 0)] * 4 + [(5, 9, 1)] * 2
         first = next(r for r in rows if r.text.startswith("x"))
         assert first.text[first.h.start : first.h.end] == item.upper()
+    short = table(spark, [(1, "Well, YES of it."), (2, "yes"), (3, "xyes of itx"), (4, "yes  of--it")])
+    found = decontamination.contaminated(short, table(spark, [(1, "yes of it"), (2, "of it"), (3, "yes")], "item_id long, text string"))
+    assert {(r.doc_id, r.h.item_id, r.text[r.h.start : r.h.end]) for r in found.select("doc_id", "text", F.explode("bench_hits").alias("h")).collect()} == {(1, 1, "YES of it"), (4, 1, "yes  of--it")}
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).filter("size(bench_hits) > 0").count() == 0
 
