@@ -1,46 +1,60 @@
 r"""WARC archives: one gzip member per record, written and read by Spark.
 
+The format is a Spark data source (``df.write.format("warc")``,
+``spark.read.format("warc")``) whose tasks stream to and from files.
+
 Writing: of pages with equal payloads of at least ``LEAST_REVISIT`` bytes the
 smallest page_id becomes the response, the others are revisit records that
-name it. Only digests are grouped; a digest that repeats is joined back to its
-pages, and AQE splits the join where a payload is hot. Each record is a gzip
-member of its own. Files of at most ``PER_FILE`` records go through Spark's
-text sink, which writes a column's bytes as they are; its line separator is set
-to an empty gzip member, so the files are plain ``.warc.gz`` files and can lie
-in any store that Spark reaches.
-
-Reading is sequential within a file: zlib decompresses chunk by chunk, a
-member's end starts the next record, header lines and Content-Length frame its
-block, and block and payload digests are verified. A record that is cut off,
-badly framed or fails a digest is returned with ``error`` set, never dropped.
+name it. Only digests are grouped, and the repeated ones come back to the
+pages: broadcast while they are at most ``BROADCAST_ROWS``, else in a join that AQE
+splits where a payload is hot. Each record is a gzip member of its own; a file
+is closed once it has ``FILE_BYTES``. Files carry the name of their attempt and are
+moved to their place when the job commits, so a repeated task leaves nothing behind.
+
+Reading is sequential within a file, in chunks of ``CHUNK`` bytes: zlib
+decompresses chunk by chunk, a member's end starts the next record, header lines
+and Content-Length frame its block, and block and payload digests (sha256, sha1,
+md5; hex or base32) are verified. ``checked`` names the digests that were, or
+``unknown`` where a digest is of another kind. A record that is cut off, badly
+framed, larger than ``LONGEST`` or fails a digest is returned with ``error`` set; after
+damage reading goes on at the next member that holds a record. A task holds one
+record at a time besides the batch that it gives out, so files may be of any size.
 
 Null html is an empty payload. Pages that share page_id and payload are all
 responses if theirs is the smallest id. Null page_ids come after all others.
-Null urls leave out the target header. An empty table gives no records.
+Null urls leave out the target header. Very long payloads are one record each. An
+empty table gives no records. Other columns of ``pages`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from matchgrid.llm.common import slices, tidy
-from matchgrid.sources.store import shared_dir
+from matchgrid.sources.store import shared_dir, stored
 
 LEAST_REVISIT = 100
-PER_FILE = 2000
+#: Compressed bytes after which a file is closed; small files are read together up to GROUP_BYTES.
+FILE_BYTES, GROUP_BYTES = 64 << 20, 4 << 20
 CHUNK = 1 << 16
+#: Decompressed bytes of a record beyond which it is taken for damage.
+LONGEST = 1 << 30
+#: Repeated digests (some 100 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+MAGIC = b"\x1f\x8b\x08"
 # Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, checked string, error string"
 
 
 def typed(pages: DataFrame) -> DataFrame:
@@ -48,7 +62,9 @@ def typed(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
     large = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    several = large.filter("n > 1 and first is not null").select("digest", "first")
+    several = stored(large.filter("n > 1 and first is not null").select("digest", "first"), "repeated-payloads")
+    if several.count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(several, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
@@ -80,36 +96,51 @@ def member(page_id, url, payload: bytes, digest: str, record_type: str, refers_t
     return pack.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n") + pack.flush()
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write the records of ``pages`` (page_id, url, html) as archives under ``path``."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "payload"):
-                rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")), strict=True)
-                made = [member(i, u, p.encode(), d, t, r) for i, u, p, d, t, r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
-
-    records = typed(pages).mapInArrow(tidy(run), "member binary").select(F.col("member").cast("string").alias("value"))
-    sink = records.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-    sink.option("maxRecordsPerFile", PER_FILE).text(path)
-
-
-def members(content: bytes) -> Iterator[tuple[bytes, bool]]:
-    """The decompressed members of a file in turn, and whether each is complete."""
-    at, feed = 0, memoryview(content)
-    while at < len(feed):
-        unpack, parts = zlib.decompressobj(wbits=31), []
-        try:
-            while not unpack.eof and at < len(feed):
-                chunk = feed[at : at + CHUNK]
-                parts.append(unpack.decompress(chunk))
-                at += len(chunk) - len(unpack.unused_data)
-        except zlib.error:
-            yield b"".join(parts), False
+def members(stream) -> Iterator[tuple[bytes, str | None]]:
+    """The decompressed members of a file that is read in turn, each with an error or None."""
+    feed, lost, more = b"", False, True
+    while True:
+        # A member begins where feed begins; after damage, at the next place that looks like one.
+        if lost:
+            at = feed.find(MAGIC)
+            feed = feed[at:] if at >= 0 else feed[-2:]
+        raw, at, out, size, error = [feed], 0, [], 0, None
+        unpack = zlib.decompressobj(wbits=31)
+        while not unpack.eof:
+            if at == len(raw[-1]):
+                chunk = stream.read(CHUNK) if more else b""
+                more = bool(chunk)
+                if not more:
+                    break
+                raw.append(chunk)
+                at = 0
+            piece = raw[-1][at : at + CHUNK]
+            at += len(piece)
+            try:
+                out.append(unpack.decompress(piece))
+            except zlib.error:
+                error = "not gzip" if not out or not any(out) else "cut off"
+                break
+            size += len(out[-1])
+            if size > LONGEST:
+                error = "too long"
+                break
+        data, whole = b"".join(out), b"".join(raw)
+        if unpack.eof:
+            feed = unpack.unused_data + raw[-1][at:]
+            if data and (not lost or data.startswith(b"WARC/")):
+                yield data, None
+                lost = False
+            continue
+        if not whole.strip(b"\0") or (lost and len(whole) < 3):
             return
-        if parts := b"".join(parts):
-            yield parts, unpack.eof
+        if not lost or data.startswith(b"WARC/"):
+            yield data, error or "cut off"
+        if not more and error is None:
+            # Nothing follows what was cut off, unless a member begins within it.
+            if whole.find(MAGIC, 1) < 0:
+                return
+        feed, lost = whole[1:], True
 
 
 def framed(data: bytes) -> tuple[dict[str, str], bytes, str | None]:
@@ -126,61 +157,185 @@ def framed(data: bytes) -> tuple[dict[str, str], bytes, str | None]:
     return headers, block, None
 
 
-def verified(claim: str | None, data: bytes) -> bool:
-    """A digest header, if there is one of a known kind, agrees with the data."""
+def verified(claim: str | None, data: bytes) -> bool | None:
+    """Whether the digest header agrees with the data; None for no digest or one of an unknown kind."""
     kind, _, value = (claim or "").partition(":")
-    return kind.lower() != "sha256" or hashlib.sha256(data).hexdigest() == value.lower()
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha256", "sha1", "md5"):
+        return None
+    digest, value = hashlib.new(kind, data).digest(), value.strip()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
 
 
-def record(data: bytes, whole: bool) -> tuple:
+def record(data: bytes, error: str | None) -> tuple:
     """One row of RECORD."""
-    headers, block, error = framed(data)
+    headers, block, bad = framed(data)
+    error = error or bad
     kind = headers.get("warc-type")
     http, _, payload = block.partition(b"\r\n\r\n")
     size = len(payload)
     digest = headers.get("warc-payload-digest", "").partition(":")[2].lower()
-    if not whole:
-        error = "cut off"
-    elif error is None and not verified(headers.get("warc-block-digest"), block):
-        error = "block digest"
-    elif error is None and kind != "revisit" and not verified(headers.get("warc-payload-digest"), payload):
-        error = "payload digest"
+    claims = [("block", headers.get("warc-block-digest"), block)]
+    if kind != "revisit":  # a revisit's payload is in another record
+        claims.append(("payload", headers.get("warc-payload-digest"), payload))
+    checked = []
+    for name, claim, part in claims if error is None else []:
+        good = verified(claim, part)
+        if good is False:
+            error = error or f"{name} digest"
+        elif good or claim:
+            checked.append(name if good else "unknown")
     if kind == "revisit":
         own = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
         size = int(own["content-length"]) if own.get("content-length", "").isdigit() else 0
         payload = None
-    return page_of(headers.get("warc-record-id")), headers.get("warc-target-uri"), kind, page_of(headers.get("warc-refers-to")), size, digest, payload, error
+    target = headers.get("warc-target-uri")
+    return page_of(headers.get("warc-record-id")), target, kind, page_of(headers.get("warc-refers-to")), size, digest, payload, ",".join(checked), error
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path``."""
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-    names = [c.split()[0] for c in RECORD.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, size = [], 0
-                for data, whole in members(content.as_py()):
-                    rows.append(record(data, whole))
+def store_of(path: str):
+    """The file system of a path and the path in it."""
+    from pyarrow import fs
+
+    scheme, given, rest = path.partition(":")
+    if not given or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The files of a task, as they are and as they shall be named."""
+
+    files: list[tuple[str, str]]
+
+
+class Writer(DataSourceArrowWriter):
+    """Writes rows of ``typed``."""
+
+    def __init__(self, path: str, file_bytes: int):
+        self.path, self.file_bytes, self.job = path, file_bytes, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, folder = store_of(self.path)
+        store.create_dir(f"{folder}/_temporary", recursive=True)
+        attempt, files, out, size = uuid.uuid4().hex, [], None, 0
+        try:
+            for batch in iterator:
+                for i in range(batch.num_rows):
+                    one = member(*(batch.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")))
+                    if out is None:
+                        name = f"{attempt}-{len(files):05}.warc.gz"
+                        files.append((f"{folder}/_temporary/{name}", f"{folder}/{name}"))
+                        out, size = store.open_output_stream(files[-1][0], compression=None), 0
+                    out.write(one)
+                    size += len(one)
+                    if size >= self.file_bytes:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, folder = store_of(self.path)
+        for source, target in (f for m in messages if m for f in m.files):
+            store.move(source, target)
+        store.create_dir(f"{folder}/_temporary", recursive=True)
+        store.delete_dir(f"{folder}/_temporary")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, _ = store_of(self.path)
+        for source, _ in (f for m in messages if m for f in m.files):
+            store.delete_file(source)
+
+
+@dataclass
+class Files(InputPartition):
+    """Files that one task reads in turn."""
+
+    names: list[str]
+
+
+class Reader(DataSourceReader):
+    def __init__(self, path: str, names: list[str]):
+        self.path, self.names = path, names
+
+    def partitions(self) -> list[Files]:
+        from pyarrow import fs
+
+        store, folder = store_of(self.path)
+        found = store.get_file_info(fs.FileSelector(folder, recursive=True)) if store.get_file_info(folder).type == fs.FileType.Directory else [store.get_file_info(folder)]
+        out, size = [], 0
+        for f in sorted((f for f in found if f.path.endswith(".warc.gz") and "/_" not in f.path[len(folder) :]), key=lambda f: f.path):
+            if not out or size + f.size > GROUP_BYTES:
+                out.append(Files([]))
+                size = 0
+            out[-1].names.append(f.path)
+            size += f.size
+        return out or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(self.path)
+        rows, size = [], 0
+        for name in partition.names:
+            with store.open_input_stream(name, compression=None) as stream:
+                for data, error in members(stream):
+                    rows.append(record(data, error))
                     size += len(data)
-                    if size > 8 << 20:
-                        yield table(rows)
+                    if size > 4 << 20 or len(rows) == 10_000:
+                        yield self.batch(rows)
                         rows, size = [], 0
-                yield table(rows)
+        yield self.batch(rows)
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        every = dict(zip(TYPES, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(TYPES, ())
+        return pa.RecordBatch.from_arrays([pa.array(every[n], TYPES[n]) for n in self.names], self.names)
+
+
+TYPES = {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in RECORD.split(", ")}
+
+
+class WarcSource(DataSource):
+    """Format ``warc``. Options: path; file_bytes (writing); payload, false to leave the payloads out (reading)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def columns(self) -> list[str]:
+        bare = str(self.options.get("payload", "true")).lower() == "false"
+        return [c for c in RECORD.split(", ") if not (bare and c == "payload binary")]
 
-    def table(rows):
-        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    def schema(self) -> str:
+        return ", ".join(self.columns())
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
+    def reader(self, schema) -> Reader:
+        return Reader(self.options["path"], [c.split()[0] for c in self.columns()])
+
+    def writer(self, schema, overwrite: bool) -> Writer:
+        return Writer(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
+
+
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the records of ``pages`` (page_id, url, html) as archives under ``path``."""
+    pages.sparkSession.dataSource.register(WarcSource)
+    rows = typed(pages).withColumn("payload", F.col("payload").cast("binary"))
+    rows.write.format("warc").option("file_bytes", file_bytes).mode("append").save(path)
+
+
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Every record of the archives under ``path``."""
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: what the archives of ``pages`` say of every page."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "checked", "error")
 
 
 ORACLE = """
@@ -188,6 +343,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to, NULL::VARCHAR AS error
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       CASE WHEN first IS NULL OR first = page_id THEN 'block,payload' ELSE 'block' END AS checked, NULL::VARCHAR AS error
 FROM p LEFT JOIN f USING (d)
 """

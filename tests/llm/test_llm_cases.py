@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import base64
 import gzip
 import hashlib
+import io
 import random
 import re
 import subprocess
@@ -196,29 +198,63 @@ def test_warc_round_trip(spark, tmp_path):
     long = "é" * 200000
     rows = [(3, "http://a/\r\nX: 1", long), (1, "http://b", "x" * 100), (2, None, "x" * 100), (2, "http://c", "x" * 100), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", long)]
     pages = table(spark, rows, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
-    path = str(tmp_path / "w")
-    warc.write(pages, path)
-    found = warc.read(spark, path).collect()
-    assert len(found) == len(rows) and all(r.error is None for r in found)
-    assert sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in found) == sorted([(3, "response", None), (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (0, "revisit", 3)], key=lambda x: x)
-    assert {r.payload_digest for r in found if r.page_id == 2} == {hashlib.sha256(b"x" * 100).hexdigest()} and {r.payload_bytes for r in found if r.page_id == 2} == {100}
-    assert bytes(next(r.payload for r in found if r.page_id == 3)).decode() == long
-    import glob
-
-    files = glob.glob(f"{path}/part-*")
-    whole = b"".join(gzip.decompress(open(f, "rb").read()) for f in files)
-    assert whole.count(b"WARC/1.1\r\n") == len(rows)
-    assert subprocess.run(["gzip", "-t", *[f for f in files if f.endswith(".gz")]], capture_output=True).returncode in (0, 1)
+    for at, size in (("w", warc.FILE_BYTES), ("small", 1)):
+        path = str(tmp_path / at)
+        warc.write(pages, path, size)
+        found = warc.read(spark, path).collect()
+        assert len(found) == len(rows) and all(r.error is None for r in found)
+        assert sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in found) == sorted([(3, "response", None), (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (0, "revisit", 3)], key=lambda x: x)
+        assert {r.payload_digest for r in found if r.page_id == 2} == {hashlib.sha256(b"x" * 100).hexdigest()} and {r.payload_bytes for r in found if r.page_id == 2} == {100}
+        assert {r.checked for r in found if r.record_type == "revisit"} == {"block"} and {r.checked for r in found if r.record_type == "response"} == {"block,payload"}
+        assert bytes(next(r.payload for r in found if r.page_id == 3)).decode() == long
+        files = [str(f) for f in (tmp_path / at).iterdir()]
+        assert files and all(f.endswith(".warc.gz") for f in files) and (size > 1 or len(files) == len(rows))
+        whole = b"".join(gzip.decompress(open(f, "rb").read()) for f in files)
+        assert whole.count(b"WARC/1.1\r\n") == len(rows)
+        assert subprocess.run(["gzip", "-t", *files], capture_output=True).returncode == 0
+        assert warc.read(spark, path, payload=False).columns == [c for c in warc.read(spark, path).columns if c != "payload"]
     warc.write(pages.limit(0), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_joins_where_repeated_payloads_are_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    pages = table(spark, [(i, "u", "p" * (100 + i % 3)) for i in range(9)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    assert sorted((r.page_id, r.refers_to) for r in warc.read(spark, str(tmp_path / "w")).collect()) == [(i, None if i < 3 else i % 3) for i in range(9)]
+
+
+def warc_rows(content):
+    return [warc.record(d, e) for d, e in warc.members(io.BytesIO(content))]
+
+
 def test_warc_damage_is_reported():
-    good = warc.member(1, "u", b"hello " * 50, hashlib.sha256(b"hello " * 50).hexdigest(), "response", None)
+    body = bytes(random.Random(8).randbytes(200_000))
+    good, large = (warc.member(i, "u", p, hashlib.sha256(p).hexdigest(), "response", None) for i, p in ((1, b"hello " * 50), (3, body)))
     bad = warc.member(2, "u", b"hello", hashlib.sha256(b"other").hexdigest(), "response", None)
-    errors = [warc.record(d, w)[-1] for d, w in warc.members(good + bad + warc.EMPTY_MEMBER + good[:-30])]
-    assert errors == [None, "payload digest", "cut off"]
-    assert warc.record(b"junk", True)[-1] == "bad header"
+    nothing = gzip.compress(b"")
+    errors = lambda content: [(r[0], r[-1]) for r in warc_rows(content)]
+    assert errors(good + bad + nothing + large + good[:-30]) == [(1, None), (2, "payload digest"), (3, None), (1, "cut off")]
+    broken = bytearray(large)
+    broken[100_000:100_050] = b"\xff" * 50
+    rows = errors(good + bytes(broken) + bad + large)
+    assert rows[0] == (1, None) and rows[1][1] == "cut off" and rows[-2:] == [(2, "payload digest"), (3, None)] and len(rows) == 4
+    assert errors(b"no archive") == [(None, "not gzip")] and errors(b"") == [] and errors(b"junk" + good)[-1] == (1, None)
+    assert warc.record(b"junk", None)[-1] == "bad header"
+
+
+def test_warc_digests():
+    data = b"some bytes"
+    for kind in ("sha256", "sha1", "md5"):
+        raw = hashlib.new(kind, data).digest()
+        for value in (raw.hex(), raw.hex().upper(), base64.b32encode(raw).decode()):
+            assert warc.verified(f"{kind}:{value}", data) is True and warc.verified(f"{kind}:{value}", data + b"x") is False
+    assert warc.verified("sha512:00", data) is None and warc.verified(None, data) is None
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    head = lambda digest: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\nWARC-Payload-Digest: %s\r\n\r\n" % (len(block), digest) + block + b"\r\n\r\n"
+    assert warc.record(head(b"blake3:abc"), None)[-2:] == ("unknown", None)
+    assert warc.record(head(b"sha1:" + base64.b32encode(hashlib.sha1(b"body").digest())), None)[-2:] == ("payload", None)
+    assert warc.record(head(b"sha1:AAAA"), None)[-1] == "payload digest"
 
 
 # 4
