@@ -355,7 +355,7 @@ def test_url_cases(spark):
     ]
     pages = table(spark, [(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (0, urls[1])], "page_id long, url string").withColumn("host", F.lit("own"))
     found = {}
-    for r in url_filters.judged(pages, url_filters.HOST_RULES + url_filters.PATTERN_RULES).collect():
+    for r in url_filters.judged(pages, url_filters.rules_table(spark, url_filters.HOST_RULES, url_filters.PATTERN_RULES)).collect():
         found.setdefault((r.page_id, r.url), []).append((r.host, r.path, r.rule, r.verdict))
     assert found[0, urls[0]] == [("example.org", "/es/x", "example.org/es/", "block")] * 2 and len(found) == len(urls) + 1
     one = {i: found[i, u][0] for i, u in enumerate(urls)}
@@ -364,7 +364,57 @@ def test_url_cases(spark):
     assert one[6] == one[7] == one[8] == ("", "", None, "allow") and one[9][2:] == (None, "block")
     assert one[10] == ("x.com", "/fr/http://y.org/", "com/fr/", "allow") and one[11][2] == "org/"
     assert one[12][3] == "allow" and one[13][3] == "block"
-    assert url_filters.judged(pages.limit(0), url_filters.HOST_RULES).count() == 0
+    rules = url_filters.rules_table(spark, url_filters.HOST_RULES, [])
+    assert url_filters.judged(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_filters.judged(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+PATTERNS = ["||a.com^", "|a.com/", "^ad*top^", "x*y", "*q*", "b.net|", "^track^", "/Up^", "(1+1)", "^|", "é^z", "||com/a/*/c^", "a", "^^", "[x]$"]
+
+
+def plain_fits(pattern, place):
+    """Fits by plain search: the pattern's parts one after the other at every start."""
+    start = {0: [0]} if pattern.startswith("|") else {}
+    body = pattern.removeprefix("||" if pattern.startswith("||") else "|")
+    end = body.endswith("|") and len(body) > 0
+    body = body[:-1] if end else body
+    if pattern.startswith("||"):
+        at = {0} | {i + 1 for i, c in enumerate(place.split("/")[0]) if c == "."}
+    else:
+        at = {0} if start else set(range(len(place) + 1))
+    for c in body:
+        if c == "*":
+            at = {j for i in at for j in range(i, len(place) + 1)}
+        elif c == "^":
+            sep = {i + 1 for i in at if i < len(place) and not (place[i].isascii() and place[i].isalnum())}
+            at = sep | (at & {0, len(place)})
+        else:
+            at = {i + 1 for i in at if i < len(place) and place[i] == c}
+    return len(place) in at if end else bool(at)
+
+
+def test_patterns_equal_plain_search(spark):
+    places = ["a.com/", "b.a.com", "xa.com/x", "ad-top/", "bad-top", "ad.x.top", "x1y", "b.net", "c.b.net/", "track", "s.track.io/", "h/up/", "h/Up", "h/Up.x", "h/(1+1)", "q", "é!z", "éz", "com/a/b/c", "x.com/a//c/", "a--", "h/[x]$", "h/a\nb.net", "zz"]
+    pages = table(spark, [(i, f"http://{p}") for i, p in enumerate(places)] + [(99, None), (98, "http://" + "a" * 60000 + "/track/"), (97, "x" * 60000)], "page_id long, url string")
+    each = spark.createDataFrame([(p, x) for p in PATTERNS for x in places], "p string, x string")
+    for p, x, fits in each.select("p", "x", F.expr("x").rlike(url_filters.expression_of(F.col("p")))).collect():
+        assert fits == plain_fits(p, x), (p, x)
+    for pattern in (["^track^"], ["x*y", "a"], PATTERNS):
+        rules = url_filters.rules_table(spark, [], [(p, "block") for p in pattern])
+        for r in url_filters.judged(pages, rules).collect():
+            place = r.host + r.path
+            assert r.verdict == ("block" if any(plain_fits(p, place) for p in pattern) else "allow"), (pattern, place[:50])
+
+
+def test_tokens_of_patterns(spark):
+    rows = spark.createDataFrame([(p,) for p in ["||a.com^", "^ad*top^", "x*y", "/Up^", "spam", "^big-farm^", "||example.org/en/1"]], "p string")
+    assert [r[0] for r in rows.select(url_filters.needs_of(F.col("p"))).collect()] == [["a", "com"], [], [], ["up"], [], ["big", "farm"], ["example", "org", "en"]]
+
+
+def test_equally_long_rules(spark):
+    pages = table(spark, [(1, "http://x.org/es"), (2, "http://y.org/es")], "page_id long, url string")
+    rules = url_filters.rules_table(spark, [("x.org/", "allow"), ("org/es", "block"), ("y.org/es", "allow"), ("y.org/es", "block")], [])
+    assert sorted((r.page_id, r.rule, r.verdict) for r in url_filters.judged(pages, rules).collect()) == [(1, "x.org/", "allow"), (2, "y.org/es", "block")]
 
 
 # 8
