@@ -56,7 +56,9 @@ def lowered(text: Column) -> Column:
 def expression_of(pattern: Column) -> Column:
     """The regular expression of a pattern."""
     body = F.regexp_replace(pattern, r"^\|\|?|\|$", "")
-    body = F.regexp_replace(body, r"[^A-Za-z0-9*^]", r"\\$0")
+    # Stars at an end without an anchor say nothing, as the search begins anywhere.
+    body = F.when(F.startswith(pattern, F.lit("|")), body).otherwise(F.regexp_replace(body, r"^\*+", ""))
+    body = F.regexp_replace(F.regexp_replace(body, r"[^A-Za-z0-9*^]", r"\\$0"), r"\*+", "*")
     body = F.replace(F.replace(body, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(r"(?:[^A-Za-z0-9]|^|\z)"))
     start = F.when(F.startswith(pattern, F.lit("||")), r"^(?:[^/]*\.)?").when(F.startswith(pattern, F.lit("|")), "^").otherwise("")
     return F.concat(F.lit("(?s)"), start, body, F.when(F.endswith(pattern, F.lit("|")), r"\z").otherwise(""))
