@@ -384,7 +384,7 @@ def plain_fits(pattern, place):
         at = {0} if start else set(range(len(place) + 1))
     for c in body:
         if c == "*":
-            at = {j for i in at for j in range(i, len(place) + 1)}
+            at = set(range(min(at), len(place) + 1)) if at else set()
         elif c == "^":
             sep = {i + 1 for i in at if i < len(place) and not (place[i].isascii() and place[i].isalnum())}
             at = sep | (at & {0, len(place)})
