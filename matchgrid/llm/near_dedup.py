@@ -10,39 +10,50 @@ sketches estimates their similarity; a candidate goes on unless sets at the
 threshold would show such a count with a probability below 1e-8. In hot bands the private
 shingles of each vertex (in no other vertex of a hot band) are counted: they
 bound the intersection from above, so a pair that cannot reach the threshold
-goes no further. What is left is confirmed on the full shingle sets. Two rounds
+goes no further. What is left is confirmed on the full shingle sets. Three steps
 keep this small in large groups:
 
 1. Each vertex is confirmed against the closest few of its bands' leaders, which
-   are the vertices with the least share of private shingles.
-2. Components are contracted. In bands that still hold several components, every
-   vertex outside the band's largest one is compared with all vertices of other
-   components, so no link between components is lost, whatever the group's size.
-
-Bands are joined, not gathered, so a hot band is spread over tasks.
-
-Documents without words are linked with nothing; null text has none. Repeated
-rows are copies. The component is named by the smallest doc_id in it; null
-doc_ids count only where a component has no other. An empty table gives an
-empty result.
+   are the vertices with the least share of private shingles. Components are contracted.
+2. In the other bands that still hold several components every vertex outside the
+   band's largest one is compared with all vertices of other components.
+3. In hot bands that still hold several, vertices meet by rare shingles instead.
+   Each set is ordered by the number of these vertices that have a shingle, rarest
+   first. Two sets at the threshold share one among the first of each (of n shingles
+   the first n - 2tn / (1 + t) + 1 of the smaller and n - tn + 1 of the larger set), so
+   only vertices that do are compared. Boilerplate that makes a band hot is at the end of that
+   order: documents that share it and differ by more than the threshold allows do not
+   meet, whatever their number. On a shingle, vertices of its largest component
+   are not compared with each other.
+
+No link between components is lost, whatever a group's size. Bands and
+shingles are joined, not gathered, so a hot one is spread over tasks.
+
+Documents without words are linked with nothing; null text has none. Very long
+texts are read whole, one at a time. Repeated rows are copies. The component is
+named by the smallest doc_id in it; null doc_ids count only where a component has
+no other. An empty table gives an empty result. Columns of the outputs' names are
+replaced; others stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.llm import shingles as S
 from matchgrid.llm.common import map_text, slices, tidy
 from matchgrid.operators.components import components
-from matchgrid.sources.store import stored
+from matchgrid.sources.store import discard, stored
 
 #: A band with more vertices than this is hot: private shingles are counted in it.
 HOT = 64
 #: Leaders that a vertex is confirmed against.
 LEADERS = 3
+#: Rows (of some 100 bytes) up to which the vertices whose sets are wanted are broadcast.
+BROADCAST_ROWS = 200_000
 SKETCH = ["s1", "s2", "s3", "s4"]
 SIGNED = "n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
@@ -90,25 +101,34 @@ def shared_bands(vertices: DataFrame) -> DataFrame:
     return every.join(several, "band")
 
 
-def private_counts(texts: DataFrame, bands: DataFrame) -> DataFrame:
-    """(set_key, found): the shingles of each vertex of hot bands that no other such vertex has."""
-    hot = bands.filter("hot").select("set_key").distinct()
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(shingle, k1, k2): a row for each shingle of each vertex, whose key is two numbers."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "hashes", 4 << 20):
                 keys = np.frombuffer(b"".join(part.column("set_key").to_pylist()), np.int64).reshape(-1, 2)
-                sets = S.shingle_sets(part.column("text").to_pylist())
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                every = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                parts = part.column("hashes").to_pylist()
+                owner = np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts])
+                every = np.frombuffer(b"".join(parts), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(keys[owner, 0]), pa.array(keys[owner, 1])], ["shingle", "k1", "k2"])
 
-    each = texts.join(hot, "set_key", "left_semi").select("set_key", "text").mapInArrow(tidy(run), "shingle long, k1 long, k2 long")
+    return sets.select("set_key", "hashes").mapInArrow(tidy(run), "shingle long, k1 long, k2 long")
+
+
+def split_keys(vertices: DataFrame) -> DataFrame:
+    """``vertices`` with the two numbers of their keys."""
+    return vertices.withColumns({k: little_endian(F.substr("set_key", F.lit(i), F.lit(8))) for i, k in ((1, "k1"), (9, "k2"))})
+
+
+def private_counts(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """(set_key, found): the shingles of each vertex of hot bands that no other such vertex has."""
+    hot = bands.filter("hot").select("set_key").distinct()
+    each = shingle_rows(sets.join(hot, "set_key", "left_semi"))
     # Of a single row the exclusive or is the row's own key.
     alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2")).filter("n = 1")
     counts = alone.groupBy("k1", "k2").agg(F.count("*").alias("found"))
-    split = hot.select("set_key", *(little_endian(F.substr("set_key", F.lit(i), F.lit(8))).alias(k) for i, k in ((1, "k1"), (9, "k2"))))
-    return split.join(counts, ["k1", "k2"]).select("set_key", "found")
+    return split_keys(hot).join(counts, ["k1", "k2"]).select("set_key", "found")
 
 
 def little_endian(eight_bytes: F.Column) -> F.Column:
@@ -135,61 +155,112 @@ def closest_leaders(bands: DataFrame, percent: int) -> DataFrame:
     return best.select("a", F.col("l.l_set_key").alias("b"))
 
 
+def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the root of each set_key's component."""
+    return rows.join(labels.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+
+
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that hold several roots, with the root of most of them as ``main``."""
+    sizes = rows.groupBy(key, "root").count()
+    main = sizes.groupBy(key).agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+    return rows.join(main.filter("roots > 1").select(key, F.col("main.root").alias("main")), key)
+
+
 def outsiders(bands: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidates of different components, each pair once, in the first band that it shares.
+    """(a, b): candidates of different components in bands that are not hot, each pair once, in the first band that it shares.
 
     Of two vertices of different components at least one is outside their band's largest one.
     """
-    rooted = bands.join(labels.withColumnRenamed("v", "set_key"), "set_key", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "set_key"))
-    sizes = rooted.groupBy("band", "root").count()
-    main = sizes.groupBy("band").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    main = main.filter("roots > 1").select("band", F.col("main.root").alias("main"))
-    mixed = rooted.join(main, "band").join(vertices.select("set_key", "bands"), "set_key")
+    rows = mixed(rooted(bands.filter("not hot"), labels), "band").join(vertices.select("set_key", "bands"), "set_key")
     fields = ("set_key", "root", "n_shingles", "private", "bands", *SKETCH)
-    other = mixed.select("band", *(F.col(c).alias(f"o_{c}") for c in fields))
+    other = rows.select("band", *(F.col(c).alias(f"o_{c}") for c in fields))
     once = (F.col("o_root") == F.col("main")) | (F.col("set_key") < F.col("o_set_key"))
     before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("o_bands", F.lit(1), F.col("place")))
     wanted = (F.col("root") != F.col("o_root")) & once & may_reach(percent, "o_") & ~before
-    return mixed.filter("root != main").join(other, "band").filter(wanted).select(F.col("set_key").alias("a"), F.col("o_set_key").alias("b"))
+    return rows.filter("root != main").join(other, "band").filter(wanted).select(F.col("set_key").alias("a"), F.col("o_set_key").alias("b"))
+
+
+def open_vertices(bands: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(set_key, root, n_shingles, s1 .. s4): vertices of hot bands with several components that may still be linked.
+
+    A vertex of which more shingles are private than the threshold leaves out is linked with nothing.
+    """
+    able = bands.filter("hot").filter(100 * (F.col("n_shingles") - F.col("private")) >= percent * F.col("n_shingles"))
+    return mixed(rooted(able, labels), "band").select("set_key", "root", "n_shingles", *SKETCH).distinct()
+
 
+def rare_shingles(sets: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """``vertices`` with (shingle, at, short): their rarest shingles with the place in the order.
 
-def texts_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame:
-    """(set_key, text) of the wanted vertices, by the doc_id that stands for each.
+    As many as a partner of at most the same size may share first; short ones are those that one of at least the same size may.
+    """
+    n = F.col("n_shingles")
+    each = shingle_rows(sets.join(vertices.select("set_key"), "set_key", "left_semi"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    of_vertex = Window.partitionBy("k1", "k2")
+    # Shingles of a single vertex come first and match nothing: only their number counts.
+    ranked = each.join(several, "shingle").withColumn("rank", F.row_number().over(of_vertex.orderBy("n", "shingle"))).withColumn("of", F.count("*").over(of_vertex))
+    placed = ranked.select("shingle", "k1", "k2", "rank", "of").join(split_keys(vertices), ["k1", "k2"]).withColumn("at", n - F.col("of") + F.col("rank"))
+    short = F.col("at") <= n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    return placed.filter(F.col("at") <= n - F.ceil(percent * n / 100) + 1).select("shingle", "at", short.alias("short"), "set_key", "root", "n_shingles", *SKETCH)
+
+
+def meetings(rare: DataFrame) -> DataFrame:
+    """All pairs of rows that are compared: smaller sets by their short rows with others, but for pairs within a shingle's largest component."""
+    rows = mixed(rare, "shingle")
+    columns = [F.col(c).alias(f"o_{c}") for c in ("at", "set_key", "root", "n_shingles", *SKETCH)]
+    other, rest = rows.select("shingle", *columns), rows.filter("root != main").select("shingle", *columns)
+    short = rows.filter("short")
+    return short.filter("root != main").join(other, "shingle").unionByName(short.filter("root = main").join(rest, "shingle"))
+
+
+def meeting_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidates of different components that share a rare shingle, each pair once."""
+    n, m = F.col("n_shingles"), F.col("o_n_shingles")
+    # Where they meet first, no more than the shingles from there on are shared.
+    most = 1 + F.least(n - F.col("at"), m - F.col("o_at"))
+    good = (F.col("root") != F.col("o_root")) & (n <= m) & ((100 + percent) * most >= percent * (n + m)) & (distance("o_") <= S.farthest(percent))
+    a, b = F.col("set_key"), F.col("o_set_key")
+    return meetings(rare).filter(good).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def sets_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, hashes) of the wanted vertices, by the doc_id that stands for each.
 
     Where a doc_id is repeated with another text, the key of the text decides.
     """
-    wanted = vertices.join(keys, "set_key", "left_semi").select("set_key", F.col("doc_id").alias("d"))
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("set_key", "text")
+    wanted = stored(vertices.join(keys, "set_key", "left_semi").select("set_key", F.col("doc_id").alias("d")), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("d"))).select("set_key", "text")
 
-    def check(batches):
+    def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = [S.set_key(s) for s in S.shingle_sets(part.column("text").to_pylist())]
-                good = [k == w for k, w in zip(keys, part.column("set_key").to_pylist(), strict=True)]
-                yield part.filter(pa.array(good))
+                sets = S.shingle_sets(part.column("text").to_pylist())
+                both = [(k, s.tobytes()) for k, s in zip(part.column("set_key").to_pylist(), sets, strict=True) if S.set_key(s) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], pa.binary()) for i in (0, 1)], ["set_key", "hashes"])
 
-    return found.mapInArrow(tidy(check), "set_key binary, text string").dropDuplicates(["set_key"])
+    sets = stored(found.mapInArrow(tidy(run), "set_key binary, hashes binary").dropDuplicates(["set_key"]), "sets")
+    discard(wanted)
+    return sets
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on the full sets."""
-    left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("b_text"))
+    left = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("a_set"))
+    right = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("b_set"))
 
     def check(batches):
         for batch in batches:
-            for part in slices(batch, "a_text", 2 << 20):
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                texts = dict(zip(a + b, part.column("a_text").to_pylist() + part.column("b_text").to_pylist(), strict=True))
-                sets = dict(zip(texts, S.shingle_sets(list(texts.values())), strict=True))
-                good = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    good.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good))
+            good = []
+            for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
+                one, two = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(100 * both >= percent * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(tidy(check), "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def labelled(docs: DataFrame, percent: int) -> DataFrame:
@@ -203,18 +274,26 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     vertices = with_words.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)))
     vertices = stored(vertices, "vertices")
     places = stored(shared_bands(vertices), "bands")
-    texts = stored(texts_of(docs, vertices, places.select("set_key").distinct()), "texts")
-    private = stored(private_counts(texts, places), "private")
+    sets = sets_of(docs, vertices, places.select("set_key").distinct())
+    private = stored(private_counts(sets, places), "private")
     bands = places.join(vertices.select("set_key", "n_shingles", *SKETCH), "set_key").join(private, "set_key", "left")
     bands = stored(bands.withColumn("private", F.when(F.col("hot"), F.coalesce("found", F.lit(0))).otherwise(0)).drop("found"), "bands")
 
-    links = stored(confirmed(closest_leaders(bands, percent), texts, percent), "links")
+    links = stored(confirmed(closest_leaders(bands, percent), sets, percent), "links")
     labels = components(links, "a", "b")
-    contracted = confirmed(outsiders(bands, vertices, labels, percent), texts, percent)
+    pairs = outsiders(bands, vertices, labels, percent)
+    still = stored(open_vertices(bands, labels, percent), "open")
+    used = [places, sets, private, bands, links, still]
+    if not still.isEmpty():
+        used.append(stored(rare_shingles(sets, still, percent), "rare"))
+        pairs = pairs.unionByName(meeting_pairs(used[-1], percent))
+    more = stored(confirmed(pairs, sets, percent), "links")
+    contracted = more
     for side in ("a", "b"):
         contracted = contracted.join(labels.select(F.col("v").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         contracted = contracted.withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    merged = components(stored(contracted, "links"), "a_root", "b_root")
+    merged = components(contracted, "a_root", "b_root")
+    discard(*used, more)
 
     first = vertices.select("set_key", "doc_id").join(labels.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     last = first.join(merged.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_llm_queries import shingles
 
 from matchgrid.llm import near_dedup
@@ -59,3 +61,48 @@ def test_pipeline_keeps_one_text_of_a_group_where_doc_ids_repeat(spark):
     assert sum(r in found for r in [(None, "a b"), (None, "A b")]) == 1
     rest = [r for r in found if r[1] not in (text, near, "a b", "A b")]
     assert sorted(rest, key=repr) == sorted([(1, other), (0, copy), (3, None), (3, " "), (4, "")], key=repr) and len(found) == 7
+
+
+def template_texts(n, private, seed=3):
+    """Texts of 200 words that share all but ``private`` of them, in other places each."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        words, at = list(base), rng.randrange(200 - private)
+        words[at : at + private] = [f"p{i}x{j}" for j in range(private)]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_texts_of_one_template_do_not_all_meet(spark):
+    """Below the threshold the compared pairs do not grow with the square of the documents."""
+    met = {}
+    for n, private in [(150, 25), (300, 25), (150, 30), (300, 30)]:
+        rows = template_texts(n, private)
+        docs = spark.createDataFrame(rows, TEXT)
+        signed = near_dedup.signatures(docs).withColumn("root", F.col("set_key")).cache()
+        sets = near_dedup.sets_of(docs, signed, signed.select("set_key"))
+        rare = near_dedup.rare_shingles(sets, signed.select("set_key", "root", "n_shingles", *near_dedup.SKETCH), 85)
+        met[n, private] = near_dedup.meetings(rare).count()
+        assert near_dedup.meeting_pairs(rare, 85).count() == 0
+    assert max(met.values()) <= 300
+
+
+@pytest.mark.parametrize(("private", "percent"), [(5, 85), (8, 85), (12, 85), (14, 85), (16, 85), (10, 80), (18, 80), (20, 80)])
+def test_hot_groups_near_the_threshold_equal_brute_force(spark, monkeypatch, private, percent):
+    monkeypatch.setattr(near_dedup, "HOT", 8)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    rng = random.Random(private)
+    rows = template_texts(40, private, private) + [(100 + i, t) for i, t in template_texts(30, private // 2, 7)]
+    rows += [(200 + i, " ".join(t.split()[: rng.randrange(150, 200)])) for i, t in template_texts(30, 3, 9)]
+    want = components(rows, percent)
+    found = near_dedup.groups(spark.createDataFrame(rows, TEXT), percent).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_very_long_texts_are_linked(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1500:])), (3, " ".join(words[:30_000]))]
+    found = near_dedup.groups(spark.createDataFrame(rows, TEXT)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3}
