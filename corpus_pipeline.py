@@ -1,9 +1,15 @@
 """The corpus pipeline: five stages from raw documents to token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-it to the shared folder and reads it again as the next stage's ``docs``. All
-but the last return the columns of ``documents``; columns that only share a name
-with something an operator makes keep their values.
+it to the shared folder, reads it again as the next stage's ``docs`` and deletes the
+one before. All but the last return the columns of ``documents``; columns that only
+share a name with something an operator makes keep their values.
+
+In every stage a null or empty text is a text without letters, lines or words:
+language ID rejects it, the other stages, run on their own, keep it as it is.
+Rows stand for themselves, also where a doc_id is null or repeated; only
+near_dedup puts rows together, by their texts. Very long texts are handled
+whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.llm import bpe, decontamination, language_id, line_dedup, near_dedup
-from matchgrid.sources.store import stored
+from matchgrid.sources.store import discard, stored
 
 
 #: Per cent of shared shingles from which two documents are near copies; op5's own contract says 85.
@@ -32,12 +38,11 @@ def unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text is in a language that the labelled ones teach.
 
-    Rejected are texts without a letter and texts of which the best language's
-    automaton knows next to nothing (a phrase for every letter or two).
+    Rejected are texts without a letter and texts that fit no known language: of
+    which the best automaton knows no longer phrases than of random letters.
     """
     found = language_id.identify(packed(docs), language_id.trained(docs))
-    good = (F.col("lang_pred") != "und") & (F.col("phrase_letters") >= language_id.LEAST_PHRASE)
-    return unpacked(found.filter(good), docs)
+    return unpacked(found.filter((F.col("lang_pred") != "und") & F.col("fits")), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +93,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
