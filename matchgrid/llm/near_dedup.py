@@ -102,42 +102,32 @@ def shared_bands(vertices: DataFrame) -> DataFrame:
 
 
 def shingle_rows(sets: DataFrame) -> DataFrame:
-    """(shingle, k1, k2): a row for each shingle of each vertex, whose key is two numbers."""
+    """(shingle, keys): the keys, in one string, of the vertices of a slice that have the shingle."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "hashes", 4 << 20):
-                keys = np.frombuffer(b"".join(part.column("set_key").to_pylist()), np.int64).reshape(-1, 2)
+                keys = np.frombuffer(b"".join(part.column("set_key").to_pylist()), "V16")
                 parts = part.column("hashes").to_pylist()
                 owner = np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts])
                 every = np.frombuffer(b"".join(parts), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(keys[owner, 0]), pa.array(keys[owner, 1])], ["shingle", "k1", "k2"])
+                order = np.argsort(every, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]])) if len(every) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(every)) if len(every) else starts
+                packed = keys[owner[order]].tobytes()
+                found = [packed[16 * a : 16 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(every[order][starts]), pa.array(found, pa.binary())], ["shingle", "keys"])
 
-    return sets.select("set_key", "hashes").mapInArrow(tidy(run), "shingle long, k1 long, k2 long")
-
-
-def split_keys(vertices: DataFrame) -> DataFrame:
-    """``vertices`` with the two numbers of their keys."""
-    return vertices.withColumns({k: little_endian(F.substr("set_key", F.lit(i), F.lit(8))) for i, k in ((1, "k1"), (9, "k2"))})
+    return sets.select("set_key", "hashes").mapInArrow(tidy(run), "shingle long, keys binary")
 
 
 def private_counts(sets: DataFrame, bands: DataFrame) -> DataFrame:
     """(set_key, found): the shingles of each vertex of hot bands that no other such vertex has."""
     hot = bands.filter("hot").select("set_key").distinct()
     each = shingle_rows(sets.join(hot, "set_key", "left_semi"))
-    # Of a single row the exclusive or is the row's own key.
-    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2")).filter("n = 1")
-    counts = alone.groupBy("k1", "k2").agg(F.count("*").alias("found"))
-    return split_keys(hot).join(counts, ["k1", "k2"]).select("set_key", "found")
-
-
-def little_endian(eight_bytes: F.Column) -> F.Column:
-    """Eight bytes as the signed number that numpy reads from them."""
-    pairs = F.transform(F.sequence(F.lit(15), F.lit(1), F.lit(-2)), lambda i: F.substr(F.hex(eight_bytes), i, F.lit(2)))
-    digits = F.array_join(pairs, "")
-    high = F.conv(F.substr(digits, F.lit(1), F.lit(8)), 16, 10).cast("long")
-    low = F.conv(F.substr(digits, F.lit(9), F.lit(8)), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    size = F.octet_length("keys")
+    alone = each.groupBy("shingle").agg(F.sum(size).alias("size"), F.min(F.when(size == 16, F.col("keys"))).alias("set_key")).filter("size = 16")
+    return alone.groupBy("set_key").agg(F.count("*").alias("found"))
 
 
 def closest_leaders(bands: DataFrame, percent: int) -> DataFrame:
@@ -197,11 +187,14 @@ def rare_shingles(sets: DataFrame, vertices: DataFrame, percent: int) -> DataFra
     """
     n = F.col("n_shingles")
     each = shingle_rows(sets.join(vertices.select("set_key"), "set_key", "left_semi"))
-    several = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    of_vertex = Window.partitionBy("k1", "k2")
+    several = each.groupBy("shingle").agg((F.sum(F.octet_length("keys")) / 16).cast("long").alias("n")).filter("n > 1")
+    places = F.sequence(F.lit(0), (F.octet_length("keys") / 16).cast("int") - 1)
+    # Dealt anew before they are unpacked, so that a shingle of very many vertices is spread over tasks.
+    unpacked = each.join(several, "shingle").repartition("shingle", "keys").withColumn("set_key", F.explode(F.transform(places, lambda i: F.substr("keys", 16 * i + 1, F.lit(16)))))
+    of_vertex = Window.partitionBy("set_key")
     # Shingles of a single vertex come first and match nothing: only their number counts.
-    ranked = each.join(several, "shingle").withColumn("rank", F.row_number().over(of_vertex.orderBy("n", "shingle"))).withColumn("of", F.count("*").over(of_vertex))
-    placed = ranked.select("shingle", "k1", "k2", "rank", "of").join(split_keys(vertices), ["k1", "k2"]).withColumn("at", n - F.col("of") + F.col("rank"))
+    ranked = unpacked.drop("keys").withColumn("rank", F.row_number().over(of_vertex.orderBy("n", "shingle"))).withColumn("of", F.count("*").over(of_vertex))
+    placed = ranked.drop("n").join(vertices, "set_key").withColumn("at", n - F.col("of") + F.col("rank"))
     short = F.col("at") <= n - F.ceil(2 * percent * n / (100 + percent)) + 1
     return placed.filter(F.col("at") <= n - F.ceil(percent * n / 100) + 1).select("shingle", "at", short.alias("short"), "set_key", "root", "n_shingles", *SKETCH)
 
