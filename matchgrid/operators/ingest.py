@@ -83,14 +83,21 @@ def effective_fps(frames: DataFrame, frame: str, time: str, default: float = 2.0
     return first.select(F.round(F.when(step > 0, 1 / F.when(step > 0, step)).otherwise(default), 6).alias("fps"))
 
 
+#: Where the mock players of a row stand, and the foot lines of the two rows, as shares of the image.
+MOCK_X = (0.18, 0.28, 0.38, 0.48, 0.58, 0.68, 0.78, 0.24, 0.42, 0.62, 0.76)
+MOCK_Y = (0.38, 0.62)
+
+
 def mock_boxes(frames: DataFrame, width: float, height: float) -> DataFrame:
-    """22 boxes a frame in two rows, for pipelines without a detector."""
+    """22 boxes a frame in two rows of 11 that stand on their foot lines, for pipelines without a detector."""
     i = F.col("detection_id")
-    row = F.when(i < 11, 0.35).otherwise(0.65)
     boxes = frames.select("frame", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("detection_id"))
+    x = F.get(F.array(*map(F.lit, MOCK_X)), i % 11) * width
+    y = (F.when(i < 11, MOCK_Y[0]).otherwise(MOCK_Y[1]) + ((i % 11) % 3 - 1) * 0.035) * height
+    half = width * 0.018 / 2
     return boxes.select(
-        "frame", "detection_id", (width * (0.08 + 0.084 * (i % 11))).alias("center_x"), (height * (row + ((i % 3) - 1) * 0.035)).alias("center_y"),
-        F.lit(width * 0.018).alias("width"), F.lit(height * 0.055).alias("height"), F.lit(0.5).alias("confidence"), F.when(i < 11, "A").otherwise("B").alias("team_hint"),
+        "frame", "detection_id", (x - half).alias("x1"), (y - height * 0.055).alias("y1"), (x + half).alias("x2"), y.alias("y2"),
+        F.lit(0.5).alias("confidence"), F.when(i < 11, "A").otherwise("B").alias("team_hint"),
     )
 
 

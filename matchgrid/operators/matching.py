@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from matchgrid.functions import geometry as G
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, key: str, cost: Column, tolerance: float) -> DataFrame:
-    """(key, l, r, cost) of pairs within the tolerance (inclusive).
+def candidate_pairs(left: DataFrame, right: DataFrame, key: str, distance: Column, tolerance: float, penalty: Column | None = None) -> DataFrame:
+    """(key, l, r, cost) of pairs at a distance within the tolerance (inclusive); a penalty counts for the order only.
 
     ``left`` has key, l and its point lx, ly; ``right`` key, r, rx, ry.
     """
-    return left.join(right, key).select(key, "l", "r", cost.alias("cost")).filter(F.col("cost") <= tolerance)
+    cost = distance if penalty is None else distance + penalty
+    return left.join(right, key).filter(distance <= tolerance).select(key, "l", "r", cost.alias("cost"))
 
 
 def foot_distance() -> Column:
@@ -184,7 +185,7 @@ def frames_of(rows: pd.DataFrame, order: str) -> Iterator[tuple[int, pd.DataFram
         yield int(frame), part
 
 
-def track_nearest(detections: DataFrame, clip: str, order: str, max_distance: float = 90.0, max_missed: int = 5) -> DataFrame:
+def track_nearest(detections: DataFrame, clip: str, order: str, max_distance: float = 90.0, max_missed: int = 4) -> DataFrame:
     """(clip, frame, order, track_id, track_distance) per clip; state runs through a clip's frames."""
     kind = dict(detections.dtypes)
 
@@ -216,21 +217,26 @@ def track_velocity(positions: DataFrame, clip: str, order: str, reach: float = 7
 def chain_merges(units: DataFrame, clip: str, max_gap: int = 30, max_distance: float = 8.0) -> DataFrame:
     """(clip, a, b): greedy chains of fragments, in the order of their first frames.
 
-    Each fragment takes as successor the cheapest later one of its team that
-    has no predecessor yet (distance + 0.1 a frame of gap).
+    Each fragment takes as successor the cheapest later one that has no
+    predecessor yet (distance + 0.1 a frame of gap), of its team or where either
+    team is blank, and of another component. ``units`` may name the component that
+    fragments have been merged to before (``component``); else each is its own.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         u = group.sort_values(["first", "unit"], kind="stable").reset_index(drop=True)
-        free, out = np.ones(len(u), bool), []
+        u["team"] = u["team"].fillna("")
+        free, out, root = np.ones(len(u), bool), [], u["component" if "component" in u else "unit"].to_numpy(copy=True)
         for i in range(len(u)):
             gap = u["first"] - u["last"][i]
             d = np.hypot(u.sx - u.ex[i], u.sy - u.ey[i])
-            good = (gap >= 1) & (gap <= max_gap) & (d <= max_distance) & (u.team == u.team[i]) & free
+            own = (u.team == u.team[i]) | (u.team == "") | (u.team[i] == "")
+            good = (gap >= 1) & (gap <= max_gap) & (d <= max_distance) & own & free & (root != root[i])
             cost = (d + 0.1 * gap).where(good)
             if good.any():
                 j = int(cost.idxmin())
                 free[j] = False
+                root[root == root[j]] = root[i]
                 out.append((u[clip][i], u.unit[i], u.unit[j]))
         return pd.DataFrame(out, columns=[clip, "a", "b"])
 

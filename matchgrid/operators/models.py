@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,25 +137,56 @@ def balanced(rows: DataFrame, label: str, order: str, limit: int) -> DataFrame:
     return ranked.filter((F.col("_n") <= limit) | (F.col("_i") == 0) | (slot != before)).drop("_i", "_n")
 
 
-def squared_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
+#: Queries of one pass over the model.
+QUERY_BLOCK = 20_000
+
+
+def z_scored(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` with each element of ``vector`` less its mean, in standard deviations."""
+    stats = element_stats(rows, vector).agg(F.array_sort(F.collect_list(F.struct("i", "mean", "std"))).alias("stats"))
+    scaled = F.zip_with(vector, "stats", lambda x, s: (x - s["mean"]) / s["std"])
+    return rows.join(F.broadcast(stats)).withColumn(vector, scaled).drop("stats")  # stats is one row, an entry for each element
 
 
 def knn(queries: DataFrame, model: DataFrame, own: str, vector: str, label: str, k: int = 7, exclude_self: bool = False) -> DataFrame:
-    """(own, predicted): inverse-distance vote of the k nearest rows of a bounded model (label 1 on a tie).
+    """(own, label, predicted): inverse-distance vote of the k nearest rows of the model (label 1 on a tie).
 
-    The model is one array on every task; it is a sample of bounded size, so
-    queries are not joined or shuffled.
+    Queries are broadcast in blocks of ``QUERY_BLOCK``; in a pass each task keeps the k
+    nearest of its part of the model, and the parts' best are merged. ``own`` is unique.
     """
-    rows = model.agg(F.collect_list(F.struct(F.col(own).alias("id"), F.col(vector).alias("m"), F.col(label).alias("label"))).alias("model"))
-    joined = queries.join(F.broadcast(rows))
-
-    def measured(m: Column) -> Column:
-        gap = F.zip_with(F.col(vector), m["m"], lambda x, y: (x - y) * (x - y))
-        return F.struct(F.aggregate(gap, F.lit(0).cast("long"), lambda s, x: s + x).alias("d2"), m["id"].alias("id"), m["label"].alias("label"))
-
-    others = F.filter("model", lambda m: m["id"] != F.col(own)) if exclude_self else F.col("model")
-    near = F.slice(F.array_sort(F.transform(others, measured)), 1, k)
-    weight = lambda m: 1.0 / (F.sqrt(m["d2"].cast("double")) + 1e-6)
-    vote = F.aggregate("near", F.lit(0.0), lambda s, m: s + F.when(m["label"] == 1, weight(m)).otherwise(-weight(m)))
-    return joined.select(own, label, near.alias("near")).select(own, label, F.when(F.round(vote, 9) >= 0, 1).otherwise(2).alias("predicted"))
+    queries, blocks = queries.select(own, vector, label), 1 + queries.count() // QUERY_BLOCK
+    passes = [nearest(queries.filter(F.pmod(F.xxhash64(own), F.lit(blocks)) == b), model, own, vector, label, k, exclude_self) for b in range(blocks)]
+    found = functools.reduce(DataFrame.unionByName, passes)
+    best = F.row_number().over(Window.partitionBy(own).orderBy("d2", "near_id"))
+    weight = 1.0 / (F.sqrt("d2") + 1e-6)
+    vote = F.sum(F.when(F.col("near_label") == 1, weight).otherwise(-weight))
+    voted = found.withColumn("best", best).filter(F.col("best") <= k).groupBy(own).agg(vote.alias("vote"))
+    return queries.join(voted, own).select(own, label, F.when(F.round("vote", 9) >= 0, 1).otherwise(2).alias("predicted"))
+
+
+def nearest(queries: DataFrame, model: DataFrame, own: str, vector: str, label: str, k: int, exclude_self: bool) -> DataFrame:
+    """(own, d2, near_id, near_label): the k nearest model rows of each query, of every part of the model."""
+    rows = queries.select(own, vector).collect()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], f"{own} long, d2 double, near_id long, near_label int")
+    sent = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)))
+
+    def run(batches):
+        ids, points = sent.value
+        best = [np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int32)]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                x = np.stack(part.column("m").to_numpy(zero_copy_only=False)).astype(float)
+                near, labels = part.column("id").to_numpy(), part.column("label").to_numpy()
+                d2 = np.maximum((points**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * points @ x.T, 0.0)
+                if exclude_self:
+                    d2[ids[:, None] == near[None, :]] = np.inf
+                every = [np.hstack([best[0], d2]), np.hstack([best[1], np.broadcast_to(near, d2.shape)]), np.hstack([best[2], np.broadcast_to(labels, d2.shape)])]
+                at = np.argpartition(every[0], k - 1, axis=1)[:, :k]
+                best = [np.take_along_axis(v, at, 1) for v in every]
+        good = np.isfinite(best[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], good.shape)[good]), pa.array(best[0][good]), pa.array(best[1][good]), pa.array(best[2][good])], [own, "d2", "near_id", "near_label"])
+
+    model = model.select(F.col(own).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("m"), F.col(label).cast("int").alias("label"))
+    return model.mapInArrow(run, f"{own} long, d2 double, near_id long, near_label int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
@@ -41,7 +41,7 @@ def fragments(tracks: DataFrame, gap: int) -> DataFrame:
     """``tracks`` with ``unit``: a new one wherever a player's frames are more than ``gap`` apart."""
     order = Window.partitionBy("player_id").orderBy("frame")
     new = F.when(F.col("frame") - F.lag("frame").over(order) > gap, 1).otherwise(0)
-    return tracks.withColumn("_new", new).withColumn("unit", F.col("player_id").cast("long") * 100000 + F.sum("_new").over(order)).drop("_new")
+    return tracks.withColumn("_new", new).withColumn("unit", F.col("player_id").cast("long") * 1_000_000_000 + F.sum("_new").over(order)).drop("_new")
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -52,27 +52,41 @@ def units(rows: DataFrame) -> DataFrame:
     )
 
 
-def merge_candidates(unit: DataFrame, max_gap: int, max_distance: float) -> DataFrame:
-    """(a_id, b_id, gap, end_dist): a fragment and one that begins soon after, nearby and in the same team."""
-    a = unit.select(*prefixed(unit, "a_", ["unit", "last", "ex", "ey", "team"]))
-    b = unit.select(*prefixed(unit, "b_", ["unit", "first", "sx", "sy", "team"]))
-    close = G.distance(F.col("a_ex"), F.col("a_ey"), F.col("b_sx"), F.col("b_sy"))
-    same = (F.col("a_team") == F.col("b_team")) & (F.col("a_unit") != F.col("b_unit"))
-    found = range_join(a, b, "a_last", "b_first", 1, max_gap, same).withColumn("end_dist", close).filter(F.col("end_dist") <= max_distance)
-    return found.select(F.col("a_unit").alias("a_id"), F.col("b_unit").alias("b_id"), (F.col("b_first") - F.col("a_last")).alias("gap"), "end_dist")
+def same_team(a: str, b: str):
+    """Teams that do not contradict each other: equal ones, or one that is not known."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return blank(a) | blank(b) | (F.col(a) == F.col(b))
 
 
-def nearest_site(spark: SparkSession, sites: DataFrame, own: str, columns: int, rows: int, step_x: float, step_y: float) -> DataFrame:
-    """(px, py, site): the nearest of one frame's players for every cell of a grid.
+def merge_candidates(unit: DataFrame, max_gap: int = 72, max_distance: float = 14.0, max_predicted: float = 10.0, max_speed: float = 9.0, fps: float = 24.0) -> DataFrame:
+    """(a_id, b_id, gap, end_dist, pred_dist, speed, score): a fragment and one that begins soon after, where it may have gone on.
 
-    The grid is the large side; a frame has at most a few dozen players, which
-    travel in one array.
+    ``unit`` has also the velocities at both ends (vx0, vy0, vx1, vy1). As b begins after a ends, they share no frame.
     """
-    grid = spark.range(columns * rows).select((F.col("id") % columns).cast("int").alias("px"), F.floor(F.col("id") / columns).cast("int").alias("py"))
-    players = sites.agg(F.collect_list(F.struct(F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"), F.col(own).alias("site"))).alias("players"))
+    a = unit.select(*prefixed(unit, "a_", ["unit", "last", "ex", "ey", "vx1", "vy1", "team"]))
+    b = unit.select(*prefixed(unit, "b_", ["unit", "first", "sx", "sy", "vx0", "vy0", "team"]))
+    c, gap = F.col, F.col("b_first") - F.col("a_last")
+    found = range_join(a, b, "a_last", "b_first", 1, max_gap, same_team("a_team", "b_team") & (c("a_unit") != c("b_unit")))
+    found = found.withColumn("end_dist", G.distance(c("a_ex"), c("a_ey"), c("b_sx"), c("b_sy"))).filter(c("end_dist") <= max_distance)
+    at = [F.greatest(F.lit(0.0), F.least(F.lit(most), c(f"a_e{k}") + c(f"a_v{k}1") * gap)) for k, most in (("x", G.LENGTH), ("y", G.WIDTH))]
+    found = found.withColumns({"pred_dist": G.distance(*at, c("b_sx"), c("b_sy")), "speed": c("end_dist") / F.greatest(gap / fps, F.lit(1 / fps))})
+    turn = G.distance(c("a_vx1"), c("a_vy1"), c("b_vx0"), c("b_vy0")) * fps
+    score = c("pred_dist") + c("end_dist") * 0.35 + gap * 0.04 + turn * 0.18
+    good = found.filter((c("pred_dist") <= max_predicted) & (c("speed") <= max_speed))
+    return good.select(c("a_unit").alias("a_id"), c("b_unit").alias("b_id"), gap.alias("gap"), "end_dist", "pred_dist", "speed", score.alias("score"))
+
+
+def nearest_site(sites: DataFrame, own: str, columns: int, rows: int, step_x: float, step_y: float) -> DataFrame:
+    """(frame, px, py, site): the nearest of a frame's players for every cell of a grid, in every frame.
+
+    A frame has at most a few dozen players, which travel in one array.
+    """
+    players = sites.groupBy("frame").agg(F.collect_list(F.struct(F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"), F.col(own).alias("site"))).alias("players"))
+    grid = players.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(columns * rows - 1))))
+    grid = grid.select("frame", "players", (F.col("cell") % columns).cast("int").alias("px"), F.floor(F.col("cell") / columns).cast("int").alias("py"))
     x, y = F.col("px") * step_x, F.col("py") * step_y
     ranked = F.transform("players", lambda s: F.struct(((x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])).alias("d2"), s["site"].alias("site")))
-    return grid.join(F.broadcast(players)).select("px", "py", F.array_min(ranked)["site"].alias("site"))
+    return grid.select("frame", "px", "py", F.array_min(ranked)["site"].alias("site"))
 
 
 def shared_frames(tracks: DataFrame, own: str, limit: float) -> DataFrame:
@@ -91,9 +105,9 @@ def starts(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col("frame") - 1)).drop("_before")
 
 
-def next_starts(tracks: DataFrame, until: int, reach: int) -> DataFrame:
+def next_starts(tracks: DataFrame, reach: int) -> DataFrame:
     """(player_id, team, next_id): the cheapest start of another player of the team soon after each end."""
-    ends = tracks.filter(F.col("frame") < until).groupBy("player_id", "team").agg(F.max("frame").alias("last"), F.max_by("x_pitch", "frame").alias("x"), F.max_by("y_pitch", "frame").alias("y"))
+    ends = tracks.groupBy("player_id", "team").agg(F.max("frame").alias("last"), F.max_by("x_pitch", "frame").alias("x"), F.max_by("y_pitch", "frame").alias("y"))
     begin = starts(tracks).select(F.col("player_id").alias("s_id"), F.col("team").alias("s_team"), F.col("frame").alias("s_frame"), F.col("x_pitch").alias("sx"), F.col("y_pitch").alias("sy"))
     same = (F.col("team") == F.col("s_team")) & (F.col("player_id") != F.col("s_id"))
     found = range_join(ends, begin, "last", "s_frame", 1, reach, same)
@@ -101,6 +115,13 @@ def next_starts(tracks: DataFrame, until: int, reach: int) -> DataFrame:
     return found.groupBy("player_id", "team").agg(F.min_by("s_id", F.struct(cost, "s_frame", "s_id")).alias("next_id"))
 
 
+def duplicate_pairs(rows: DataFrame, own: str, limit: float = 2.0, least: int = 3) -> DataFrame:
+    """(a_id, b_id, n, mean): fragments nearer than ``limit`` in at least ``least`` shared frames, with the mean distance there."""
+    d = F.sqrt("d2")
+    near = close_pairs(rows, "frame", own, limit).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.avg(d).alias("mean"))
+    return near.filter((F.col("n") >= least) & (F.col("mean") < limit))
+
+
 def in_betweens(rows: DataFrame, following: DataFrame, steps: int) -> DataFrame:
     """(player_id, frame, k, x, y): positions at k / steps on the way to the next frame; held if there is none."""
     b = following.select("player_id", (F.col("frame") - 1).alias("frame"), F.col("x_pitch").alias("bx"), F.col("y_pitch").alias("by"))

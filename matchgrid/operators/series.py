@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +22,23 @@ def fill_gaps(tracks: DataFrame, values: list[str], max_gap: int = 5) -> DataFra
 def ema(tracks: DataFrame, value: str, alpha: float = 0.5) -> DataFrame:
     """(player_id, frame, value): exponential smoothing along each track, seeded with its first value.
 
-    The fold needs a track's samples in order; a track is one player's frames.
+    Tracks lie in order in their partitions and stream through a task, which
+    carries the last value on; no track is gathered.
     """
-    point = F.struct("frame", F.col(value).alias("x"))
-    each = tracks.groupBy("player_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    empty = F.array().cast("array<struct<frame:int,s:double>>")
-
-    def step(done: Column, p: Column) -> Column:
-        s = F.when(F.size(done) == 0, p["x"]).otherwise(alpha * p["x"] + (1 - alpha) * F.element_at(done, -1)["s"])
-        return F.concat(done, F.array(F.struct(p["frame"].alias("frame"), s.alias("s"))))
-
-    return each.select("player_id", F.inline(F.aggregate("p", empty, step))).withColumnRenamed("s", value)
+    rows = tracks.select("player_id", "frame", F.col(value).cast("double").alias(value))
+    ordered = rows.repartition("player_id").sortWithinPartitions("player_id", "frame")
+
+    def run(batches):
+        who, last = object(), 0.0
+        for batch in batches:
+            out = []
+            for own, x in zip(batch.column("player_id").to_pylist(), batch.column(value).to_pylist(), strict=True):
+                last = x if own != who else alpha * x + (1 - alpha) * last
+                who = own
+                out.append(last)
+            yield batch.set_column(2, value, pa.array(out, pa.float64()))
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def moving_average(rows: DataFrame, key: str, value: str, reach: int = 1) -> DataFrame:

@@ -62,7 +62,7 @@ def majority_team(spark, d):
 
 
 @query("g08_fragment_extents", """
-WITH f AS (SELECT *, player_id * 100000 + sum(CASE WHEN frame - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY frame) AS unit FROM (
+WITH f AS (SELECT *, player_id::BIGINT * 1000000000 + sum(CASE WHEN frame - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY frame) AS unit FROM (
   SELECT *, lag(frame) OVER (PARTITION BY player_id ORDER BY frame) AS prev FROM track))
 SELECT unit::BIGINT AS unit, min(frame) AS first, max(frame) AS last, count(*) AS n, arg_min(x_pitch, frame) AS sx, arg_max(y_pitch, frame) AS ey, arg_min(team, frame) AS team FROM f GROUP BY unit""", "track")
 def fragment_extents(spark, d):
@@ -89,9 +89,9 @@ def count_distribution(spark, d):
     return n.agg(F.round(F.avg("n"), 4).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"), F.count_if(F.col("n") > 14).alias("crowded"))
 
 
-@query("g13_minimum_length", "SELECT player_id, team_hint FROM det WHERE frame < 40 GROUP BY ALL HAVING count(*) >= 12", "det")
+@query("g13_minimum_length", "SELECT player_id, team_hint FROM det GROUP BY ALL HAVING count(*) >= 12", "det")
 def minimum_length(spark, d):
-    return A.detections(spark, d).filter("frame < 40").groupBy("player_id", "team_hint").count().filter("count >= 12").drop("count")
+    return A.detections(spark, d).groupBy("player_id", "team_hint").count().filter("count >= 12").drop("count")
 
 
 @query("g14_duplicate_frames", "SELECT count(DISTINCT frame) AS frames, count(*) AS pairs FROM (SELECT frame, player_id FROM det GROUP BY ALL HAVING count(*) > 1)", "det")
@@ -101,13 +101,14 @@ def duplicate_frames(spark, d):
 
 
 @query("g15_pair_aggregate", """
-SELECT a.player_id AS a_id, b.player_id AS b_id, count(*) AS n FROM track a JOIN track b ON a.frame = b.frame AND a.player_id < b.player_id
-WHERE (a.x_pitch - b.x_pitch) * (a.x_pitch - b.x_pitch) + (a.y_pitch - b.y_pitch) * (a.y_pitch - b.y_pitch) < 64 GROUP BY ALL HAVING count(*) >= 3""", "track")
+SELECT a.player_id AS a_id, b.player_id AS b_id, count(*) AS n, round(avg(sqrt((a.x_pitch - b.x_pitch) * (a.x_pitch - b.x_pitch) + (a.y_pitch - b.y_pitch) * (a.y_pitch - b.y_pitch))), 6) AS mean
+FROM track a JOIN track b ON a.frame = b.frame AND a.player_id < b.player_id
+WHERE (a.x_pitch - b.x_pitch) * (a.x_pitch - b.x_pitch) + (a.y_pitch - b.y_pitch) * (a.y_pitch - b.y_pitch) < 4
+GROUP BY ALL HAVING count(*) >= 3""", "track")
 def pair_aggregate(spark, d):
     from matchgrid.operators import pairs
 
-    close = pairs.close_pairs(A.tracks(spark, d), "frame", "player_id", 8.0)
-    return close.groupBy("a_id", "b_id").agg(F.count("*").alias("n")).filter("n >= 3")
+    return pairs.duplicate_pairs(A.tracks(spark, d), "player_id", 2.0, 3).withColumn("mean", F.round("mean", 6))
 
 
 @query("g16_size_regression", """
@@ -137,23 +138,29 @@ def accuracy_threshold(spark, d):
 
 
 _KNN = """
-WITH pairs AS (SELECT a.vec_id, a.team, b.team AS bt, row_number() OVER (PARTITION BY a.vec_id ORDER BY d2, b.vec_id) AS r, d2 FROM (
-  SELECT a.vec_id AS ai, b.vec_id AS bi, list_sum(list_transform(range(1, 65), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i])))::BIGINT AS d2 FROM features a, features b WHERE a.vec_id <> b.vec_id) x
-  JOIN features a ON a.vec_id = ai JOIN features b ON b.vec_id = bi),
-vote AS (SELECT vec_id, team, CASE WHEN round(sum(CASE WHEN bt = 1 THEN 1 ELSE -1 END / (sqrt(d2::DOUBLE) + 1e-6)), 9) >= 0 THEN 1 ELSE 2 END AS predicted FROM pairs WHERE r <= 7 GROUP BY ALL)
+WITH e AS (SELECT vec_id, team, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM features),
+stats AS (SELECT i, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS std FROM e GROUP BY i),
+z AS (SELECT vec_id, team, list((x - mean) / std ORDER BY i) AS z FROM e JOIN stats USING (i) GROUP BY ALL),
+pairs AS (SELECT a.vec_id, a.team, b.team AS bt, list_distance(a.z, b.z) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.z, b.z), b.vec_id) AS r
+  FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+vote AS (SELECT vec_id, team, CASE WHEN round(sum(CASE WHEN bt = 1 THEN 1 ELSE -1 END / (d + 1e-6)), 9) >= 0 THEN 1 ELSE 2 END AS predicted FROM pairs WHERE r <= 7 GROUP BY ALL)
 """
 
 
+def voted(spark, d):
+    """The query set of searches (ids divisible by 20) against all other rows, by z-scored elements."""
+    rows = M.z_scored(A.features(spark, d), "q")
+    return M.knn(rows.filter("vec_id % 20 = 0"), rows, "vec_id", "q", "team", 7, True)
+
+
 @query("g19_leave_one_out", _KNN + "SELECT round(avg((team = predicted)::INT), 6) AS accuracy, count(*) AS n FROM vote", "features")
 def leave_one_out(spark, d):
-    rows = A.features(spark, d)
-    return M.knn(rows, rows, "vec_id", "q", "team", 7, True).agg(F.round(F.avg((F.col("team") == F.col("predicted")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+    return voted(spark, d).agg(F.round(F.avg((F.col("team") == F.col("predicted")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
 @query("j24_knn_classify", _KNN + "SELECT vec_id, predicted FROM vote", "features")
 def knn_classify(spark, d):
-    rows = A.features(spark, d)
-    return M.knn(rows, rows, "vec_id", "q", "team", 7, True).select("vec_id", "predicted")
+    return voted(spark, d).select("vec_id", "predicted")
 
 
 @query("g21_two_means")
@@ -296,11 +303,11 @@ def team_extent(spark, d):
 
 @query("z07_pass_lanes", """
 WITH p AS (SELECT a.frame, a.team, a.player_id AS a_id, b.player_id AS b_id, a.x_pitch AS ax, a.y_pitch AS ay, b.x_pitch AS bx, b.y_pitch AS by_, o.x_pitch AS ox, o.y_pitch AS oy
-  FROM track a JOIN track b ON a.frame = b.frame AND a.team = b.team AND a.player_id < b.player_id JOIN track o ON o.frame = a.frame AND o.team <> a.team WHERE a.frame < 40),
+  FROM track a JOIN track b ON a.frame = b.frame AND a.team = b.team AND a.player_id < b.player_id JOIN track o ON o.frame = a.frame AND o.team <> a.team),
 t AS (SELECT *, CASE WHEN (ax - bx) * (ax - bx) + (ay - by_) * (ay - by_) > 0 THEN greatest(0, least(1, ((ox - ax) * (bx - ax) + (oy - ay) * (by_ - ay)) / ((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)))) ELSE 0 END AS t FROM p)
 SELECT frame, team, a_id, b_id, round(min(sqrt((ox - ax - t * (bx - ax)) * (ox - ax - t * (bx - ax)) + (oy - ay - t * (by_ - ay)) * (oy - ay - t * (by_ - ay)))), 3) AS openness FROM t GROUP BY ALL""", "track")
 def pass_lanes(spark, d):
-    return N.lane_openness(A.tracks(spark, d).filter("frame < 40")).withColumn("openness", F.round("openness", 3))
+    return N.lane_openness(A.tracks(spark, d)).withColumn("openness", F.round("openness", 3))
 
 
 @query("z09_centroid_shift", """
@@ -323,11 +330,11 @@ def box_validity(spark, d):
     return A.detections(spark, d).select("event_id", score.alias("s")).filter("s >= 0.4").select("event_id", F.round("s", 4).alias("score"))
 
 
-@query("a17_segment_ingest", "SELECT 'f_' || lpad(frame::VARCHAR, 5, '0') || '.jpg' AS name, player_id AS track_id, x_pitch, y_pitch, in_pitch FROM pos WHERE frame < 25", "pos")
+@query("a17_segment_ingest", "SELECT 'f_' || lpad(frame::VARCHAR, 5, '0') || '.jpg' AS name, player_id AS track_id, x_pitch, y_pitch, in_pitch FROM pos", "pos")
 def segment_ingest(spark, d):
-    return A.positions(spark, d).filter("frame < 25").select(F.format_string("f_%05d.jpg", "frame").alias("name"), F.col("player_id").alias("track_id"), "x_pitch", "y_pitch", "in_pitch")
+    return A.positions(spark, d).select(F.format_string("f_%05d.jpg", "frame").alias("name"), F.col("player_id").alias("track_id"), "x_pitch", "y_pitch", "in_pitch")
 
 
-@query("a02_head_rows", "SELECT event_id FROM det WHERE frame < 5 ORDER BY frame, detection_id LIMIT 30", "det")
+@query("a02_head_rows", "SELECT event_id FROM det ORDER BY frame, detection_id LIMIT 30", "det")
 def head_rows(spark, d):
-    return ingest.large_enough(A.detections(spark, d), 0, 0).filter("frame < 5").orderBy("frame", "detection_id").limit(30).select("event_id")
+    return ingest.large_enough(A.detections(spark, d), 0, 0).orderBy("frame", "detection_id").limit(30).select("event_id")

@@ -129,13 +129,14 @@ def threshold_fusion(spark, d):
 
 
 @query("z04_region_areas", """
-WITH sites AS (SELECT detection_id, team, x_pitch, y_pitch FROM pos WHERE frame = 3 AND in_pitch <> 0),
-n AS (SELECT (SELECT detection_id FROM sites ORDER BY (px * 5 - x_pitch) * (px * 5 - x_pitch) + (py * 4 - y_pitch) * (py * 4 - y_pitch), detection_id LIMIT 1) AS site FROM range(22) a(px), range(18) b(py))
-SELECT team, count(*) AS cells FROM n JOIN sites ON detection_id = site GROUP BY team""", "pos")
+WITH n AS (SELECT frame, px, py, arg_min(team, struct_pack(d := (px * 5 - x_pitch) * (px * 5 - x_pitch) + (py * 4 - y_pitch) * (py * 4 - y_pitch), i := detection_id)) AS team
+  FROM pos, range(22) a(px), range(18) b(py) WHERE in_pitch <> 0 GROUP BY frame, px, py)
+SELECT frame, team, count(*) AS cells FROM n GROUP BY ALL""", "pos")
 def region_areas(spark, d):
-    sites = A.positions(spark, d).filter("frame = 3 and in_pitch <> 0").select("detection_id", "team", "x_pitch", "y_pitch")
-    cells = pairs.nearest_site(spark, sites, "detection_id", 22, 18, 5.0, 4.0)
-    return cells.join(F.broadcast(sites.select(F.col("detection_id").alias("site"), "team")), "site").groupBy("team").agg(F.count("*").alias("cells"))  # one frame's players
+    """Cells of each team's regions in every frame: the area over time."""
+    sites = A.positions(spark, d).filter("in_pitch <> 0").withColumn("who", F.struct("detection_id", "team"))
+    cells = pairs.nearest_site(sites, "who", 22, 18, 5.0, 4.0)
+    return cells.groupBy("frame", "site.team").agg(F.count("*").alias("cells"))
 
 
 @query("z06_visible_angle", """
@@ -144,10 +145,10 @@ def visible_angle(spark, d):
     return A.tracks(spark, d).select("event_id", F.round(N.visible_angle(F.col("x_pitch"), F.col("y_pitch"), 105.0, 30.34, 37.66), 4).alias("angle"))
 
 
-@query("a01_csv_scan", "SELECT event_id, frame, x1, confidence, team_hint FROM det WHERE frame < 100", "det")
+@query("a01_csv_scan", "SELECT event_id, frame, x1, confidence, team_hint FROM det", "det")
 def csv_scan(spark, d):
     """Rows written as CSV text and parsed with a declared schema; a blank cell is null."""
-    rows = A.detections(spark, d).filter("frame < 100").select("event_id", "frame", "x1", "confidence", "team_hint")
+    rows = A.detections(spark, d).select("event_id", "frame", "x1", "confidence", "team_hint")
     text = rows.select(F.to_csv(F.struct(*rows.columns)).alias("line"))
     parsed = text.select(F.from_csv("line", "event_id long, frame int, x1 double, confidence double, team_hint string").alias("r")).select("r.*")
     return parsed.withColumn("team_hint", F.coalesce("team_hint", F.lit("")))
@@ -193,11 +194,11 @@ def optional_column(spark, d):
 
 
 @query("k12_learned_threshold", """
-WITH v AS (SELECT q[3] AS v, team = 1 AS p FROM features WHERE vec_id % 2 = 0), t AS (SELECT DISTINCT v AS th FROM v),
+WITH v AS (SELECT q[3] AS v, team = 1 AS p FROM features), t AS (SELECT DISTINCT v AS th FROM v),
 f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) GROUP BY th, high)
 SELECT th AS threshold, high AS high_is_positive, round(ok / n, 6) AS accuracy FROM f ORDER BY ok DESC, high DESC, th LIMIT 1""", "features")
 def learned_threshold(spark, d):
     """Learns from annotated rows only, and only with enough of both teams."""
-    rows = A.features(spark, d).filter("vec_id % 2 = 0").select(F.get("q", F.lit(2)).alias("v"), "team")
+    rows = A.features(spark, d).select(F.get("q", F.lit(2)).alias("v"), "team")
     n = rows.agg(F.count("*").alias("n"), F.count_distinct("team").alias("t")).first()
     return models.accuracy_threshold(rows if n.n >= 12 and n.t == 2 else rows.limit(0), "v", F.col("team") == 1)

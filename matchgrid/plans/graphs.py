@@ -19,9 +19,9 @@ def union(spark, d):
     return A.detections(spark, d).select(F.lit("det").alias("source")).unionByName(added).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("u02_difference", "SELECT frame, player_id FROM det WHERE frame < 50 EXCEPT SELECT frame, player_id FROM track", "track")
+@query("u02_difference", "SELECT frame, player_id FROM det EXCEPT SELECT frame, player_id FROM track", "track")
 def difference(spark, d):
-    return A.detections(spark, d).filter("frame < 50").select("frame", "player_id").distinct().join(A.tracks(spark, d), ["frame", "player_id"], "left_anti")
+    return A.detections(spark, d).select("frame", "player_id").distinct().join(A.tracks(spark, d), ["frame", "player_id"], "left_anti")
 
 
 @query("u03_intersection", "SELECT frame FROM track WHERE player_id = 1 INTERSECT SELECT frame FROM track WHERE player_id = 2", "track")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
 from matchgrid.operators import editlog, ingest, pairs, temporal
+from matchgrid.operators import series as S
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
@@ -83,7 +84,7 @@ def point_enrichment(spark, d):
 
 
 _FRAGMENTS = """
-frag AS (SELECT *, player_id * 100000 + sum(CASE WHEN frame - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY frame) AS unit FROM (
+frag AS (SELECT *, player_id::BIGINT * 1000000000 + sum(CASE WHEN frame - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY player_id ORDER BY frame) AS unit FROM (
   SELECT *, lag(frame) OVER (PARTITION BY player_id ORDER BY frame) AS prev FROM track)),
 units AS (SELECT unit, min(frame) AS first, max(frame) AS last, count(*) AS n, arg_min(x_pitch, frame) AS sx, arg_min(y_pitch, frame) AS sy, arg_max(x_pitch, frame) AS ex,
   arg_max(y_pitch, frame) AS ey, arg_min(team, frame) AS team FROM frag GROUP BY unit)"""
@@ -95,13 +96,27 @@ def fragments(spark, d):
 
 
 @query("j16_merge_candidates", f"""
-WITH {_FRAGMENTS}
-SELECT a.unit AS a_id, b.unit AS b_id, b.first - a.last AS gap, round(sqrt((a.ex - b.sx) * (a.ex - b.sx) + (a.ey - b.sy) * (a.ey - b.sy)), 3) AS end_dist
-FROM units a JOIN units b ON b.first - a.last BETWEEN 1 AND 10 AND a.team = b.team AND a.unit <> b.unit
-WHERE (a.ex - b.sx) * (a.ex - b.sx) + (a.ey - b.sy) * (a.ey - b.sy) <= 14 * 14""", "track")
+WITH {_FRAGMENTS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY frame) AS a, row_number() OVER (PARTITION BY unit ORDER BY frame DESC) AS z FROM frag),
+v AS (SELECT unit,
+  (arg_max(x_pitch, frame) FILTER (a <= 8) - arg_min(x_pitch, frame) FILTER (a <= 8)) / greatest(1, max(frame) FILTER (a <= 8) - min(frame) FILTER (a <= 8)) AS vx0,
+  (arg_max(y_pitch, frame) FILTER (a <= 8) - arg_min(y_pitch, frame) FILTER (a <= 8)) / greatest(1, max(frame) FILTER (a <= 8) - min(frame) FILTER (a <= 8)) AS vy0,
+  (arg_max(x_pitch, frame) FILTER (z <= 8) - arg_min(x_pitch, frame) FILTER (z <= 8)) / greatest(1, max(frame) FILTER (z <= 8) - min(frame) FILTER (z <= 8)) AS vx1,
+  (arg_max(y_pitch, frame) FILTER (z <= 8) - arg_min(y_pitch, frame) FILTER (z <= 8)) / greatest(1, max(frame) FILTER (z <= 8) - min(frame) FILTER (z <= 8)) AS vy1 FROM ranked GROUP BY unit),
+u AS (SELECT * FROM units JOIN v USING (unit)),
+p AS (SELECT a.unit AS a_id, b.unit AS b_id, b.first - a.last AS gap, sqrt((a.ex - b.sx) * (a.ex - b.sx) + (a.ey - b.sy) * (a.ey - b.sy)) AS end_dist,
+  least(105, greatest(0, a.ex + a.vx1 * (b.first - a.last))) - b.sx AS px, least(68, greatest(0, a.ey + a.vy1 * (b.first - a.last))) - b.sy AS py,
+  24.0::DOUBLE * sqrt((a.vx1 - b.vx0) * (a.vx1 - b.vx0) + (a.vy1 - b.vy0) * (a.vy1 - b.vy0)) AS turn
+  FROM u a JOIN u b ON b.first - a.last BETWEEN 1 AND 72 AND (a.team = b.team OR a.team = '' OR b.team = '') AND a.unit <> b.unit)
+SELECT a_id, b_id, gap, round(end_dist, 3) AS end_dist, round(sqrt(px * px + py * py), 3) AS pred_dist, round(sqrt(px * px + py * py) + end_dist * 0.35::DOUBLE + gap * 0.04::DOUBLE + turn * 0.18::DOUBLE, 3) AS score
+FROM p WHERE end_dist <= 14 AND sqrt(px * px + py * py) <= 10 AND end_dist * 24 / gap <= 9
+ORDER BY round(sqrt(px * px + py * py) + end_dist * 0.35::DOUBLE + gap * 0.04::DOUBLE + turn * 0.18::DOUBLE, 6), a_id, b_id LIMIT 100""", "track")
 def merge_candidates(spark, d):
-    found = pairs.merge_candidates(pairs.units(fragments(spark, d)), max_gap=10, max_distance=14.0)
-    return found.select("a_id", "b_id", "gap", F.round("end_dist", 3).alias("end_dist"))
+    """The 100 best by score, as the review of candidates takes them."""
+    rows = fragments(spark, d)
+    unit = pairs.units(rows).join(S.edge_velocity(rows, "unit"), "unit")
+    found = pairs.merge_candidates(unit).orderBy(F.round("score", 6), "a_id", "b_id").limit(100)
+    return found.select("a_id", "b_id", "gap", *(F.round(c, 3).alias(c) for c in ("end_dist", "pred_dist", "score")))
 
 
 @query("j18_as_of_identity", """
@@ -160,12 +175,10 @@ def overlap_pairs(spark, d):
 
 
 @query("j23_nearest_site_raster", """
-WITH sites AS (SELECT detection_id, x_pitch, y_pitch FROM pos WHERE frame = 3 AND in_pitch <> 0)
-SELECT px::INT AS px, py::INT AS py, (SELECT detection_id FROM sites ORDER BY (px * 5 - x_pitch) * (px * 5 - x_pitch) + (py * 4 - y_pitch) * (py * 4 - y_pitch), detection_id LIMIT 1) AS site
-FROM range(22) a(px), range(18) b(py)""", "pos")
+SELECT frame, px::INT AS px, py::INT AS py, arg_min(detection_id, struct_pack(d := (px * 5 - x_pitch) * (px * 5 - x_pitch) + (py * 4 - y_pitch) * (py * 4 - y_pitch), i := detection_id)) AS site
+FROM pos, range(22) a(px), range(18) b(py) WHERE in_pitch <> 0 GROUP BY ALL""", "pos")
 def nearest_site_raster(spark, d):
-    sites = A.positions(spark, d).filter("frame = 3 and in_pitch <> 0").select("detection_id", "x_pitch", "y_pitch")
-    return pairs.nearest_site(spark, sites, "detection_id", 22, 18, 5.0, 4.0)
+    return pairs.nearest_site(A.positions(spark, d).filter("in_pitch <> 0"), "detection_id", 22, 18, 5.0, 4.0)
 
 
 @query("j25_carry_decision", """
@@ -203,20 +216,20 @@ def fragment_overlap(spark, d):
 
 
 @query("j29_next_start", """
-WITH e AS (SELECT player_id, team, max(frame) AS last, arg_max(x_pitch, frame) AS x, arg_max(y_pitch, frame) AS y FROM track WHERE frame < 200 GROUP BY player_id, team),
+WITH e AS (SELECT player_id, team, max(frame) AS last, arg_max(x_pitch, frame) AS x, arg_max(y_pitch, frame) AS y FROM track GROUP BY player_id, team),
 s AS (SELECT t.* FROM track t WHERE NOT EXISTS (SELECT 1 FROM track p WHERE p.player_id = t.player_id AND p.frame = t.frame - 1))
 SELECT e.player_id, e.team, arg_min(s.player_id, struct_pack(c := round(sqrt((x - x_pitch) * (x - x_pitch) + (y - y_pitch) * (y - y_pitch)) + 2 * (s.frame - last), 6), f := s.frame, p := s.player_id)) AS next_id
-FROM e JOIN s ON s.team = e.team AND s.player_id <> e.player_id AND s.frame > last AND s.frame <= last + 20 GROUP BY e.player_id, e.team""", "track")
+FROM e JOIN s ON s.team = e.team AND s.player_id <> e.player_id AND s.frame > last AND s.frame <= last + 120 GROUP BY e.player_id, e.team""", "track")
 def next_start(spark, d):
-    return pairs.next_starts(A.tracks(spark, d), until=200, reach=20)
+    return pairs.next_starts(A.tracks(spark, d), reach=120)
 
 
 @query("j30_between_frames", """
 SELECT a.player_id, a.frame, k::INT AS k, round(a.x_pitch + (coalesce(b.x_pitch, a.x_pitch) - a.x_pitch) * k / 4.0::DOUBLE, 6) AS x
-FROM track a LEFT JOIN track b ON b.player_id = a.player_id AND b.frame = a.frame + 1, range(4) t(k) WHERE a.frame < 100""", "track")
+FROM track a LEFT JOIN track b ON b.player_id = a.player_id AND b.frame = a.frame + 1, range(4) t(k)""", "track")
 def between_frames(spark, d):
     rows = A.tracks(spark, d)
-    return pairs.in_betweens(rows.filter("frame < 100"), rows, 4).select("player_id", "frame", "k", F.round("x", 6).alias("x"))
+    return pairs.in_betweens(rows, rows, 4).select("player_id", "frame", "k", F.round("x", 6).alias("x"))
 
 
 @query("j31_full_frames", "SELECT event_id FROM det WHERE frame IN (SELECT frame FROM track GROUP BY frame HAVING count(*) = 14)", "track")

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators import matching as M
 from matchgrid.operators import pairs
+from matchgrid.operators.components import components
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
 
-def sides(spark, d):
+def sides(spark, d, frames="true", x="foot_x", y="foot_y"):
     """Boxes of team A against those of team B, within the frame."""
-    det = A.detections(spark, d)
-    left = det.filter("team_hint = 'A'").select("frame", F.col("detection_id").alias("l"), F.col("foot_x").alias("lx"), F.col("foot_y").alias("ly"))
-    right = det.filter("team_hint = 'B'").select("frame", F.col("detection_id").alias("r"), F.col("foot_x").alias("rx"), F.col("foot_y").alias("ry"))
-    return left, right
+    det = A.detections(spark, d).filter(frames)
+    side = lambda team, p: det.filter(F.col("team_hint") == team).select("frame", F.col("detection_id").alias(p), F.col(x).alias(f"{p}x"), F.col(y).alias(f"{p}y"))
+    return side("A", "l"), side("B", "r")
 
 
-def matched(spark, d, tolerance, solver="greedy"):
-    left, right = sides(spark, d)
+def matched(left, right, tolerance, solver="greedy"):
     return M.exclusive(M.candidate_pairs(left, right, "frame", M.foot_distance(), tolerance), "frame", solver)
 
 
@@ -34,7 +34,7 @@ def candidate_pairs(spark, d):
 
 @query("j02_exclusive_match")
 def exclusive_match(spark, d):
-    return matched(spark, d, 110.0)
+    return matched(*sides(spark, d), 110.0)
 
 
 @query("j03_snap_match")
@@ -47,26 +47,38 @@ def snap_match(spark, d):
 
 @query("j04_single_frame_match")
 def single_frame_match(spark, d):
-    return matched(spark, d, 110.0).filter("frame = 7")
+    return matched(*sides(spark, d, "frame = 7"), 110.0)
 
 
 @query("j05_centre_match")
 def centre_match(spark, d):
-    return matched(spark, d, 30.0)
+    """By the distance of the boxes' centres."""
+    return matched(*sides(spark, d, x="center_x", y="center_y"), 30.0)
 
 
 @query("j06_outer_match")
 def outer_match(spark, d):
-    """A penalty for rows of unlike parity stands for the colour's; both sides' rest stays."""
+    """Unlike parity, for unlike colour, counts 1.5 in the order but not against the tolerance; both sides' rest stays.
+
+    A box of the left side keeps its own point where no detection was found for it.
+    """
     left, right = sides(spark, d)
-    cost = M.foot_distance() + F.when(F.col("l") % 2 != F.col("r") % 2, 1.5).otherwise(0.0)
-    pairs_ = M.exclusive(M.candidate_pairs(left, right, "frame", cost, 80.0), "frame")
-    return M.with_unmatched(pairs_, left, right, "frame")
+    penalty = F.when(F.col("l") % 2 != F.col("r") % 2, 1.5).otherwise(0.0)
+    pairs_ = M.exclusive(M.candidate_pairs(left, right, "frame", M.foot_distance(), 80.0, penalty), "frame")
+    every = M.with_unmatched(pairs_, left, right, "frame").join(left, ["frame", "l"], "left").join(right, ["frame", "r"], "left")
+    return every.select("frame", "l", "r", "cost", F.coalesce("rx", "lx").alias("x"), F.coalesce("ry", "ly").alias("y"))
 
 
 @query("j08_optimal_assignment")
 def optimal_assignment(spark, d):
-    return matched(spark, d, 80.0, "optimal")
+    """The least total distance; detections without a partner open new objects after the frame's largest."""
+    left, right = sides(spark, d)
+    pairs_ = matched(left, right, 80.0, "optimal")
+    rest = right.select("frame", "r").join(pairs_.select("frame", "r"), ["frame", "r"], "left_anti")
+    most = left.groupBy("frame").agg(F.max("l").alias("most"))
+    number = F.row_number().over(Window.partitionBy("frame").orderBy("r"))
+    new = rest.join(most, "frame", "left").select("frame", (F.coalesce("most", F.lit(-1)) + number).alias("l"), "r", F.lit(None).cast("double").alias("cost"), F.lit(True).alias("is_new"))
+    return pairs_.withColumn("is_new", F.lit(False)).unionByName(new)
 
 
 @query("j01_nearest_tracker")
@@ -83,8 +95,10 @@ def velocity_tracker(spark, d):
 
 @query("j17_chain_merges")
 def chain_merges(spark, d):
-    units = pairs.units(pairs.fragments(A.tracks(spark, d), 3)).withColumn("clip", F.floor(F.col("first") / 100).cast("int"))
-    return M.chain_merges(units, "clip")
+    rows = pairs.fragments(A.tracks(spark, d), 3)
+    units = pairs.units(rows).withColumn("clip", F.floor(F.col("first") / 100).cast("int"))
+    doubles = components(pairs.duplicate_pairs(rows, "unit"), "a_id", "b_id").withColumnRenamed("v", "unit")
+    return M.chain_merges(units.join(doubles, "unit", "left").withColumn("component", F.coalesce("root", "unit")).drop("root"), "clip")
 
 
 @query("t11_suppression")

@@ -28,9 +28,9 @@ def mask_boxes(spark, d):
 
 
 @query("b02_fixed_fields", """
-SELECT frame::VARCHAR AS frame, detection_id::VARCHAR AS detection_id, team_hint, '' AS note FROM det WHERE frame < 20""", "det")
+SELECT frame::VARCHAR AS frame, detection_id::VARCHAR AS detection_id, team_hint, '' AS note FROM det""", "det")
 def fixed_fields(spark, d):
-    return export.fields(A.detections(spark, d).filter("frame < 20"), ["frame", "detection_id", "team_hint", "note"])
+    return export.fields(A.detections(spark, d), ["frame", "detection_id", "team_hint", "note"])
 
 
 @query("b07_polylines", """
@@ -71,7 +71,7 @@ def near_holder(spark, d):
 
 
 @query("z10_tile_offsets", """
-SELECT event_id, (x1 + (event_id % 2) * 960 - 40)::DOUBLE AS x1, (y1 + (event_id % 3) * 540 - 40)::DOUBLE AS y1 FROM det WHERE frame < 30""", "det")
+SELECT event_id, (x1 + (event_id % 2) * 960 - 40)::DOUBLE AS x1, (y1 + (event_id % 3) * 540 - 40)::DOUBLE AS y1 FROM det""", "det")
 def tile_offsets(spark, d):
     i = F.col("event_id")
-    return A.detections(spark, d).filter("frame < 30").select("event_id", (F.col("x1") + (i % 2) * 960 - 40).alias("x1"), (F.col("y1") + (i % 3) * 540 - 40).alias("y1"))
+    return A.detections(spark, d).select("event_id", (F.col("x1") + (i % 2) * 960 - 40).alias("x1"), (F.col("y1") + (i % 3) * 540 - 40).alias("y1"))

@@ -44,7 +44,7 @@ def frame_metadata(spark, d):
 
 
 @query("a11_detector_json", """
-WITH r AS (SELECT event_id, (event_id // 10) % 4 AS k, event_id % 50 AS a, event_id % 30 AS b FROM events WHERE event_id % 10 = 0),
+WITH r AS (SELECT event_id, (event_id // 10) % 4 AS k, event_id % 50 AS a, event_id % 30 AS b FROM events),
 box AS (
   SELECT event_id, CASE k WHEN 0 THEN ('0.' || (10 + a))::DOUBLE ELSE a::DOUBLE END AS x1, CASE k WHEN 0 THEN ('0.' || (10 + b))::DOUBLE ELSE b::DOUBLE END AS y1,
          CASE k WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 500 WHEN 2 THEN 2500 END AS x2, CASE k WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 400 WHEN 2 THEN 300 END AS y2,
@@ -58,11 +58,12 @@ def detector_json(spark, d):
 
 
 @query("a12_mock_boxes", """
-SELECT frame, i::INT AS detection_id, round(1920 * (0.08 + 0.084 * (i % 11)), 3) AS x, round(1080 * (CASE WHEN i < 11 THEN 0.35 ELSE 0.65 END + ((i % 3) - 1) * 0.035), 3) AS y,
-       CASE WHEN i < 11 THEN 'A' ELSE 'B' END AS team_hint FROM (SELECT DISTINCT frame FROM det), range(22) t(i)""", "det")
+SELECT frame, i::INT AS detection_id, round(1920 * [0.18, 0.28, 0.38, 0.48, 0.58, 0.68, 0.78, 0.24, 0.42, 0.62, 0.76][i % 11 + 1] - 17.28, 3) AS x1,
+       round(1080 * (CASE WHEN i < 11 THEN 0.38 ELSE 0.62 END + ((i % 11) % 3 - 1) * 0.035) - 59.4, 3) AS y1, round(1920 * [0.18, 0.28, 0.38, 0.48, 0.58, 0.68, 0.78, 0.24, 0.42, 0.62, 0.76][i % 11 + 1] + 17.28, 3) AS x2,
+       round(1080 * (CASE WHEN i < 11 THEN 0.38 ELSE 0.62 END + ((i % 11) % 3 - 1) * 0.035), 3) AS y2, 0.5 AS confidence, CASE WHEN i < 11 THEN 'A' ELSE 'B' END AS team_hint FROM (SELECT DISTINCT frame FROM det), range(22) t(i)""", "det")
 def mock_boxes(spark, d):
     boxes = ingest.mock_boxes(A.detections(spark, d).select("frame").distinct(), 1920.0, 1080.0)
-    return boxes.select("frame", "detection_id", F.round("center_x", 3).alias("x"), F.round("center_y", 3).alias("y"), "team_hint")
+    return boxes.select("frame", "detection_id", *(F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")), "confidence", "team_hint")
 
 
 @query("a21_data_url", "SELECT doc_id, md5('data:image/jpeg;base64,' || base64(encode(substr(text, 1, 50)))) AS url FROM documents")
@@ -233,10 +234,11 @@ def hit_test(spark, d):
     return near.groupBy("frame").agg(F.min_by("detection_id", F.struct(G.area(), "detection_id")).alias("detection_id"))
 
 
-@query("t01_numeric_sort", "SELECT event_id, row_number() OVER (ORDER BY frame::INT, detection_id::INT) AS place FROM det WHERE frame < 30", "det")
+@query("t01_numeric_sort", "SELECT event_id, frame, detection_id FROM det ORDER BY frame, detection_id", "det")
 def numeric_sort(spark, d):
-    few = A.detections(spark, d).filter("frame < 30").select("event_id", F.col("frame").cast("string").alias("f"), F.col("detection_id").cast("string").alias("i"))
-    return few.select("event_id", F.row_number().over(Window.orderBy(F.col("f").cast("int"), F.col("i").cast("int"))).cast("long").alias("place"))
+    """Text columns in the order of their numbers."""
+    rows = A.detections(spark, d).select("event_id", F.col("frame").cast("string").alias("f"), F.col("detection_id").cast("string").alias("i"))
+    return rows.orderBy(F.col("f").cast("int"), F.col("i").cast("int")).select("event_id", F.col("f").cast("int").alias("frame"), F.col("i").cast("int").alias("detection_id"))
 
 
 @query("t02_head_limit", "SELECT event_id FROM det ORDER BY frame, detection_id LIMIT 50", "det")

@@ -81,11 +81,11 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One keyframe per frame at most: the first line item by all its columns."""
+    """One keyframe per frame at most: the first line item of the largest quantity by all its columns."""
     from pyspark.sql import Window
 
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    li = scan(spark, sf_dir, "lineitem").withColumn("frame", (F.col("l_orderkey") % 2000).cast("int")).filter("l_partkey % 50 = 0")
+    li = scan(spark, sf_dir, "lineitem").withColumn("frame", (F.col("l_orderkey") % 2000).cast("int")).filter("l_quantity = 50")
     first = li.withColumn("rn", F.row_number().over(Window.partitionBy("frame").orderBy(*cols))).filter("rn = 1")
     none = F.col("l_returnflag") == "R"
     return first.select("frame", F.when(none, "none").otherwise("pos").alias("state"), F.when(~none, F.col("l_partkey") % 1900 + 0.0).alias("image_x"), F.when(~none, F.col("l_suppkey") % 1000 + 0.0).alias("image_y"))
@@ -108,7 +108,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector responses in four shapes, one box each, in relative or pixel coordinates."""
-    e = scan(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    e = scan(spark, sf_dir, "events")
     s = lambda c: c.cast("string")
     i = F.col("event_id")
     a, b = (i % 50).cast("int"), (i % 30).cast("int")
@@ -153,7 +153,7 @@ VIEWS = {
       SELECT frame, CASE WHEN l_returnflag = 'R' THEN 'none' ELSE 'pos' END AS state,
              CASE WHEN l_returnflag <> 'R' THEN (l_partkey % 1900)::DOUBLE END AS image_x, CASE WHEN l_returnflag <> 'R' THEN (l_suppkey % 1000)::DOUBLE END AS image_y
       FROM (SELECT *, (l_orderkey % 2000)::INT AS frame, row_number() OVER (PARTITION BY l_orderkey % 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem WHERE l_partkey % 50 = 0) WHERE rn = 1""",
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem WHERE l_quantity = 50) WHERE rn = 1""",
     "features": "SELECT vec_id, (label + 1)::INT AS team, list_transform(embedding, lambda e: round(e::DOUBLE * 1000)::BIGINT) AS q FROM embeddings WHERE label < 2",
     "px": """
       SELECT vec_id, j, b[3 * j + 1] AS r, b[3 * j + 2] AS g, b[3 * j + 3] AS bl
