@@ -2,8 +2,8 @@ r"""BPE encoding and decoding by dynamic programming over the prefixes of a word
 
 The vocabulary file is one of the tokenizers library's JSON files with byte
 symbols and an end-of-word suffix. Text is cut at special tokens, normalised
-(NFC, lower case) and split into words as the file's own rules do. The end of a
-word is a symbol of its own, so a word is a string over 257 symbols.
+(NFC, lower case) and split into words by the fixed rules below; a file with other
+rules is refused. The end of a word is a symbol of its own, so a word is a string over 257 symbols.
 
 For each prefix of a word exactly one token can be the last of the prefix's
 encoding. A suffix automaton of all tokens follows the word; at each position
@@ -15,7 +15,7 @@ Two tokens are compatible if no merge across their border comes before the
 merges that build them. Compatibility is remembered by pair, encodings by word,
 in dictionaries of a bounded size.
 
-Null or empty text has no ids and decodes to the empty string. Rows are
+Very long texts are encoded whole, a slice of texts at a time. Null or empty text has no ids and decodes to the empty string. Rows are
 independent of each other, so repeated rows and ties need no rule. An empty
 table gives an empty result. A column of the name of an output is replaced;
 every other column stays.
@@ -46,6 +46,23 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}" + SPACE + "]+"
 
 
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def refuse_other_rules(file: dict) -> None:
+    """Raise an error for a vocabulary file whose rules are not the ones that this module follows."""
+    model, split = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    found = {
+        "normalizer": [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS,
+        "pre_tokenizer": [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": SPLIT} and not split[1]["add_prefix_space"],
+        "model": model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]),
+    }
+    if wrong := [k for k, good in found.items() if not good]:
+        raise ValueError(f"the vocabulary file has other rules than this encoder: {', '.join(wrong)}")
+
+
 def byte_of_char() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as they are, the rest from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -100,6 +117,7 @@ def load(path: str) -> dict:
     """The vocabulary as plain numpy arrays and lists, to be broadcast."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    refuse_other_rules(file)
     model = file["model"]
     suffix, vocab = model["end_of_word_suffix"], model["vocab"]
     names = [""] * (max(max(vocab.values()), *(t["id"] for t in file["added_tokens"])) + 1)

@@ -11,8 +11,11 @@ context, then the reply. Only the reply's text is trainable (``loss_start``,
 reply, or all turns of a conversation without one, give one more row without
 a trainable part, so that the output holds the whole conversation.
 
-Rows of a conversation are ordered by turn, then role and text. Null text and
-null role are empty, a null turn comes first, null conv_id is a conversation.
+Rows of a conversation are ordered by turn, then role and text (so ties and repeats
+have a fixed place). Null text and null role are empty, a null turn comes first, null
+conv_id is a conversation. A conversation's last example is its whole text, so it must
+fit a row; its turns are gathered for that, and no more than one conversation is.
+Very long texts are formatted whole.
 Repeated rows are turns of their own. Extra columns are not read. An empty
 table gives an empty result.
 """

@@ -40,6 +40,8 @@ PER_LANG = 64
 LETTERS = 40_000
 LONGEST = 200_000
 MOST_LANGS = 400
+#: Parts in which a language's texts are ranked first.
+PARTS = 32
 #: Letters of one symbol; the others are written with PAGES * PLACES pairs. Letters beyond those are one symbol together.
 FREQUENT, PAGES, PLACES = 100, 76, 76
 BLOCK = 256
@@ -57,7 +59,10 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG, letters: int = LE
     langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
     odd = F.when(F.col("size").between(200, 4000), 0).otherwise(1)
     order = Window.partitionBy("lang").orderBy("odd", "h", "size")
-    first = labelled.select("lang", "h", "size", odd.alias("odd")).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
+    distinct = labelled.select("lang", "h", "size", odd.alias("odd"), F.pmod("h", F.lit(PARTS)).alias("part")).distinct()
+    # First within the parts of a language, so that a frequent one is ranked by many tasks.
+    few = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy("odd", "h", "size"))).filter(F.col("rank") <= per_lang)
+    first = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = first.withColumn("before", before).filter(F.col("before") < letters).join(F.broadcast(langs), "lang", "left_semi").select("lang", "h", "size")
     rows = labelled.join(F.broadcast(chosen), ["lang", "h", "size"]).groupBy("lang", "h", "size").agg(F.min("text").alias("text"))

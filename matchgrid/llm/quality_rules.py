@@ -13,13 +13,18 @@ probability 1 - ERROR all strata keep all but RISK of their good documents.
 A window of five words found twice or more in a text makes its words repeated.
 Windows are compared by hash and only texts that repeat one are sorted.
 
-Null text has no words and fails. Null and empty lang are one stratum. Labels
-are matched by doc_id; repeated rows of either table count each. Empty tables
-give an empty result. Extra columns are not read.
+Null text has no words and fails. Very long texts are counted whole. Null and empty
+lang are one stratum. Labels are matched by doc_id; in the tests a doc_id counts once
+in a stratum, with its largest measures, however often either table repeats it, as the
+bound is for independent documents. A measure equal to a cutoff does not exceed it; of equally
+allowed cutoffs the tightest is used. Every row gets its verdict. Empty tables give an
+empty result. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,20 +82,34 @@ def measured(counted: DataFrame) -> DataFrame:
 
 
 def at_most(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of a binomial(n, p), summed from its terms."""
-    odds = F.log(F.lit(p / (1 - p)))
-    zero = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.exp(n * F.log(F.lit(1 - p))).alias("sum"))
+    """P(X <= k) of a binomial(n, p), summed from term k down.
+
+    Terms more than 12 standard deviations further down are less than e-70 of the
+    first one and left out, so large strata need some square root of n steps.
+    """
+    k, n = k.cast("long"), n.cast("long")
+    start = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log(1 - p))
+    first = F.struct(start.alias("term"), start.alias("sum"))
+    low = F.greatest(F.lit(1), k - F.ceil(12 * F.sqrt(n * p * (1 - p))) - 50)
 
     def step(a: Column, i: Column) -> Column:
-        term = a["term"] + F.log((n - i + 1) / i) + odds
-        return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
+        term = a["term"] * i / (n - i + 1) * ((1 - p) / p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    return F.when(k < 1, F.exp(n * math.log(1 - p))).otherwise(F.aggregate(F.sequence(F.greatest(k, F.lit(1)), low, F.lit(-1)), first, step)["sum"])
+
 
-    return F.when(k < 1, zero["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), zero, step)["sum"])
+def log_factorial(n: Column) -> Column:
+    """Exact up to 20, then Stirling's series (error below 1e-12)."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, one column per measure): the tightest cutoff that the labels allow, null for none."""
-    good = measures.join(labels.filter("quality = 1").select("doc_id"), "doc_id").filter(~F.col("base_failed"))
+    good = measures.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id").filter(~F.col("base_failed"))
+    good = good.groupBy("stratum", "doc_id").agg(*(F.max(m).alias(m) for m in MEASURES))
     each = good.select("stratum", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES))))
     tried = each.select("stratum", "measure", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"), "value")
     # Every document meets every cutoff in the map-side part of this sum only.
@@ -140,7 +159,8 @@ m AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          n_symbols::DOUBLE / greatest(word_chars, 1) AS symbols, n_dup_lines::DOUBLE / greatest(n_words, 1) AS dup_lines,
          n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeats FROM c),
-good AS (SELECT m.* FROM m JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+good AS (SELECT stratum, doc_id, max(symbols) AS symbols, max(dup_lines) AS dup_lines, max(repeats) AS repeats
+         FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
 each AS (
   SELECT stratum, 'symbols' AS measure, symbols AS v FROM good UNION ALL SELECT stratum, 'dup_lines', dup_lines FROM good
   UNION ALL SELECT stratum, 'repeats', repeats FROM good),
