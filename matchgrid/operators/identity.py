@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators.components import components as contracted
+from matchgrid.operators.ranges import numbered
 
 
 def relabel(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, new_id): 1.. by descending number of rows, of equals the one seen first.
-
-    The numbering runs over one row per key.
-    """
+    """(key, new_id): 1.. by descending number of rows, of equals the one seen first."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(seq).alias("first"))
-    return sizes.select(key, F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long").alias("new_id"))
+    return numbered(sizes, [F.desc("n"), "first"], "new_id").select(key, "new_id")
 
 
 def stable_ids(rows: DataFrame, known: DataFrame, key: str, seq: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchgrid.operators.ranges import numbered
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV table with a header, or an empty one if the path does not exist."""
@@ -67,12 +69,8 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def frame_metadata(names: DataFrame, start: float, fps: float) -> DataFrame:
-    """Index and time of each frame file, in the order of the names.
-
-    A video's frame list is a small dimension; it is numbered in one partition.
-    """
-    at = F.row_number().over(Window.orderBy("filename")) - 1
-    rows = names.select("filename", at.cast("long").alias("frame_idx"))
+    """Index and time of each frame file, in the order of the names."""
+    rows = numbered(names.select("filename"), ["filename"], "place").select("filename", (F.col("place") - 1).alias("frame_idx"))
     return rows.withColumn("timestamp", F.round(start + F.col("frame_idx") / fps, 3))
 
 

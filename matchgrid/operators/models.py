@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.ranges import percentiles, running_sums
+
 
 def share_of(px: str, test) -> Column:
     """The share of an array of RGB structs that passes ``test``."""
@@ -44,7 +46,7 @@ def regression(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Slope, intercept, R2 and the 5 and 95 % points of actual over expected."""
     fit = rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))
     ratio = F.col(y) / (F.col("slope") * F.col(x) + F.col("intercept"))
-    spread = rows.join(F.broadcast(fit)).agg(F.percentile(ratio, F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
+    spread = percentiles(rows.join(F.broadcast(fit)), ratio, [0.05, 0.95])  # fit is one row
     return fit.join(F.broadcast(spread)).select(
         F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), "n",
         F.round(F.get("p", F.lit(0)), 4).alias("p5"), F.round(F.get("p", F.lit(1)), 4).alias("p95"),
@@ -61,23 +63,16 @@ def f1_threshold(rows: DataFrame, value: str, positive: Column) -> DataFrame:
 
     Running sums over the distinct values take the place of a threshold x row product.
     """
-    counts = value_counts(rows, value, positive)
-    above = Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = counts.select("v", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("all"))
-    f1 = F.round(2 * F.col("tp") / F.greatest(F.lit(1), F.col("all") + F.col("tp") + F.col("fp")), 6)
+    seen = running_sums(value_counts(rows, value, positive), [F.desc("v")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    f1 = F.round(2 * F.col("tp") / F.greatest(F.lit(1), F.col("tp_all") + F.col("tp") + F.col("fp")), 6)
     return seen.withColumn("f1", f1).agg(F.max_by(F.struct("v", "f1"), F.struct("f1", -F.col("v"))).alias("b")).select(F.col("b.v").alias("threshold"), "b.f1")
 
 
 def accuracy_threshold(rows: DataFrame, value: str, positive: Column) -> DataFrame:
     """(threshold, high_is_positive, accuracy) over the values as lower bounds, the high direction first."""
-    counts = value_counts(rows, value, positive)
-    above = Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = {"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)}
-    seen = counts.select("v", *(c.alias(k) for k, c in sums.items()))
-    right = F.col("tp") + F.col("n") - F.col("fp")
-    total = F.col("p") + F.col("n")
+    seen = running_sums(value_counts(rows, value, positive), [F.desc("v")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    right = F.col("tp") + F.col("fp_all") - F.col("fp")
+    total = F.col("tp_all") + F.col("fp_all")
     grid = F.array(F.struct(F.lit(1).alias("high"), right.alias("ok")), F.struct(F.lit(0).alias("high"), (total - right).alias("ok")))
     each = seen.select("v", total.alias("total"), F.inline(grid))
     best = each.agg(F.max_by(F.struct("v", "high", "ok", "total"), F.struct("ok", "high", -F.col("v"))).alias("b"))
@@ -87,10 +82,8 @@ def accuracy_threshold(rows: DataFrame, value: str, positive: Column) -> DataFra
 def otsu(rows: DataFrame, value: str) -> DataFrame:
     """(threshold, between): the split of sorted values with the largest between-class variance, the first on a tie."""
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = counts.select("v", F.sum("c").over(below).alias("n0"), F.sum(F.col("v") * F.col("c")).over(below).alias("s0"), F.sum("c").over(whole).alias("n"), F.sum(F.col("v") * F.col("c")).over(whole).alias("s"))
-    s = s.filter("n0 < n")
+    sums = running_sums(counts, ["v"], {"n0": F.col("c"), "s0": F.col("v") * F.col("c")})
+    s = sums.withColumnsRenamed({"n0_all": "n", "s0_all": "s"}).filter("n0 < n")
     gap = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
     between = F.round(F.col("n0") * (F.col("n") - F.col("n0")) * gap * gap / (F.col("n") * F.col("n")), 4)
     return s.withColumn("between", between).agg(F.max_by(F.struct("v", "between"), F.struct("between", -F.col("v"))).alias("b")).select(F.col("b.v").alias("threshold"), F.col("b.between").alias("between"))

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.ranges import carried, running_sums
+
 
 def fill_gaps(tracks: DataFrame, values: list[str], max_gap: int = 5) -> DataFrame:
     """Rows for the missing frames of gaps of at most ``max_gap``, interpolated; ``is_filled`` tells them."""
@@ -77,7 +79,7 @@ def edge_velocity(rows: DataFrame, key: str, lookback: int = 8) -> DataFrame:
 def count_changes(rows: DataFrame) -> DataFrame:
     """(frame, n, change): difference of each frame's count to the frame before."""
     counts = rows.groupBy("frame").agg(F.count("*").alias("n"))
-    return counts.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("frame")))  # one row a frame
+    return carried(counts, "frame", {"before": F.col("n")}, own=False).select("frame", "n", (F.col("n") - F.col("before")).alias("change"))
 
 
 def systematic(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -90,15 +92,15 @@ def systematic(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 def tail_split(rows: DataFrame, order: str, share: float = 0.18) -> DataFrame:
     """``rows`` with ``split``: the last max(1, share) of the ordered rows are val."""
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(whole)
-    place = F.row_number().over(Window.orderBy(order))
-    return rows.withColumn("split", F.when(place > n - F.greatest(F.lit(1), F.floor(n * share)), "val").otherwise("train"))
+    n = F.col("_place_all")
+    last = F.col("_place") > n - F.greatest(F.lit(1), F.floor(n * share))
+    placed = running_sums(rows, [order], {"_place": F.lit(1).cast("long")})
+    return placed.select(*rows.columns, F.when(last, "val").otherwise("train").alias("split"))
 
 
 def frame_problems(rows: DataFrame, full: int, warp: float) -> DataFrame:
     """(frame, problem): duplicate ids, wrong counts, jumps and id swaps against the frame before that exists."""
-    frames = rows.select("frame").distinct().withColumn("before", F.lag("frame").over(Window.orderBy("frame")))
+    frames = carried(rows.select("frame").distinct(), "frame", {"before": F.col("frame")}, own=False)
     twice = rows.groupBy("frame", "player_id").count().filter("count > 1").select("frame", F.lit("duplicate").alias("problem")).distinct()
     counts = rows.groupBy("frame").agg(F.count("*").alias("n")).filter(F.col("n") != full).select("frame", F.lit("count").alias("problem"))
     ids = rows.groupBy("frame", "player_id").agg(F.min("foot_x").alias("x"), F.min("foot_y").alias("y"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.ranges import carried
+
 
 def as_of(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value: str, tie: str | None = None) -> DataFrame:
     """``rows`` with the value of the last event at or before each row's time, null if none.
@@ -51,9 +53,7 @@ def between_keyframes(frames: DataFrame, keys: DataFrame) -> DataFrame:
     k = F.struct(F.col("key_frame"), "state", "image_x", "image_y")
     spine = frames.select("frame").join(keys.withColumn("key_frame", F.col("frame")), "frame", "full")
     spine = spine.withColumn("k", F.when(F.col("key_frame").isNotNull(), k))
-    order = Window.orderBy("frame")  # one clip's frames
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    both = spine.withColumns({"a": F.last("k", ignorenulls=True).over(back), "b": F.first("k", ignorenulls=True).over(ahead)})
+    both = carried(spine.select("frame", "k"), "frame", {"a": F.col("k")}, {"b": F.col("k")})
     good = (F.col("a.state") == "pos") & (F.col("b.state") == "pos")
     span = F.col("b.key_frame") - F.col("a.key_frame")
     t = F.when(span == 0, 0.0).otherwise((F.col("frame") - F.col("a.key_frame")) / F.when(span != 0, span))

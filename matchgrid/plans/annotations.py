@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators import annotations as N
 from matchgrid.operators import ingest, models, pairs
+from matchgrid.operators.ranges import numbered
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
@@ -91,7 +91,7 @@ def limit_rows(spark, d):
 @query("t07_column_sort", "SELECT unit::BIGINT AS unit, row_number() OVER (ORDER BY n DESC, unit)::BIGINT AS place FROM (SELECT player_id AS unit, count(*) AS n FROM track GROUP BY player_id)", "track")
 def column_sort(spark, d):
     counts = A.tracks(spark, d).groupBy(F.col("player_id").cast("long").alias("unit")).agg(F.count("*").alias("n"))
-    return counts.select("unit", F.row_number().over(Window.orderBy(F.desc("n"), "unit")).cast("long").alias("place"))
+    return numbered(counts, [F.desc("n"), "unit"], "place").select("unit", "place")
 
 
 @query("t10_value_sort", "SELECT player_id, round(avg(confidence), 6) AS mean FROM det GROUP BY player_id ORDER BY mean DESC, player_id", "det")

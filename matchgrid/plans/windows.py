@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchgrid.operators import analytics as N
 from matchgrid.operators import identity, pairs
 from matchgrid.operators import series as S
+from matchgrid.operators.ranges import numbered
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
@@ -168,7 +169,7 @@ def top_eleven(spark, d):
 SELECT player_id, row_number() OVER (ORDER BY visible, last DESC, player_id)::BIGINT AS place FROM (SELECT player_id, (max((frame = 90)::INT)) AS visible, max(frame) AS last FROM track WHERE frame <= 90 GROUP BY player_id)""", "track")
 def roster_order(spark, d):
     seen = A.tracks(spark, d).filter("frame <= 90").groupBy("player_id").agg(F.max((F.col("frame") == 90).cast("int")).alias("visible"), F.max("frame").alias("last"))
-    return seen.select("player_id", F.row_number().over(Window.orderBy("visible", F.desc("last"), "player_id")).cast("long").alias("place"))
+    return numbered(seen, ["visible", F.desc("last"), "player_id"], "place").select("player_id", "place")
 
 
 @query("t09_first_unanswered", "SELECT min(conv_id) AS first FROM conversations WHERE conv_id % 5 > 1")
