@@ -16,7 +16,7 @@ TRACKED = "clip int, frame int, detection_id int, track_id long, track_distance
 STATE = "next_id long, ids array<long>, xs array<double>, ys array<double>, frames array<int>"
 
 
-def live_tracks(detections: DataFrame, max_distance: float = 90.0, max_missed: int = 4, idle: str | None = None) -> DataFrame:
+def live_tracks(detections: DataFrame, max_distance: float = 90.0, max_missed: int = 4) -> DataFrame:
     """The nearest tracker over a stream of detections, one state per clip.
 
     Frames of a micro-batch are taken in order; a frame older than the newest
