@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchgrid.llm import bpe, chat_format, decontamination, fill_in_middle, language_id, line_dedup, near_dedup, pii, quality_rules, sentence_pieces, url_filters, warc
+from matchgrid.llm import bpe, chat_format, conversation_repair, decontamination, fill_in_middle, language_id, line_dedup, near_dedup, pii, quality_rules, sentence_pieces, url_filters, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_chat_format": chat_format.query,
         "op9_bpe": bpe.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_conversation_repair": conversation_repair.query,
         "op12_fill_in_middle": fill_in_middle.query,
         "op13_sentence_pieces": sentence_pieces.query,
     }
