@@ -38,3 +38,33 @@ def with_geometry(boxes: DataFrame, geometry: DataFrame, keys: list[str]) -> Dat
     new = geometry.select(*keys, *(F.col(c).alias(f"new_{c}") for c in BOX))
     joined = boxes.join(new, keys, "left")
     return joined.withColumns({c: F.coalesce(f"new_{c}", c) for c in BOX}).drop(*(f"new_{c}" for c in BOX))
+
+
+def difference(base: DataFrame, edited: DataFrame) -> DataFrame:
+    """The shortest log that turns ``base`` into ``edited``: (seq, frame, box_key, action, x1..y2, group).
+
+    Both have frame, box_key, the box and group, at most one row a key. A box that is only in ``edited`` is an add,
+    one that is only in ``base`` a delete; another group is a reassign, corners that differ when
+    rounded to tenths a move, and both are logged if both changed, the reassign first. A box that was added and
+    deleted again is in neither table, so it leaves nothing. Only adds and moves have corners. ``seq`` counts by frame, key and action.
+    """
+    from matchgrid.operators.ranges import numbered
+
+    keys, fields = ["frame", "box_key"], [*BOX, "group"]
+    old = base.select(*keys, F.struct(*fields).alias("a"))
+    new = edited.select(*keys, F.struct(*fields).alias("b"))
+    both = old.join(new, keys, "full")
+    tenth = lambda side, c: F.round(F.col(f"{side}.{c}"), 1)
+    moved = F.lit(False)
+    for c in BOX:
+        moved = moved | ~tenth("a", c).eqNullSafe(tenth("b", c))
+    one = lambda when, name, place: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(name).alias("action")))
+    here = F.col("a").isNotNull() & F.col("b").isNotNull()
+    actions = F.array_compact(F.array(
+        one(F.col("a").isNull(), "add", 0), one(F.col("b").isNull(), "delete", 1),
+        one(here & ~F.col("a.group").eqNullSafe(F.col("b.group")), "reassign", 2), one(here & moved, "move", 3),
+    ))
+    rows = both.select(*keys, "a", "b", F.inline(actions))
+    corner = lambda c: F.when(F.col("action").isin("add", "move"), tenth("b", c)).alias(c)
+    log = rows.select(*keys, "place", "action", *map(corner, BOX), F.coalesce("b.group", "a.group").alias("group"))
+    return numbered(log, ["frame", "box_key", "place"], "seq").select("seq", *keys, "action", *fields)

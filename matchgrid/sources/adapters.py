@@ -66,7 +66,7 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = scan(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = scan(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 500).cast("int").alias("frame"), (F.col("o_orderkey") % 25).cast("int").alias("tid"), F.col("o_orderpriority").alias("name"))
 
 
@@ -76,25 +76,23 @@ def base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0")
+    s = scan(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey - s_suppkey % 7").alias("b"))
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One keyframe per frame at most: the first line item of the largest quantity by all its columns."""
-    from pyspark.sql import Window
-
-    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    li = scan(spark, sf_dir, "lineitem").withColumn("frame", (F.col("l_orderkey") % 2000).cast("int")).filter("l_quantity = 50")
-    first = li.withColumn("rn", F.row_number().over(Window.partitionBy("frame").orderBy(*cols))).filter("rn = 1")
+    """One keyframe per frame: its line item of the largest quantity, the first by its keys."""
+    li = scan(spark, sf_dir, "lineitem").withColumn("frame", (F.col("l_orderkey") % 2000).cast("int"))
+    order = F.struct(-F.col("l_quantity"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    first = li.groupBy("frame").agg(F.min_by(F.struct("l_partkey", "l_suppkey", "l_returnflag"), order).alias("l")).select("frame", "l.*")
     none = F.col("l_returnflag") == "R"
     return first.select("frame", F.when(none, "none").otherwise("pos").alias("state"), F.when(~none, F.col("l_partkey") % 1900 + 0.0).alias("image_x"), F.when(~none, F.col("l_suppkey") % 1000 + 0.0).alias("image_y"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vectors of two teams, quantised to integers."""
-    v = scan(spark, sf_dir, "embeddings").filter("label < 2")
-    return v.select("vec_id", (F.col("label") + 1).cast("int").alias("team"), F.transform("embedding", lambda e: _long(F.round(e.cast("double") * 1000))).alias("q"))
+    v = scan(spark, sf_dir, "embeddings")
+    return v.select("vec_id", (F.col("label") % 2 + 1).cast("int").alias("team"), F.transform("embedding", lambda e: _long(F.round(e.cast("double") * 1000))).alias("q"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,15 +144,14 @@ VIEWS = {
              CASE WHEN o_orderpriority = '5-LOW' THEN 'add' WHEN o_orderstatus = 'F' THEN 'delete' WHEN o_orderstatus = 'O' THEN 'move' ELSE 'reassign' END AS action,
              (o_orderkey % 1900)::DOUBLE AS x1, (760 + o_orderkey % 130)::DOUBLE AS y1, (o_orderkey % 1900 + 12)::DOUBLE AS x2,
              (790 + o_orderkey % 130)::DOUBLE AS y2, (1 + o_orderkey % 3)::INT AS "group" FROM orders""",
-    "overrides": "SELECT o_orderkey AS seq, (o_custkey % 500)::INT AS frame, (o_orderkey % 25)::INT AS tid, o_orderpriority AS name FROM orders WHERE o_orderkey % 5 = 0",
+    "overrides": "SELECT o_orderkey AS seq, (o_custkey % 500)::INT AS frame, (o_orderkey % 25)::INT AS tid, o_orderpriority AS name FROM orders",
     "base": "SELECT s_suppkey AS seq, (s_suppkey % 25)::INT AS tid, s_name AS name FROM supplier",
-    "edges": "SELECT s_suppkey AS a, s_suppkey - s_suppkey % 7 AS b FROM supplier WHERE s_suppkey % 3 <> 0",
+    "edges": "SELECT s_suppkey AS a, s_suppkey - s_suppkey % 7 AS b FROM supplier",
     "keyframes": """
       SELECT frame, CASE WHEN l_returnflag = 'R' THEN 'none' ELSE 'pos' END AS state,
              CASE WHEN l_returnflag <> 'R' THEN (l_partkey % 1900)::DOUBLE END AS image_x, CASE WHEN l_returnflag <> 'R' THEN (l_suppkey % 1000)::DOUBLE END AS image_y
-      FROM (SELECT *, (l_orderkey % 2000)::INT AS frame, row_number() OVER (PARTITION BY l_orderkey % 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem WHERE l_quantity = 50) WHERE rn = 1""",
-    "features": "SELECT vec_id, (label + 1)::INT AS team, list_transform(embedding, lambda e: round(e::DOUBLE * 1000)::BIGINT) AS q FROM embeddings WHERE label < 2",
+      FROM (SELECT *, (l_orderkey % 2000)::INT AS frame, row_number() OVER (PARTITION BY l_orderkey % 2000 ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS rn FROM lineitem) WHERE rn = 1""",
+    "features": "SELECT vec_id, (label % 2 + 1)::INT AS team, list_transform(embedding, lambda e: round(e::DOUBLE * 1000)::BIGINT) AS q FROM embeddings",
     "px": """
       SELECT vec_id, j, b[3 * j + 1] AS r, b[3 * j + 2] AS g, b[3 * j + 3] AS bl
       FROM (SELECT vec_id, list_transform(embedding, lambda e: ((round(e::DOUBLE * 1000)::BIGINT % 256) + 256) % 256) AS b, unnest(range(0, 21)) AS j FROM embeddings)""",
