@@ -1,4 +1,4 @@
-"""Queries over regions of the pitch and colours of crops."""
+"""Queries over regions of the pitch, heat, masks and colours of crops."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
-from matchgrid.operators import colours, models, regions
+from matchgrid.operators import analytics, boxgroups, colours, heat, masks, models, pairs, regions
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
@@ -124,3 +124,55 @@ def dominant_colour(spark, d):
     """The jersey colour of every crop."""
     found = colours.dominant_colour(A.pixels(spark, d), "px")
     return found.select("vec_id", *(F.round(F.col(f"jersey.{c}"), 3).alias(c) for c in "lab"), "jersey_pixels", F.round("jersey_score", 3).alias("jersey_score"))
+
+
+_TAPS = "tap AS (SELECT i - 15 AS off, exp(-((i - 15) * (i - 15)) / (2 * 5.0::DOUBLE * 5.0::DOUBLE)) AS e FROM range(31) t(i)), k AS (SELECT off, e / (SELECT sum(e) FROM tap) AS w FROM tap)"
+
+
+@query("b08_heat_map", f"""
+WITH cell AS (SELECT px, py, count(*)::DOUBLE AS n FROM (SELECT trunc(x_pitch / 105 * 210)::INT AS px, trunc(y_pitch / 68 * 136)::INT AS py FROM track) WHERE px BETWEEN 0 AND 209 AND py BETWEEN 0 AND 135 GROUP BY ALL),
+{_TAPS},
+gx AS (SELECT x, off, CASE WHEN x + off < 0 THEN -(x + off) WHEN x + off > 209 THEN 418 - (x + off) ELSE x + off END AS src, w FROM range(210) t(x), k),
+one AS (SELECT x AS px, py, sum(n * w) AS n FROM gx JOIN cell ON cell.px = src GROUP BY ALL),
+gy AS (SELECT y, off, CASE WHEN y + off < 0 THEN -(y + off) WHEN y + off > 135 THEN 270 - (y + off) ELSE y + off END AS src, w FROM range(136) t(y), k),
+two AS (SELECT px, y AS py, sum(n * w) AS n FROM gy JOIN one ON one.py = src GROUP BY ALL)
+SELECT px::INT AS px, py::INT AS py, round(n / (SELECT max(n) FROM two), 6) AS heat, floor(round(n / (SELECT max(n) FROM two), 6) * 255)::INT AS level FROM two WHERE round(n / (SELECT max(n) FROM two), 6) > 0.03""", "track")
+def heat_map(spark, d):
+    """The blurred heat map of all players."""
+    cells = analytics.heat_cells(A.tracks(spark, d), 210, 136)
+    return heat.heat_map(cells, 210, 136, heat.kernel_size(210))
+
+
+def mask_runs(spark, d):
+    """Overlapping masks: every box is a diamond of runs, with a core that is surer than its rim."""
+    det = A.detections(spark, d)
+    x1, x2, y1, y2 = (F.col(c).cast("int") for c in ("x1", "x2", "y1", "y2"))
+    rows = det.select("event_id", "frame", F.col("detection_id").alias("object"), x1.alias("l"), x2.alias("r"), y1.alias("t"), y2.alias("b"), (F.col("confidence") * 10).alias("c"))
+    rows = rows.withColumn("y", F.explode(F.sequence("t", "b"))).withColumn("in", F.least((F.abs(2 * F.col("y") - F.col("t") - F.col("b")) / 8).cast("int"), F.expr("(r - l) div 2")))
+    runs = F.array(F.struct((F.col("l") + F.col("in")).alias("x1"), (F.col("r") - F.col("in")).alias("x2"), (F.col("c") - 2).alias("logit")), F.struct((F.col("l") + F.col("in") + 3).alias("x1"), (F.col("r") - F.col("in") - 3).alias("x2"), F.col("c").alias("logit")))
+    return rows.select("frame", "object", "y", F.inline(runs))
+
+
+@query("a16_exclusive_masks", """
+WITH b AS (SELECT frame, detection_id AS object, x1::INT AS l, x2::INT AS r, y1::INT AS t, y2::INT AS b, confidence * 10 AS c FROM det),
+rw AS (SELECT *, least(trunc(abs(2 * y - t - b) / 8.0::DOUBLE)::INT, (r - l) // 2) AS inn FROM (SELECT *, unnest(range(t, b + 1)) AS y FROM b)),
+runs AS (SELECT frame, object, y, l + inn AS x1, r - inn AS x2, c - 2 AS logit FROM rw UNION ALL SELECT frame, object, y, l + inn + 3, r - inn - 3, c FROM rw),
+px AS (SELECT frame, y, x, arg_min(object, struct_pack(a := -logit, o := object)) AS object FROM (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM runs WHERE logit > 0) GROUP BY ALL)
+SELECT frame, object, min(x)::INT AS x1, min(y)::INT AS y1, max(x)::INT AS x2, max(y)::INT AS y2, count(*) AS pixels FROM px GROUP BY ALL HAVING count(*) >= 10""", "det")
+def exclusive_masks(spark, d):
+    """Boxes of all objects after every pixel has gone to its surest object."""
+    return masks.mask_boxes(masks.exclusive_runs(mask_runs(spark, d)))
+
+
+@query("g33_overlap_components", """
+WITH RECURSIVE e AS (SELECT a.frame, a.detection_id AS x, b.detection_id AS y FROM det a JOIN det b ON a.frame = b.frame AND a.detection_id <> b.detection_id
+  WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)
+    AND (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.05),
+r AS (SELECT DISTINCT frame, x, x AS root FROM e UNION SELECT e.frame, e.y, r.root FROM r JOIN e ON e.frame = r.frame AND e.x = r.x),
+c AS (SELECT frame, x, min(root) AS component FROM r GROUP BY ALL)
+SELECT frame, x::BIGINT AS detection_id, component::BIGINT AS component, (dense_rank() OVER (PARTITION BY frame ORDER BY component) - 1)::INT AS colour FROM c""", "det")
+def overlap_components(spark, d):
+    """The groups of boxes that overlap, directly or through others, in every frame, each with its colour."""
+    edges = pairs.overlapping(A.detections(spark, d), "frame", "detection_id", 0.05)
+    found = boxgroups.coloured(boxgroups.components(edges, "frame"), "frame")
+    return found.withColumnRenamed("node", "detection_id")

@@ -126,3 +126,69 @@ def test_colour_features_of_plain_crops(crops):
         assert np.allclose(f[30:33], labs.mean(0)) and np.allclose(f[33:36], labs.std(0))
     dark = found[101]
     assert dark[37] == 1 and dark[38] == 0 and dark[39] == 0 and dark[0] == 1
+
+
+def test_blur_equals_a_plain_convolution(spark):
+    from matchgrid.operators import heat
+
+    rng = random.Random(3)
+    width, height, size = 40, 33, 31
+    grid = np.zeros((height, width))
+    for _ in range(25):
+        grid[rng.randrange(height), rng.choice([0, 1, width - 1, rng.randrange(width)])] += 1
+    weights, half = heat.kernel(size), size // 2
+    padded = np.pad(grid, half, mode="reflect")
+    plain = np.array([[sum(padded[y + i, x + j] * weights[i] * weights[j] for i in range(size) for j in range(size)) for x in range(width)] for y in range(height)])
+    plain /= plain.max()
+    rows = [(int(x), int(y), int(grid[y, x])) for y, x in zip(*grid.nonzero())]
+    found = heat.heat_map(spark.createDataFrame(rows, "px int, py int, n long"), width, height, size).collect()
+    assert {(r.px, r.py) for r in found} == {(x, y) for y in range(height) for x in range(width) if round(plain[y, x], 6) > 0.03}
+    assert all(abs(r.heat - plain[r.py, r.px]) < 1e-5 and r.level == int(r.heat * 255) for r in found) and max(r.level for r in found) == 255
+
+
+def test_no_pixel_is_in_two_objects(spark):
+    from matchgrid.operators import masks
+
+    rng = random.Random(4)
+    runs = []
+    for frame in range(5):
+        for obj in range(6):
+            for y in range(rng.randrange(3), 9):
+                x = rng.randrange(30)
+                runs.append((frame, obj, y, x, x + rng.randrange(-1, 12), rng.choice([-1.0, 0.0, 1.0, 2.0, 2.0, 3.5])))
+    best = {}
+    for frame, obj, y, x1, x2, logit in runs:
+        for x in range(x1, x2 + 1):
+            if logit > 0:
+                best[frame, y, x] = max(best.get((frame, y, x), (0, 0)), (logit, -obj))
+    want = {k: -v[1] for k, v in best.items()}
+    found = masks.exclusive_runs(spark.createDataFrame(runs, "frame int, object int, y int, x1 int, x2 int, logit double"))
+    got = [((r.frame, r.y, x), r.object) for r in found.collect() for x in range(r.x1, r.x2 + 1)]
+    assert len(got) == len(dict(got)) and dict(got) == want
+    boxes = {(r.frame, r.object): (r.x1, r.y1, r.x2, r.y2, r.pixels) for r in masks.mask_boxes(found).collect()}
+    for frame in range(5):
+        for obj in range(6):
+            at = [k for k, o in want.items() if o == obj and k[0] == frame]
+            assert ((frame, obj) in boxes) == (len(at) >= 10)
+            if len(at) >= 10:
+                assert boxes[frame, obj] == (min(k[2] for k in at), min(k[1] for k in at), max(k[2] for k in at), max(k[1] for k in at), len(at))
+
+
+def test_components_of_many_small_graphs(spark):
+    from matchgrid.operators import boxgroups
+
+    rng = random.Random(5)
+    edges = [(f, rng.randrange(20), rng.randrange(20)) for f in range(400) for _ in range(rng.randrange(14))]
+    edges += [(1000, i, i + 1) for i in range(3000)]  # a long chain
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for f, a, b in edges:
+        x, y = find((f, a)), find((f, b))
+        root[max(x, y)] = min(x, y)
+    found = boxgroups.components(spark.createDataFrame(edges, "frame int, a_id int, b_id int"), "frame").collect()
+    assert {((r.frame, r.node), r.component) for r in found} == {(k, find(k)[1]) for k in root} and len(found) == len(root)
