@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchgrid.sources.adapters import oracle as with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["scalars", "joins", "aggregates", "windows", "graphs", "matching", "live", "media", "annotations", "scenes", "fields"]
+MODULES = ["scalars", "joins", "aggregates", "windows", "graphs", "matching", "live", "media", "annotations", "scenes", "fields", "files"]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
