@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from matchgrid.operators.temporal import as_of
 
 #: The nested document of identity edits.
-EDIT_SCHEMA = "cuts map<string,array<int>>, merges array<array<array<int>>>, names map<string,string>, frame_labels map<string,string>"
+EDIT_SCHEMA = "cuts map<string,array<int>>, merges array<array<array<int>>>, names map<string,string>, frame_labels map<string,string>, geom map<string,array<double>>"
 
 
-def edit_tables(documents: DataFrame, column: str) -> dict[str, DataFrame]:
-    """An identity edit document as flat tables: cuts, merges, names and frame labels."""
-    doc = documents.select(F.from_json(column, EDIT_SCHEMA).alias("d")).select("d.*")
+def edit_tables(documents: DataFrame, column: str, order: str | None = None) -> dict[str, DataFrame]:
+    """Identity edit documents as flat tables: cuts, merges, names (with their place, by ``order`` of the documents), frame labels and geometry."""
+    doc = documents.select(F.from_json(column, EDIT_SCHEMA).alias("d"), F.lit(0) if order is None else F.col(order)).toDF("d", "_doc").select("d.*", "_doc")
     pair = F.col("p")
     key = F.split("k", "_")
     return {
         "cuts": doc.select(F.explode("cuts").alias("k", "fs")).select(F.col("k").cast("int").alias("tid"), F.explode("fs").alias("cut")),
         "merges": doc.select(F.explode("merges").alias("p")).select(pair[0][0].alias("a_tid"), pair[0][1].alias("a_cut"), pair[1][0].alias("b_tid"), pair[1][1].alias("b_cut")),
-        "names": doc.select(F.explode("names").alias("k", "name")).select(key[0].cast("int").alias("tid"), key[1].cast("int").alias("cut"), "name"),
+        "names": doc.select("_doc", F.posexplode("names").alias("_pos", "k", "name")).select(key[0].cast("int").alias("tid"), key[1].cast("int").alias("cut"), "name", F.struct("_doc", "_pos").alias("place")),
+        "geom": doc.select(F.explode("geom").alias("k", "g")).select(key[0].cast("int").alias("frame"), key[1].cast("int").alias("tid"), *(F.get("g", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2")))),
         "frame_labels": doc.select(F.explode("frame_labels").alias("k", "label")).select(F.col("k").cast("int").alias("frame"), "label"),
     }
 
@@ -30,6 +31,32 @@ def sub_ids(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return as_of(rows, events, ["tid"], "frame", "cut").withColumn("cut", F.coalesce("cut", F.lit(0)))
 
 
+def node(tid: Column, cut: Column) -> Column:
+    """One number for a track from a cut on."""
+    return tid.cast("long") * (1 << 31) + cut
+
+
+def identified(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` (frame, tid, x1..y2) after all edits of a document: with cut, player_id and name, and the corners it has moved.
+
+    A track's parts between cuts, as merged, are a player. Players are numbered 1.. by the number of their rows (then by first frame, then by the
+    smallest part). A name given to any part names the whole player, the first in the document if there are several; without one it is empty.
+    """
+    from matchgrid.operators.components import components
+    from matchgrid.operators.editlog import with_geometry
+    from matchgrid.operators.ranges import numbered
+
+    placed = sub_ids(with_geometry(rows, tables["geom"], ["frame", "tid"]), tables["cuts"]).withColumn("_node", node(F.col("tid"), F.col("cut")))
+    merges = tables["merges"].select(node(F.col("a_tid"), F.col("a_cut")).alias("a"), node(F.col("b_tid"), F.col("b_cut")).alias("b")).filter("a <> b")
+    roots = components(merges, "a", "b").select(F.col("v").alias("_node"), F.col("root").alias("_root"))
+    rooted = lambda df: df.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    named = rooted(tables["names"].withColumn("_node", node(F.col("tid"), F.col("cut")))).groupBy("_root").agg(F.min_by("name", "place").alias("name"))
+    found = rooted(placed)
+    sizes = found.groupBy("_root").agg((-F.count("*")).alias("_n"), F.min("frame").alias("_first"))
+    players = numbered(sizes, ["_n", "_first", "_root"], "player_id").select("_root", "player_id")
+    return found.join(players, "_root").join(named, "_root", "left").withColumn("name", F.coalesce("name", F.lit(""))).drop("_root", "_node")
+
+
 def assigned(log: DataFrame) -> DataFrame:
     """(tid, name, kind, frame): what a log of base, override and unassign actions leaves.
 

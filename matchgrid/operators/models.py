@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.operators.ranges import percentiles, running_sums
+from matchgrid.operators.ranges import carried, percentiles, running_sums
 
 
 def share_of(px: str, test) -> Column:
@@ -59,24 +59,44 @@ def value_counts(rows: DataFrame, value: str, positive: Column) -> DataFrame:
 
 
 def f1_threshold(rows: DataFrame, value: str, positive: Column) -> DataFrame:
-    """(threshold, f1): the value that as an inclusive lower bound maximises F1, the least on a tie.
+    """(threshold, f1): an inclusive lower bound of the positives; null if one of the classes is missing.
 
-    Running sums over the distinct values take the place of a threshold x row product.
+    If all positives are above all negatives it is the middle between them, else the value that maximises F1, the least on a
+    tie. Running sums over the distinct values take the place of a threshold x row product.
     """
     seen = running_sums(value_counts(rows, value, positive), [F.desc("v")], {"tp": F.col("pos"), "fp": F.col("neg")})
     f1 = F.round(2 * F.col("tp") / F.greatest(F.lit(1), F.col("tp_all") + F.col("tp") + F.col("fp")), 6)
-    return seen.withColumn("f1", f1).agg(F.max_by(F.struct("v", "f1"), F.struct("f1", -F.col("v"))).alias("b")).select(F.col("b.v").alias("threshold"), "b.f1")
+    best = seen.withColumn("f1", f1).agg(
+        F.max_by(F.struct("v", "f1"), F.struct("f1", -F.col("v"))).alias("b"), F.min(F.when(F.col("pos") > 0, F.col("v"))).alias("low"), F.max(F.when(F.col("neg") > 0, F.col("v"))).alias("high")
+    )
+    apart = F.col("low") > F.col("high")
+    both = F.col("low").isNotNull() & F.col("high").isNotNull()
+    return best.select(
+        F.when(both, F.when(apart, (F.col("low") + F.col("high")) / 2).otherwise(F.col("b.v"))).cast("double").alias("threshold"), F.when(both, F.when(apart, 1.0).otherwise(F.col("b.f1"))).alias("f1")
+    )
+
+
+#: How far the outermost thresholds lie beyond the values.
+BEYOND = 1e-6
 
 
 def accuracy_threshold(rows: DataFrame, value: str, positive: Column) -> DataFrame:
-    """(threshold, high_is_positive, accuracy) over the values as lower bounds, the high direction first."""
-    seen = running_sums(value_counts(rows, value, positive), [F.desc("v")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    """(threshold, high_is_positive, accuracy): the best threshold among the middles between neighbouring values and one beyond each end.
+
+    Of equally good ones the high direction and then the least threshold comes first. A single value gives none.
+    """
+    counts = carried(value_counts(rows, value, positive), "v", {"below": F.col("v")}, own=False)
+    seen = running_sums(counts, [F.desc("v")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    middle = F.coalesce((F.col("below") + F.col("v")) / 2, F.col("v") - BEYOND)
+    above = seen.agg((F.max("v") + BEYOND).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max("tp_all").alias("tp_all"), F.max("fp_all").alias("fp_all"))
+    cuts = seen.select(middle.cast("double").alias("t"), "tp", "fp", "tp_all", "fp_all").unionByName(above)
     right = F.col("tp") + F.col("fp_all") - F.col("fp")
     total = F.col("tp_all") + F.col("fp_all")
     grid = F.array(F.struct(F.lit(1).alias("high"), right.alias("ok")), F.struct(F.lit(0).alias("high"), (total - right).alias("ok")))
-    each = seen.select("v", total.alias("total"), F.inline(grid))
-    best = each.agg(F.max_by(F.struct("v", "high", "ok", "total"), F.struct("ok", "high", -F.col("v"))).alias("b"))
-    return best.select(F.col("b.v").alias("threshold"), F.col("b.high").alias("high_is_positive"), F.round(F.col("b.ok") / F.col("b.total"), 6).alias("accuracy"))
+    each = cuts.select("t", total.alias("total"), F.inline(grid))
+    best = each.agg(F.max_by(F.struct("t", "high", "ok", "total"), F.struct("ok", "high", -F.col("t"))).alias("b"), F.count_distinct("t").alias("n"))
+    some = lambda c: F.when(F.col("n") > 2, c)  # noqa: E731  two cuts are beyond the ends
+    return best.select(some(F.col("b.t")).alias("threshold"), some(F.col("b.high")).alias("high_is_positive"), F.round(some(F.col("b.ok") / F.col("b.total")), 6).alias("accuracy"))
 
 
 def otsu(rows: DataFrame, value: str) -> DataFrame:
@@ -121,13 +141,16 @@ def element_stats(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def balanced(rows: DataFrame, label: str, order: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows per label, evenly spaced by ``order``."""
+    """At most ``limit`` (two or more) rows per label: of more, those nearest to ``limit`` evenly spaced places from the first to the last by ``order``."""
     by = Window.partitionBy(label)
     ranked = rows.withColumns({"_i": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count("*").over(by)})
-    # Row i is taken if a new multiple of n / limit is reached at it.
-    slot = F.floor(F.col("_i") * limit / F.col("_n"))
-    before = F.floor((F.col("_i") - 1) * limit / F.col("_n"))
-    return ranked.filter((F.col("_n") <= limit) | (F.col("_i") == 0) | (slot != before)).drop("_i", "_n")
+    step = (F.col("_n") - 1) / (limit - 1)
+    # Row i is taken if one of the places around it rounds (half to even) to i.
+    near = F.floor(F.col("_i") / step)
+    taken = F.lit(False)
+    for k in (near, near + 1):
+        taken = taken | ((F.rint(k * step) == F.col("_i")) & (k < limit))
+    return ranked.filter((F.col("_n") <= limit) | taken).drop("_i", "_n")
 
 
 #: Queries of one pass over the model.

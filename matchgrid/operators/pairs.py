@@ -105,13 +105,16 @@ def starts(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col("frame") - 1)).drop("_before")
 
 
-def next_starts(tracks: DataFrame, reach: int) -> DataFrame:
-    """(player_id, team, next_id): the cheapest start of another player of the team soon after each end."""
-    ends = tracks.groupBy("player_id", "team").agg(F.max("frame").alias("last"), F.max_by("x_pitch", "frame").alias("x"), F.max_by("y_pitch", "frame").alias("y"))
-    begin = starts(tracks).select(F.col("player_id").alias("s_id"), F.col("team").alias("s_team"), F.col("frame").alias("s_frame"), F.col("x_pitch").alias("sx"), F.col("y_pitch").alias("sy"))
+def next_starts(tracks: DataFrame, reach: int, scale: float = 1.0) -> DataFrame:
+    """(player_id, team, next_id): the cheapest start of another player of the team soon after each end.
+
+    The cost is the distance of the feet in the image, over its ``scale``, and 2 for every frame between; the earlier frame comes first on a tie.
+    """
+    ends = tracks.groupBy("player_id", "team").agg(F.max("frame").alias("last"), F.max_by("foot_x", "frame").alias("x"), F.max_by("foot_y", "frame").alias("y"))
+    begin = starts(tracks).select(F.col("player_id").alias("s_id"), F.col("team").alias("s_team"), F.col("frame").alias("s_frame"), F.col("foot_x").alias("sx"), F.col("foot_y").alias("sy"))
     same = (F.col("team") == F.col("s_team")) & (F.col("player_id") != F.col("s_id"))
     found = range_join(ends, begin, "last", "s_frame", 1, reach, same)
-    cost = F.round(G.distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")) + 2 * (F.col("s_frame") - F.col("last")), 6)
+    cost = F.round(G.distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")) / scale + 2 * (F.col("s_frame") - F.col("last")), 6)
     return found.groupBy("player_id", "team").agg(F.min_by("s_id", F.struct(cost, "s_frame", "s_id")).alias("next_id"))
 
 

@@ -90,6 +90,18 @@ def systematic(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return ranked.filter((F.col("_i") % k == 0) & (F.floor(F.col("_i") / k) < n)).drop("_i", "_n")
 
 
+def between_samples(samples: DataFrame, key: str, frames: DataFrame, values: list[str], held: list[str]) -> DataFrame:
+    """(frame, key, values, held): for each of ``frames`` strictly between two neighbouring samples of a key, the values on the line
+    between them and the ``held`` columns of the earlier one. Nothing is extrapolated.
+    """
+    order = Window.partitionBy(key).orderBy("frame")
+    gaps = samples.withColumns({f"_{c}": F.lead(c).over(order) for c in ("frame", *values)}).filter(F.col("_frame") - F.col("frame") > 1)
+    each = gaps.withColumn("_at", F.explode(F.sequence(F.col("frame") + 1, F.col("_frame") - 1)))
+    wanted = each.join(frames.select(F.col("frame").alias("_at")).distinct(), "_at", "left_semi")
+    share = (F.col("_at") - F.col("frame")) / (F.col("_frame") - F.col("frame"))
+    return wanted.select(F.col("_at").alias("frame"), key, *((F.col(c) + (F.col(f"_{c}") - F.col(c)) * share).alias(c) for c in values), *held)
+
+
 def tail_split(rows: DataFrame, order: str, share: float = 0.18) -> DataFrame:
     """``rows`` with ``split``: the last max(1, share) of the ordered rows are val."""
     n = F.col("_place_all")
@@ -98,8 +110,11 @@ def tail_split(rows: DataFrame, order: str, share: float = 0.18) -> DataFrame:
     return placed.select(*rows.columns, F.when(last, "val").otherwise("train").alias("split"))
 
 
-def frame_problems(rows: DataFrame, full: int, warp: float) -> DataFrame:
-    """(frame, problem): duplicate ids, wrong counts, jumps and id swaps against the frame before that exists."""
+def frame_problems(rows: DataFrame, full: int, warp: float, labelled: DataFrame | None = None) -> DataFrame:
+    """(frame, problem): duplicate ids, wrong counts, jumps and id swaps against the frame before that exists.
+
+    Frames in ``labelled`` have been dealt with: they have no problems, but are still what the next frame is held against.
+    """
     frames = carried(rows.select("frame").distinct(), "frame", {"before": F.col("frame")}, own=False)
     twice = rows.groupBy("frame", "player_id").count().filter("count > 1").select("frame", F.lit("duplicate").alias("problem")).distinct()
     counts = rows.groupBy("frame").agg(F.count("*").alias("n")).filter(F.col("n") != full).select("frame", F.lit("count").alias("problem"))
@@ -112,4 +127,5 @@ def frame_problems(rows: DataFrame, full: int, warp: float) -> DataFrame:
     after = old.join(frames, "before")
     gone = after.join(ids.select("frame", "player_id"), ["frame", "player_id"], "left_anti").select("frame").distinct()
     swaps = new.join(gone, "frame").select("frame", F.lit("swap").alias("problem"))
-    return twice.unionByName(counts).unionByName(jumps).unionByName(swaps)
+    found = twice.unionByName(counts).unionByName(jumps).unionByName(swaps)
+    return found if labelled is None else found.join(labelled.select("frame").distinct(), "frame", "left_anti")

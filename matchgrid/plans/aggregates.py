@@ -122,15 +122,17 @@ def size_regression(spark, d):
 @query("g17_f1_threshold", """
 WITH v AS (SELECT q[1] AS v, team = 1 AS p FROM features), t AS (SELECT DISTINCT v AS th FROM v),
 f AS (SELECT th, round(2 * count(*) FILTER (p AND v >= th) / greatest(1, (SELECT count(*) FROM v WHERE p) + count(*) FILTER (v >= th)), 6) AS f1 FROM v, t GROUP BY th)
-SELECT th AS threshold, f1 FROM f ORDER BY f1 DESC, th LIMIT 1""", "features")
+SELECT CASE WHEN low > high THEN (low + high) / 2.0::DOUBLE ELSE th END::DOUBLE AS threshold, CASE WHEN low > high THEN 1.0 ELSE f1 END::DOUBLE AS f1
+FROM f, (SELECT min(v) FILTER (p) AS low, max(v) FILTER (NOT p) AS high FROM v) ORDER BY f.f1 DESC, th LIMIT 1""", "features")
 def f1_threshold(spark, d):
     rows = A.features(spark, d).select(F.get("q", F.lit(0)).alias("v"), "team")
     return M.f1_threshold(rows, "v", F.col("team") == 1)
 
 
 @query("g18_accuracy_threshold", """
-WITH v AS (SELECT q[2] AS v, team = 1 AS p FROM features), t AS (SELECT DISTINCT v AS th FROM v),
-f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) GROUP BY th, high)
+WITH v AS (SELECT q[2] AS v, team = 1 AS p FROM features),
+t AS (SELECT (lag(v) OVER (ORDER BY v) + v) / 2.0::DOUBLE AS th FROM (SELECT DISTINCT v FROM v) UNION ALL SELECT min(v) - 1e-6::DOUBLE FROM v UNION ALL SELECT max(v) + 1e-6::DOUBLE FROM v),
+f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) WHERE th IS NOT NULL GROUP BY th, high)
 SELECT th AS threshold, high AS high_is_positive, round(ok / n, 6) AS accuracy FROM f ORDER BY ok DESC, high DESC, th LIMIT 1""", "features")
 def accuracy_threshold(spark, d):
     rows = A.features(spark, d).select(F.get("q", F.lit(1)).alias("v"), "team")
@@ -163,11 +165,15 @@ def knn_classify(spark, d):
     return voted(spark, d).select("vec_id", "predicted")
 
 
-@query("g21_two_means")
+@query("g21_two_means", """
+WITH RECURSIVE v AS (SELECT q[1]::DOUBLE AS v FROM features),
+r AS (SELECT 0 AS i, min(v) AS a, max(v) AS b, 1.0::DOUBLE AS gap FROM v
+  UNION ALL SELECT i + 1, na, nb, abs(na - a) + abs(nb - b) FROM (SELECT i, a, b, coalesce((SELECT avg(v) FROM v WHERE abs(v - a) <= abs(v - b)), a) AS na, coalesce((SELECT avg(v) FROM v WHERE abs(v - a) > abs(v - b)), b) AS nb FROM r WHERE gap >= 1e-7 AND i < 200))
+SELECT round(arg_max(a, i), 6) AS low, round(arg_max(b, i), 6) AS high FROM r""", "features")
 def two_means(spark, d):
     rows = A.features(spark, d).select(F.get("q", F.lit(0)).alias("v"))
     a, b = M.two_means(rows, "v") or (None, None)
-    return spark.range(1).select(F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"))
+    return spark.range(1).select(F.round(F.lit(a).cast("double"), 6).alias("low"), F.round(F.lit(b).cast("double"), 6).alias("high"))
 
 
 @query("g22_otsu", """
@@ -184,8 +190,8 @@ def feature_stats(spark, d):
 
 
 @query("g25_balanced_subset", """
-SELECT vec_id, team FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY team) AS n FROM features)
-WHERE n <= 20 OR i = 0 OR floor(i * 20 / n) <> floor((i - 1) * 20 / n)""", "features")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY team) AS n FROM features)
+SELECT vec_id, team FROM r WHERE n <= 20 OR EXISTS (SELECT 1 FROM range(20) t(k) WHERE round_even(k * ((n - 1) / 19.0::DOUBLE), 0) = i)""", "features")
 def balanced_subset(spark, d):
     return M.balanced(A.features(spark, d), "team", "vec_id", 20).select("vec_id", "team")
 
@@ -234,7 +240,11 @@ def fill_rate(spark, d):
     return each.agg(F.round(F.avg(F.coalesce("s", F.lit(1.0))), 4).alias("fill"), F.sum(F.greatest(F.lit(0), 22 - F.col("n"))).alias("missing"))
 
 
-@query("g29_hue_histogram")
+@query("g29_hue_histogram", """
+WITH p AS (SELECT vec_id, r, g, bl, greatest(r, g, bl) AS hi, least(r, g, bl) AS lo FROM px),
+h AS (SELECT vec_id, CASE WHEN hi = lo THEN 0 ELSE 60 * (CASE WHEN hi = r THEN CASE WHEN g < bl THEN (g - bl) / (hi - lo)::DOUBLE + 6 ELSE (g - bl) / (hi - lo)::DOUBLE END WHEN hi = g THEN (bl - r) / (hi - lo)::DOUBLE + 2 ELSE (r - g) / (hi - lo)::DOUBLE + 4 END) END AS hue FROM p),
+b AS (SELECT vec_id, list(least(11, floor(hue / 30))) AS bs FROM h GROUP BY vec_id)
+SELECT vec_id, list_transform(range(12), lambda i: round(len(list_filter(bs, lambda x: x = i)) / 21.0::DOUBLE, 4)) AS bins FROM b""", "px")
 def hue_histogram(spark, d):
     return A.pixels(spark, d).select("vec_id", F.transform(M.hue_bins("px", 12), lambda x: F.round(x, 4)).alias("bins"))
 

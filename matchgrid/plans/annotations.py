@@ -41,6 +41,40 @@ def identity_edits(spark, d):
     return N.sub_ids(rows, tables["cuts"])
 
 
+def identity_documents(spark, d):
+    """A log of small identity documents (seq, doc): cuts and merges from overrides, names from suppliers, geometry from moves."""
+    text = lambda c: F.col(c).cast("string")
+    doc = lambda name, key, value: F.to_json(F.struct(F.map_from_arrays(F.array(key), F.array(value)).alias(name)))
+    o = A.overrides(spark, d).filter("frame % 11 = 0")
+    cuts = o.select("seq", doc("cuts", text("tid"), F.array("frame")).alias("doc"))
+    pair = F.array(F.array(F.array("tid", "frame"), F.array((F.col("tid") * 7) % 25, F.lit(0))))
+    merges = o.filter("seq % 40 = 1").select("seq", F.to_json(F.struct(pair.alias("merges"))).alias("doc"))
+    names = A.base_names(spark, d).select("seq", doc("names", F.concat(text("tid"), F.lit("_0")), F.col("name")).alias("doc"))
+    moved = A.edits(spark, d).filter("action = 'move'").groupBy("frame", "box_key").agg(F.max_by(F.struct("seq", "x1", "y1", "x2", "y2"), "seq").alias("e"))
+    geom = moved.select("e.seq", doc("geom", F.concat(text("frame"), F.lit("_"), text("box_key")), F.array("e.x1", "e.y1", "e.x2", "e.y2")).alias("doc"))
+    return cuts.unionByName(merges).unionByName(names).unionByName(geom)
+
+
+@query("k03_identity_document", """
+WITH RECURSIVE cuts AS (SELECT DISTINCT tid, frame AS cut FROM overrides WHERE frame % 11 = 0),
+m AS (SELECT tid::BIGINT * 2147483648 + frame AS a, ((tid * 7) % 25)::BIGINT * 2147483648 AS b FROM overrides WHERE frame % 11 = 0 AND seq % 40 = 1),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+reach AS (SELECT a AS v, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v),
+root AS (SELECT v, min(r) AS root FROM reach GROUP BY v),
+g AS (SELECT frame, box_key, arg_max(x1, seq) AS x1, arg_max(y2, seq) AS y2 FROM edits WHERE action = 'move' GROUP BY ALL),
+b AS (SELECT t.frame, t.player_id AS tid, coalesce(g.x1, t.x1) AS x1, coalesce(g.y2, t.y2) AS y2, coalesce((SELECT max(cut) FROM cuts c WHERE c.tid = t.player_id AND c.cut <= t.frame), 0) AS cut
+  FROM track t LEFT JOIN g ON g.frame = t.frame AND g.box_key = t.player_id),
+n AS (SELECT b.*, coalesce(root, tid::BIGINT * 2147483648 + cut) AS root FROM b LEFT JOIN root ON v = tid::BIGINT * 2147483648 + cut),
+num AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, min(frame), root) AS player_id FROM n GROUP BY root),
+nm AS (SELECT coalesce(root, tid::BIGINT * 2147483648) AS root, arg_min(name, seq) AS name FROM base LEFT JOIN root ON v = tid::BIGINT * 2147483648 GROUP BY ALL)
+SELECT frame, tid, cut, player_id, coalesce(name, '') AS name, x1, y2 FROM n JOIN num USING (root) LEFT JOIN nm USING (root)""", "track", "overrides", "edits", "base")
+def identity_document(spark, d):
+    """Tracks after cuts, merges, names and moved boxes of the whole document."""
+    tables = N.edit_tables(identity_documents(spark, d), "doc", "seq")
+    rows = A.tracks(spark, d).select("frame", F.col("player_id").alias("tid"), "x1", "y1", "x2", "y2")
+    return N.identified(rows, tables).select("frame", "tid", "cut", "player_id", "name", "x1", "y2")
+
+
 @query("k05_roster_rename", "SELECT tid, CASE WHEN name = (SELECT min(name) FROM base) THEN 'G01' ELSE name END AS name FROM base", "base")
 def roster_rename(spark, d):
     names = A.base_names(spark, d)
@@ -194,8 +228,9 @@ def optional_column(spark, d):
 
 
 @query("k12_learned_threshold", """
-WITH v AS (SELECT q[3] AS v, team = 1 AS p FROM features), t AS (SELECT DISTINCT v AS th FROM v),
-f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) GROUP BY th, high)
+WITH v AS (SELECT q[3] AS v, team = 1 AS p FROM features),
+t AS (SELECT (lag(v) OVER (ORDER BY v) + v) / 2.0::DOUBLE AS th FROM (SELECT DISTINCT v FROM v) UNION ALL SELECT min(v) - 1e-6::DOUBLE FROM v UNION ALL SELECT max(v) + 1e-6::DOUBLE FROM v),
+f AS (SELECT th, high, count(*) FILTER ((v >= th) = (p = (high = 1))) AS ok, count(*) AS n FROM v, t, (VALUES (1), (0)) d(high) WHERE th IS NOT NULL GROUP BY th, high)
 SELECT th AS threshold, high AS high_is_positive, round(ok / n, 6) AS accuracy FROM f ORDER BY ok DESC, high DESC, th LIMIT 1""", "features")
 def learned_threshold(spark, d):
     """Learns from annotated rows only, and only with enough of both teams."""

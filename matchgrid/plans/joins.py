@@ -216,12 +216,12 @@ def fragment_overlap(spark, d):
 
 
 @query("j29_next_start", """
-WITH e AS (SELECT player_id, team, max(frame) AS last, arg_max(x_pitch, frame) AS x, arg_max(y_pitch, frame) AS y FROM track GROUP BY player_id, team),
+WITH e AS (SELECT player_id, team, max(frame) AS last, arg_max(foot_x, frame) AS x, arg_max(foot_y, frame) AS y FROM track GROUP BY player_id, team),
 s AS (SELECT t.* FROM track t WHERE NOT EXISTS (SELECT 1 FROM track p WHERE p.player_id = t.player_id AND p.frame = t.frame - 1))
-SELECT e.player_id, e.team, arg_min(s.player_id, struct_pack(c := round(sqrt((x - x_pitch) * (x - x_pitch) + (y - y_pitch) * (y - y_pitch)) + 2 * (s.frame - last), 6), f := s.frame, p := s.player_id)) AS next_id
+SELECT e.player_id, e.team, arg_min(s.player_id, struct_pack(c := round(sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) / 1.5::DOUBLE + 2 * (s.frame - last), 6), f := s.frame, p := s.player_id)) AS next_id
 FROM e JOIN s ON s.team = e.team AND s.player_id <> e.player_id AND s.frame > last AND s.frame <= last + 120 GROUP BY e.player_id, e.team""", "track")
 def next_start(spark, d):
-    return pairs.next_starts(A.tracks(spark, d), reach=120)
+    return pairs.next_starts(A.tracks(spark, d), reach=120, scale=1.5)
 
 
 @query("j30_between_frames", """

@@ -60,16 +60,6 @@ def goal_windows(spark, d):
     return rows.groupBy("goal").agg(F.count("*").alias("rows"), F.count_if(F.col("x_pitch") > 88.5).alias("near"))
 
 
-@query("z08_near_holder", """
-SELECT h.frame, count(*) AS n FROM (SELECT frame, arg_min(x_pitch, detection_id) AS hx, arg_min(y_pitch, detection_id) AS hy FROM track GROUP BY frame) h JOIN track t ON t.frame = h.frame
-WHERE (t.x_pitch - hx) * (t.x_pitch - hx) + (t.y_pitch - hy) * (t.y_pitch - hy) <= 400 GROUP BY h.frame""", "track")
-def near_holder(spark, d):
-    rows = A.tracks(spark, d)
-    holder = rows.groupBy("frame").agg(F.min_by("x_pitch", "detection_id").alias("hx"), F.min_by("y_pitch", "detection_id").alias("hy"))
-    dx, dy = F.col("x_pitch") - F.col("hx"), F.col("y_pitch") - F.col("hy")
-    return rows.join(holder, "frame").filter(dx * dx + dy * dy <= 400).groupBy("frame").agg(F.count("*").alias("n"))
-
-
 @query("z10_tile_offsets", """
 SELECT event_id, (x1 + (event_id % 2) * 960 - 40)::DOUBLE AS x1, (y1 + (event_id % 3) * 540 - 40)::DOUBLE AS y1 FROM det""", "det")
 def tile_offsets(spark, d):

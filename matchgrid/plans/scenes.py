@@ -5,27 +5,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
-from matchgrid.operators import clicks, cover, editlog
+from matchgrid.operators import analytics, clicks, cover, editlog
+from matchgrid.operators.temporal import range_join
 from matchgrid.plans.joins import _BASE, base_boxes
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 
 _BALL = f"""
-balls AS (SELECT k.frame, ({A._H[0]} * image_x + {A._H[1]} * image_y + {A._H[2]}) / nullif({A._H[6]} * image_x + {A._H[7]} * image_y + {A._H[8]}, 0) AS x,
-    ({A._H[3]} * image_x + {A._H[4]} * image_y + {A._H[5]}) / nullif({A._H[6]} * image_x + {A._H[7]} * image_y + {A._H[8]}, 0) AS y FROM keyframes k WHERE state = 'pos'),
-held AS (SELECT frame, x, y, team FROM (SELECT b.*, t.team, row_number() OVER (PARTITION BY b.frame ORDER BY round((t.x_pitch - x) * (t.x_pitch - x) + (t.y_pitch - y) * (t.y_pitch - y), 6), t.detection_id) AS r
+balls AS (SELECT k.frame, ({A._H[0]} * image_x + {A._H[1]} * iy + {A._H[2]}) / nullif({A._H[6]} * image_x + {A._H[7]} * iy + {A._H[8]}, 0) AS x,
+    ({A._H[3]} * image_x + {A._H[4]} * iy + {A._H[5]}) / nullif({A._H[6]} * image_x + {A._H[7]} * iy + {A._H[8]}, 0) AS y FROM (SELECT *, 690 + image_y % 210 AS iy FROM keyframes) k WHERE state = 'pos'),
+held AS (SELECT frame, x, y, team, hx, hy FROM (SELECT b.*, t.team, t.x_pitch AS hx, t.y_pitch AS hy, row_number() OVER (PARTITION BY b.frame ORDER BY round((t.x_pitch - x) * (t.x_pitch - x) + (t.y_pitch - y) * (t.y_pitch - y), 6), t.detection_id) AS r
     FROM balls b JOIN track t USING (frame)) WHERE r = 1)"""
 
 
-def shots(spark, d):
-    """A shot from every ball keyframe, by the team of the player nearest to the ball; A plays towards the far goal."""
-    keys = A.keyframes(spark, d).filter("state = 'pos'")
-    x, y = G.projected(F.col("image_x"), F.col("image_y"))
-    balls = keys.select("frame", x.alias("ball_x"), y.alias("ball_y"))
+def balls(spark, d):
+    """The ball on the pitch, by frame."""
+    x, y = G.projected(F.col("image_x"), 690 + F.col("image_y") % 210)  # keyframes have other heights, the pitch is there
+    return A.keyframes(spark, d).filter("state = 'pos'").select("frame", x.alias("ball_x"), y.alias("ball_y"))
+
+
+def holders(spark, d):
+    """(frame, team, ball_x, ball_y, x, y): the player nearest to the ball of every keyframe, the first detection on a tie."""
     near = F.round(G.squared(F.col("x_pitch"), F.col("y_pitch"), F.col("ball_x"), F.col("ball_y")), 6)
-    rows = A.tracks(spark, d).select("frame", "detection_id", "team", "x_pitch", "y_pitch").join(balls, "frame")
-    held = rows.groupBy("frame").agg(F.min_by(F.struct("team", "ball_x", "ball_y"), F.struct(near, "detection_id")).alias("h")).select("frame", "h.*")
-    return held.withColumn("goal_x", F.when(F.col("team") == "A", G.LENGTH).otherwise(0.0))
+    rows = A.tracks(spark, d).select("frame", "detection_id", "team", "x_pitch", "y_pitch").join(balls(spark, d), "frame")
+    who = F.struct("team", "ball_x", "ball_y", F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"))
+    return rows.groupBy("frame").agg(F.min_by(who, F.struct(near, "detection_id")).alias("h")).select("frame", "h.*")
+
+
+def shots(spark, d):
+    """A shot from every ball keyframe by its holder; A plays towards the far goal."""
+    return holders(spark, d).drop("x", "y").withColumn("goal_x", F.when(F.col("team") == "A", G.LENGTH).otherwise(0.0))
+
+
+@query("z08_near_holder", f"""
+WITH {_BALL} SELECT h.frame, count(*) FILTER (t.team = h.team) AS own, count(*) FILTER (t.team <> h.team) AS others FROM held h JOIN track t ON t.frame = h.frame
+WHERE (t.x_pitch - hx) * (t.x_pitch - hx) + (t.y_pitch - hy) * (t.y_pitch - hy) <= 400 GROUP BY h.frame""", "track", "keyframes")
+def near_holder(spark, d):
+    """Players within 20 m of the one at the ball, himself included, by team."""
+    held = holders(spark, d).select("frame", F.col("team").alias("own"), "x", "y")
+    rows = A.tracks(spark, d).join(held, "frame").filter(G.squared(F.col("x_pitch"), F.col("y_pitch"), F.col("x"), F.col("y")) <= 400)
+    return rows.groupBy("frame").agg(F.count_if(F.col("team") == F.col("own")).alias("own"), F.count_if(F.col("team") != F.col("own")).alias("others"))
+
+
+@query("z09_goal_shift", f"""
+WITH {_BALL}, g AS (SELECT frame AS goal, CASE WHEN x > 52.5 THEN 'far' ELSE 'near' END AS side FROM balls WHERE (x BETWEEN 88.5 AND 110 OR x BETWEEN -5 AND 16.5) AND y BETWEEN 13.84 AND 54.16),
+c AS (SELECT frame, team, sum(round(x_pitch * 1000)::BIGINT) / count(*) / 1000 AS x FROM track GROUP BY ALL)
+SELECT goal, side, team, round(avg(x) FILTER (frame < goal), 4) AS before, round(avg(x) FILTER (frame > goal), 4) AS after, round(avg(x) FILTER (frame > goal) - avg(x) FILTER (frame < goal), 4) AS shift
+FROM g JOIN c ON c.frame BETWEEN goal - 20 AND goal + 20 GROUP BY ALL""", "track", "keyframes")
+def goal_shift(spark, d):
+    """How far each team's centroid moves from the ten seconds before to the ten seconds after the ball is in front of a goal."""
+    front = (F.col("ball_x").between(88.5, 110) | F.col("ball_x").between(-5, 16.5)) & F.col("ball_y").between(13.84, 54.16)
+    goals = balls(spark, d).filter(front).select(F.col("frame").alias("goal"), F.when(F.col("ball_x") > G.LENGTH / 2, "far").otherwise("near").alias("side"))
+    rows = range_join(goals, analytics.centroids(A.tracks(spark, d)).select("frame", "team", "centroid_x"), "goal", "frame", -20, 20)
+    mean = lambda test: F.avg(F.when(test, F.col("centroid_x")))
+    before, after = mean(F.col("frame") < F.col("goal")), mean(F.col("frame") > F.col("goal"))
+    return rows.groupBy("goal", "side", "team").agg(F.round(before, 4).alias("before"), F.round(after, 4).alias("after"), F.round(after - before, 4).alias("shift"))
 
 
 @query("z06_shot_cover", f"""

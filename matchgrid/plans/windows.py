@@ -94,12 +94,12 @@ WITH f AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS before FROM (SELECT
 i AS (SELECT frame, player_id, count(*) AS n, min(foot_x) AS x, min(foot_y) AS y FROM det GROUP BY ALL),
 nw AS (SELECT i.frame FROM i JOIN f USING (frame) WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i o WHERE o.frame = before AND o.player_id = i.player_id)),
 gn AS (SELECT f.frame FROM f JOIN i o ON o.frame = f.before WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.frame = f.frame AND i.player_id = o.player_id))
-SELECT DISTINCT frame, 'duplicate' AS problem FROM i WHERE n > 1
+SELECT * FROM (SELECT DISTINCT frame, 'duplicate' AS problem FROM i WHERE n > 1
 UNION ALL SELECT frame, 'count' FROM det GROUP BY frame HAVING count(*) <> 20
 UNION ALL SELECT DISTINCT i.frame, 'warp' FROM i JOIN f USING (frame) JOIN i o ON o.frame = before AND o.player_id = i.player_id WHERE (i.x - o.x) * (i.x - o.x) + (i.y - o.y) * (i.y - o.y) > 16900
-UNION ALL SELECT frame, 'swap' FROM (SELECT frame FROM nw INTERSECT SELECT frame FROM gn)""", "det")
+UNION ALL SELECT frame, 'swap' FROM (SELECT frame FROM nw INTERSECT SELECT frame FROM gn)) WHERE frame NOT IN (SELECT frame FROM edits WHERE seq % 50 = 0)""", "det", "edits")
 def frame_problems(spark, d):
-    return S.frame_problems(A.detections(spark, d), 20, 130.0)
+    return S.frame_problems(A.detections(spark, d), 20, 130.0, A.edits(spark, d).filter("seq % 50 = 0"))
 
 
 @query("w14_last_seen", """

@@ -118,3 +118,77 @@ def test_nearest_rows_in_blocks(spark, monkeypatch, block):
             near = sorted((math.dist(q, v), i, t) for i, v, t in points if not (own and i == r.id))[:k]
             vote = sum((1 if t == 1 else -1) / (d + 1e-6) for d, _, t in near)
             assert r.predicted == (1 if round(vote, 9) >= 0 else 2)
+
+
+VALUES = "v double, good boolean"
+
+
+def test_threshold_between_separable_classes_is_the_middle(spark):
+    rows = spark.createDataFrame([(0.9, True), (0.6, True), (0.2, False), (0.4, False)], VALUES)
+    assert tuple(models.f1_threshold(rows, "v", F.col("good")).first()) == (pytest.approx(0.5), 1.0)
+    mixed = spark.createDataFrame([(0.9, True), (0.3, True), (0.2, False), (0.4, False)], VALUES)
+    assert tuple(models.f1_threshold(mixed, "v", F.col("good")).first()) == (0.3, 0.8)
+    assert tuple(models.f1_threshold(rows.filter("good"), "v", F.col("good")).first()) == (None, None)
+
+
+def plain_accuracy(rows):
+    values = sorted({v for v, _ in rows})
+    cuts = [values[0] - 1e-6, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 1e-6]
+    best = None
+    for high in (True, False):
+        for t in cuts:
+            ok = sum(((v >= t) if high else (v < t)) == good for v, good in rows)
+            if best is None or ok > best[2]:
+                best = (t, int(high), ok)
+    return best[0], best[1], round(best[2] / len(rows), 6)
+
+
+def test_accuracy_thresholds_are_middles_and_ends(spark):
+    import random
+
+    rng = random.Random(9)
+    cases = [[(1.0, True), (2.0, True)], [(1.0, False), (2.0, False)], [(1.0, True), (2.0, False)]]
+    cases += [[(float(rng.randrange(8)), rng.random() < 0.5) for _ in range(rng.randrange(3, 30))] for _ in range(6)]
+    for rows in cases:
+        if len({v for v, _ in rows}) > 1:
+            assert tuple(models.accuracy_threshold(spark.createDataFrame(rows, VALUES), "v", F.col("good")).first()) == pytest.approx(plain_accuracy(rows))
+    assert tuple(models.accuracy_threshold(spark.createDataFrame([(1.0, True), (1.0, False)], VALUES), "v", F.col("good")).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize(("n", "limit"), [(5, 9), (9, 9), (10, 9), (23, 4), (40, 39), (101, 20)])
+def test_balanced_rows_are_evenly_spaced(spark, n, limit):
+    rows = spark.range(n).select("id", F.lit(1).alias("label"))
+    want = list(range(n)) if n <= limit else sorted({round(i * (n - 1) / (limit - 1)) for i in range(limit)})
+    assert sorted(r.id for r in models.balanced(rows, "label", "id", limit).collect()) == want
+
+
+def test_next_start_weighs_image_distance_by_its_scale(spark):
+    rows = [(1, "A", 10, 0.0, 0.0), (2, "A", 11, 30.0, 0.0), (3, "A", 14, 3.0, 0.0), (4, "B", 11, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "player_id int, team string, frame int, foot_x double, foot_y double")
+    nxt = lambda scale: {r.player_id: r.next_id for r in pairs.next_starts(df, 120, scale).collect()}[1]
+    assert nxt(1.0) == 3 and nxt(10.0) == 2  # 32 against 11, then 5 against 8.3
+
+
+def test_labelled_frames_have_no_problems(spark):
+    from matchgrid.operators import series
+
+    rows = spark.createDataFrame([(f, 1, 200.0 * f, 0.0) for f in range(3)], "frame int, player_id int, foot_x double, foot_y double")
+    found = lambda labelled: sorted(tuple(r) for r in series.frame_problems(rows, 1, 130.0, labelled).collect())
+    assert found(None) == [(1, "warp"), (2, "warp")]
+    assert found(spark.createDataFrame([(1,)], "frame int")) == [(2, "warp")]
+
+
+def test_identity_document(spark):
+    from matchgrid.operators import annotations as N
+
+    docs = [
+        (1, '{"cuts":{"1":[10]}}'), (2, '{"merges":[[[1,10],[2,0]]]}'), (3, '{"names":{"2_0":"second","7_0":"nobody"}}'), (4, '{"names":{"1_10":"late"}}'),
+        (5, '{"geom":{"11_1":[1.0,2.0,3.0,4.0]}}'), (6, "broken"),
+    ]
+    rows = [(f, 1, 0.0, 0.0, 1.0, 1.0) for f in (9, 10, 11)] + [(20, 2, 0.0, 0.0, 1.0, 1.0), (1, 3, 0.0, 0.0, 1.0, 1.0)]
+    tables = N.edit_tables(spark.createDataFrame(docs, "seq int, doc string"), "doc", "seq")
+    found = {(r.frame, r.tid): r for r in N.identified(spark.createDataFrame(rows, "frame int, tid int, x1 double, y1 double, x2 double, y2 double"), tables).collect()}
+    one = [found[k] for k in ((10, 1), (11, 1), (20, 2))]
+    assert {(r.player_id, r.name) for r in one} == {(1, "second")} and [r.cut for r in one] == [10, 10, 0]
+    assert (found[11, 1].x1, found[11, 1].y2) == (1.0, 4.0) and found[10, 1].x1 == 0.0
+    assert (found[1, 3].player_id, found[1, 3].name) == (2, "") and (found[9, 1].player_id, found[9, 1].cut) == (3, 0)
