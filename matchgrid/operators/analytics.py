@@ -79,6 +79,20 @@ def offside(tracks: DataFrame, lines: DataFrame, margin: float = 0.6) -> DataFra
     return tracks.join(other, ["frame", "team"]).filter(beyond)
 
 
+def fill_report(boxes: DataFrame, least_fill: float, least_score: float, full: int) -> DataFrame:
+    """(frame, fill, boxes, found, colour_only, phantom, missing) of frames whose mean score is below ``least_fill``.
+
+    ``boxes`` has frame, score and whether a detection matched. A box below ``least_score`` is a phantom, one at or above it without a detection is there by its
+    colour only; missing is what the others lack of ``full``. A frame without boxes counts as filled.
+    """
+    good = F.col("score") >= least_score
+    each = boxes.groupBy("frame").agg(
+        F.round(F.avg("score"), 6).alias("fill"), F.count("*").alias("boxes"), F.count_if("matched").alias("found"), F.count_if(~F.col("matched") & good).alias("colour_only"),
+        F.count_if(~good).alias("phantom"), F.greatest(F.lit(0), full - F.count_if(good)).alias("missing"),
+    )
+    return each.filter(F.col("fill") < least_fill)
+
+
 def team_extent(tracks: DataFrame) -> DataFrame:
     """Width and depth of each team in each frame."""
     return tracks.groupBy("frame", "team").agg(F.round(F.max("x_pitch") - F.min("x_pitch"), 3).alias("depth"), F.round(F.max("y_pitch") - F.min("y_pitch"), 3).alias("width"))

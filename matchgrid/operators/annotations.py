@@ -93,6 +93,28 @@ def renamed(names: DataFrame, old: str, new: str) -> DataFrame:
     return names.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))
 
 
+def roster_added(roster: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """``roster`` with the rows of ``new`` whose name it does not have; of equal new names the first by ``order``."""
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(order))
+    fresh = new.withColumn("_rn", rank).filter("_rn = 1").join(roster.select("name"), "name", "left_anti")
+    return roster.unionByName(fresh.select(*roster.columns))
+
+
+def granted(roster: DataFrame, renames: DataFrame, order: str) -> DataFrame:
+    """(old, new): the renames (old, new) that are possible: old is in the roster, new is not and is claimed by no earlier rename; each old name once."""
+    first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(order))
+    names = roster.select("name").distinct()
+    good = renames.filter("old <> new").join(names.withColumnRenamed("name", "old"), "old", "left_semi").join(names.withColumnRenamed("name", "new"), "new", "left_anti")
+    once = good.withColumn("_rn", first("old")).filter("_rn = 1")
+    return once.withColumn("_rn", first("new")).filter("_rn = 1").select("old", "new")
+
+
+def cascaded(table: DataFrame, renames: DataFrame) -> DataFrame:
+    """A table with a name column (roster, base names or overrides) after renames that were granted()."""
+    joined = table.join(renames, table["name"] == renames["old"], "left")
+    return joined.select(*(F.coalesce("new", "name").alias("name") if c == "name" else table[c] for c in table.columns))
+
+
 def candidate_score(predicted: Column, end: Column, gap: Column, turn: Column) -> Column:
     """Cost of joining two fragments."""
     return predicted + 0.35 * end + 0.04 * gap + 0.18 * turn

@@ -90,6 +90,19 @@ def systematic(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return ranked.filter((F.col("_i") % k == 0) & (F.floor(F.col("_i") / k) < n)).drop("_i", "_n")
 
 
+def stepped(frames: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(frame, previous, next): for each frame the flagged frames around it, itself excepted; past the last one it goes on from the first, and back.
+
+    With one flagged frame that is the frame itself, too; without any both are null.
+    """
+    rows = frames.select("frame").distinct().join(flagged.select("frame").distinct().withColumn("_f", F.col("frame")), "frame", "left")
+    flags = rows.union(flagged.select("frame").distinct().join(frames, "frame", "left_anti").select("frame", "frame")).toDF("frame", "_f")
+    found = carried(flags, "frame", {"previous": F.col("_f")}, {"next": F.col("_f")}, own=False)
+    ends = flagged.agg(F.min("frame").alias("_first"), F.max("frame").alias("_last"))
+    around = found.join(F.broadcast(ends))  # one row
+    return around.join(frames.select("frame"), "frame", "left_semi").select("frame", F.coalesce("previous", "_last").alias("previous"), F.coalesce("next", "_first").alias("next"))
+
+
 def between_samples(samples: DataFrame, key: str, frames: DataFrame, values: list[str], held: list[str]) -> DataFrame:
     """(frame, key, values, held): for each of ``frames`` strictly between two neighbouring samples of a key, the values on the line
     between them and the ``held`` columns of the earlier one. Nothing is extrapolated.

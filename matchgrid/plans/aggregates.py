@@ -240,6 +240,17 @@ def fill_rate(spark, d):
     return each.agg(F.round(F.avg(F.coalesce("s", F.lit(1.0))), 4).alias("fill"), F.sum(F.greatest(F.lit(0), 22 - F.col("n"))).alias("missing"))
 
 
+@query("g28_fill_report", """
+WITH s AS (SELECT frame, confidence >= 0.5 AS matched, greatest(CASE WHEN confidence >= 0.5 THEN confidence ELSE 0 END, least(1, (event_id % 10) / 8.0::DOUBLE)) AS score FROM det)
+SELECT frame, round(avg(score), 6) AS fill, count(*) AS boxes, count(*) FILTER (matched) AS found, count(*) FILTER (NOT matched AND score >= 0.4) AS colour_only, count(*) FILTER (score < 0.4) AS phantom, greatest(0, 22 - count(*) FILTER (score >= 0.4)) AS missing
+FROM s GROUP BY frame HAVING round(avg(score), 6) < 0.8""", "det")
+def fill_report(spark, d):
+    """Frames that are badly filled, with their boxes by kind."""
+    matched = F.col("confidence") >= 0.5
+    score = F.greatest(F.when(matched, F.col("confidence")).otherwise(0.0), F.least(F.lit(1.0), F.col("event_id") % 10 / 8.0))
+    return N.fill_report(A.detections(spark, d).select("frame", matched.alias("matched"), score.alias("score")), 0.8, 0.4, 22)
+
+
 @query("g29_hue_histogram", """
 WITH p AS (SELECT vec_id, r, g, bl, greatest(r, g, bl) AS hi, least(r, g, bl) AS lo FROM px),
 h AS (SELECT vec_id, CASE WHEN hi = lo THEN 0 ELSE 60 * (CASE WHEN hi = r THEN CASE WHEN g < bl THEN (g - bl) / (hi - lo)::DOUBLE + 6 ELSE (g - bl) / (hi - lo)::DOUBLE END WHEN hi = g THEN (bl - r) / (hi - lo)::DOUBLE + 2 ELSE (r - g) / (hi - lo)::DOUBLE + 4 END) END AS hue FROM p),

@@ -81,6 +81,30 @@ def roster_rename(spark, d):
     return N.renamed(names, names.agg(F.min("name")).first()[0], "G01").select("tid", "name")
 
 
+@query("k05_roster_cascade", """
+WITH seed AS (SELECT t || i AS name, t AS team FROM (VALUES ('G'), ('B')) a(t), range(1, 12) b(i)),
+old AS (SELECT DISTINCT name, 'A' AS team FROM base), roster AS (SELECT * FROM old UNION ALL SELECT * FROM seed WHERE name NOT IN (SELECT name FROM old)),
+ren AS (SELECT seq, name AS old, CASE WHEN seq % 5 = 0 THEN 'G' || (seq % 11 + 1) ELSE 'N' || (seq % 40) END AS new FROM base WHERE seq % 2 = 0),
+ok AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY seq) AS a FROM ren WHERE old <> new AND new NOT IN (SELECT name FROM roster) AND old IN (SELECT name FROM roster)),
+g AS (SELECT old, new FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY seq) AS b FROM ok WHERE a = 1) WHERE b = 1)
+SELECT 'roster' AS kind, coalesce(new, name) AS name, count(*) AS n FROM roster LEFT JOIN g ON old = name GROUP BY ALL
+UNION ALL SELECT 'base', coalesce(new, name), count(*) FROM base LEFT JOIN g ON old = name GROUP BY ALL
+UNION ALL SELECT 'overrides', coalesce(new, name), count(*) FROM (SELECT b.name FROM overrides o JOIN base b ON b.seq = o.seq % 100) LEFT JOIN g ON old = name GROUP BY ALL""", "base", "overrides")
+def roster_cascade(spark, d):
+    """A seeded roster and its renames, carried on to base names and overrides; a name that is taken is refused."""
+    base = A.base_names(spark, d)
+    team = F.explode(F.array(F.lit("G"), F.lit("B")))
+    seed = spark.range(1, 12).select("id", team.alias("team")).select("id", F.concat("team", F.col("id").cast("string")).alias("name"), "team")
+    roster = N.roster_added(base.select("name", F.lit("A").alias("team")).distinct(), seed, "id")
+    seq = F.col("seq")
+    new = F.when(seq % 5 == 0, F.concat(F.lit("G"), (seq % 11 + 1).cast("string"))).otherwise(F.concat(F.lit("N"), (seq % 40).cast("string")))
+    renames = N.granted(roster, base.filter("seq % 2 = 0").select("seq", F.col("name").alias("old"), new.alias("new")), "seq")
+    given = A.overrides(spark, d).select((seq % 100).alias("seq")).join(base.select("seq", "name"), "seq")
+    tables = {"roster": roster, "base": base, "overrides": given}
+    parts = [N.cascaded(t, renames).groupBy(F.lit(k).alias("kind"), "name").agg(F.count("*").alias("n")) for k, t in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("k06_assignments", """
 WITH l AS (SELECT seq, tid, name, frame, CASE seq % 4 WHEN 0 THEN 'base' WHEN 1 THEN 'unassign' ELSE 'override' END AS kind FROM overrides),
 r AS (SELECT tid, max(seq) AS s FROM l WHERE kind <> 'override' GROUP BY tid)

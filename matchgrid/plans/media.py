@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchgrid.operators import export, ingest
+from matchgrid.operators import export, ingest, tiles
 from matchgrid.plans.registry import query
 from matchgrid.sources import adapters as A
 from matchgrid.sources import detectors as D
@@ -65,3 +65,20 @@ SELECT event_id, (x1 + (event_id % 2) * 960 - 40)::DOUBLE AS x1, (y1 + (event_id
 def tile_offsets(spark, d):
     i = F.col("event_id")
     return A.detections(spark, d).select("event_id", (F.col("x1") + (i % 2) * 960 - 40).alias("x1"), (F.col("y1") + (i % 3) * 540 - 40).alias("y1"))
+
+
+@query("z10_tiled_detection", """
+WITH RECURSIVE g AS (SELECT i + 2 * j AS tile, greatest(0, 960 * i - 60) AS l, greatest(0, 540 * j - 60) AS t, least(1920, 960 * (i + 1) + 60) AS r, least(1080, 540 * (j + 1) + 60) AS b FROM range(2) a(i), range(2) c(j)),
+s AS (SELECT frame, detection_id * 4 + tile AS own, greatest(x1, l) AS x1, greatest(y1, t) AS y1, least(x2, r) AS x2, least(y2, b) AS y2 FROM det, g),
+b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, own) AS i FROM s WHERE x2 - x1 >= 2 AND y2 - y1 >= 2),
+w AS (SELECT frame, 0::BIGINT AS i, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, own BIGINT)[] AS kept FROM b GROUP BY frame
+  UNION ALL SELECT b.frame, b.i, CASE WHEN len(list_filter(w.kept, lambda k: least(k.x2, b.x2) > greatest(k.x1, b.x1) AND least(k.y2, b.y2) > greatest(k.y1, b.y1)
+     AND (least(k.x2, b.x2) - greatest(k.x1, b.x1)) * (least(k.y2, b.y2) - greatest(k.y1, b.y1)) / least((k.x2 - k.x1) * (k.y2 - k.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.6)) = 0
+     THEN list_append(w.kept, {'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'own': b.own}) ELSE w.kept END FROM w JOIN b ON b.frame = w.frame AND b.i = w.i + 1),
+k AS (SELECT frame, unnest(kept) AS k FROM w WHERE (frame, i) IN (SELECT frame, max(i) FROM b GROUP BY frame))
+SELECT frame, k.own AS own, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM k""", "det")
+def tiled_detection(spark, d):
+    """Boxes as a grid of 2 x 2 overlapping tiles sees them, put together again."""
+    grid = tiles.tile_grid(1920, 1080, 2, 2, 60)
+    boxes = A.detections(spark, d).select("frame", F.col("detection_id").cast("long").alias("own"), "x1", "y1", "x2", "y2")
+    return tiles.from_tiles(tiles.seen_in_tiles(boxes, grid), grid, "frame", 0.6)

@@ -175,3 +175,13 @@ def roster_order(spark, d):
 @query("t09_first_unanswered", "SELECT min(conv_id) AS first FROM conversations WHERE conv_id % 5 > 1")
 def first_unanswered(spark, d):
     return A.scan(spark, d, "conversations").filter("conv_id % 5 > 1").agg(F.min("conv_id").alias("first"))
+
+
+@query("w20_frame_steps", """
+WITH f AS (SELECT DISTINCT frame FROM det), p AS (SELECT frame FROM (SELECT frame, count(DISTINCT player_id) AS k, count(*) AS n FROM det GROUP BY frame) WHERE n - k >= 8)
+SELECT frame, coalesce((SELECT max(frame) FROM p WHERE p.frame < f.frame), (SELECT max(frame) FROM p)) AS previous, coalesce((SELECT min(frame) FROM p WHERE p.frame > f.frame), (SELECT min(frame) FROM p)) AS next FROM f""", "det")
+def frame_steps(spark, d):
+    """From every frame the previous and the next one with eight or more doubled ids, round the end of the clip."""
+    rows = A.detections(spark, d)
+    bad = rows.groupBy("frame").agg(F.count_distinct("player_id").alias("k"), F.count("*").alias("n")).filter("n - k >= 8")
+    return S.stepped(rows, bad)
