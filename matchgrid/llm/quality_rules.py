@@ -1,14 +1,19 @@
 r"""Quality rules with risk-controlled thresholds.
 
 Counts of every text come from array functions. Documents fail the fixed base
-rules or a learned one. A learned rule rejects a document whose measure (share
-of symbols, of repeated lines, of repeated words) exceeds a cutoff. Cutoffs are
-chosen per stratum (the document's lang) on the labelled documents: a cutoff is
-allowed if the exact binomial test rejects, at level ``ERROR`` divided by the
-number of strata, rules and cutoffs (Bonferroni), that it rejects more than
-``RISK`` / number of rules of the good documents. The tightest allowed cutoff
-is used; a stratum without one, or without labels, has no learned rule. With
-probability 1 - ERROR all strata keep all but RISK of their good documents.
+rules or a learned one. The learned rule rejects a document if one of its measures (share
+of symbols, of repeated lines, of repeated words) exceeds that measure's cutoff. It is
+chosen per stratum (the document's lang) on the labelled documents: rules are tried in a
+fixed order, each tighter than the one before (first the cutoff of symbols goes down, then that
+of lines, then that of words), and a rule is allowed if the exact binomial test rejects
+that it loses more than ``RISK`` of the good documents. A sequence that ends at its first failure needs no
+correction. Over strata Holm's procedure holds for the rules up to the last one of lines (``FIRM``): a stratum for which
+all of them are allowed leaves its part of the level to the others. The rules of words, which good documents break
+more often, come after them with a part of the level (``APART``) that the strata share evenly. So with probability
+1 - ERROR every stratum keeps all but RISK of its good documents.
+
+Strata with fewer good documents than the test needs at the full level (``enough``) are pooled into one, and the
+bound is for the pool as a whole. A stratum without good documents has no learned rule.
 
 A window of five words found twice or more in a text makes its words repeated.
 Windows are compared by hash and only texts that repeat one are sorted.
@@ -25,7 +30,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.sources.store import stored
@@ -35,6 +40,9 @@ NO_SPACE = r"[^\x20\x09-\x0D]"
 RISK, ERROR = 0.03, 0.05
 MEASURES = ["symbols", "dup_lines", "repeats"]
 CUTOFFS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5]
+#: Rules of the sequence: every cutoff of the first measure, the largest first, then those of the others.
+RULES = len(MEASURES) * len(CUTOFFS)
+FIRM, APART = 2 * len(CUTOFFS), 0.2
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -106,19 +114,48 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
+def enough(risk: float = RISK, error: float = ERROR) -> int:
+    """Good documents of which none may be lost for the test to pass at the whole level of the firm rules."""
+    return math.ceil(math.log(error * (1 - APART)) / math.log(1 - risk))
+
+
+def first_loss(value: Column, place: int) -> Column:
+    """The first rule that loses a document by its measure number ``place``, null if none does."""
+    falling = CUTOFFS[::-1]
+    return F.coalesce(*(F.when(value > cutoff, place * len(CUTOFFS) + i + 1) for i, cutoff in enumerate(falling)))
+
+
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, one column per measure): the tightest cutoff that the labels allow, null for none."""
+    """(stratum, one column per measure): the cutoffs of the tightest rule that the labels allow, null for none."""
     good = measures.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id").filter(~F.col("base_failed"))
     good = good.groupBy("stratum", "doc_id").agg(*(F.max(m).alias(m) for m in MEASURES))
-    each = good.select("stratum", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES))))
-    tried = each.select("stratum", "measure", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"), "value")
-    # Every document meets every cutoff in the map-side part of this sum only.
-    seen = tried.groupBy("stratum", "measure", "cutoff").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("k"))
-    limit = risk / len(MEASURES)
-    seen = stored(seen, "quality-tests")
-    level = error / (max(1, seen.select("stratum").distinct().count()) * len(MEASURES) * len(CUTOFFS))
-    allowed = seen.filter(F.col("k") < limit * F.col("n")).filter(at_most(F.col("k"), F.col("n"), limit) <= level)
-    return allowed.groupBy("stratum").agg(*(F.min(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"max_{m}") for m in MEASURES))
+    lost = good.select("stratum", F.least(*(first_loss(F.col(m), i) for i, m in enumerate(MEASURES)), F.lit(RULES + 1)).alias("lost"))
+    counts = [F.count_if(F.col("lost") <= rule).alias(f"k{rule}") for rule in range(1, RULES + 1)]
+    seen = stored(lost.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "quality-tests")  # one row a stratum
+    small = F.col("n") < enough(risk, error)
+    unit = F.when(~small, F.col("stratum"))  # null: the pool
+    pooled = seen.groupBy(unit.alias("unit")).agg(F.sum("n").alias("n"), *(F.sum(f"k{rule}").alias(f"k{rule}") for rule in range(1, RULES + 1)))
+    tests = pooled.select("unit", "n", F.posexplode(F.array(*(f"k{rule}" for rule in range(1, RULES + 1)))).alias("at", "k"))
+    p = F.when(F.col("k") < risk * F.col("n"), at_most(F.col("k"), F.col("n"), risk)).otherwise(1.0)
+    tests = tests.select("unit", (F.col("at") + 1).alias("rule"), p.alias("p"))
+    # Holm over the last firm rules: in the order of their p, each stratum has the level of those that are left. A row a stratum.
+    firm = error * (1 - APART)
+    last = tests.filter(F.col("rule") == FIRM)
+    order = Window.orderBy("p", "unit")
+    done = F.col("p") <= firm / (F.col("m") - F.row_number().over(order) + 1)
+    ranked = last.withColumn("m", F.count("*").over(Window.partitionBy())).withColumn("done", done)
+    ranked = ranked.withColumn("done", F.min("done").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.greatest(F.lit(1), F.col("m") - F.count_if("done").over(Window.partitionBy()))
+    whole = F.col("done") | (F.col("p") <= firm / left)
+    levels = ranked.select(F.col("unit").alias("_unit"), F.when(F.col("done"), F.col("p")).otherwise(firm / left).alias("level"), F.when(whole, error * APART / F.col("m")).alias("rest"))
+    level = F.when(F.col("rule") <= FIRM, F.col("level")).otherwise(F.col("rest"))
+    allowed = tests.join(levels, F.col("unit").eqNullSafe(F.col("_unit"))).filter(F.col("p") <= level)
+    chosen = allowed.groupBy("unit").agg(F.max("rule").alias("rule"))
+    steps = F.array(*map(F.lit, CUTOFFS))
+    cutoff = [F.get(steps, len(CUTOFFS) - F.least(F.col("rule") - i * len(CUTOFFS), F.lit(len(CUTOFFS)))) for i in range(len(MEASURES))]
+    limits = [F.when(F.col("rule") > i * len(CUTOFFS), c).alias(f"max_{m}") for i, (m, c) in enumerate(zip(MEASURES, cutoff, strict=True))]
+    member = seen.select("stratum", unit.alias("_unit"))
+    return chosen.join(member, F.col("unit").eqNullSafe(F.col("_unit"))).select("stratum", *limits)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,8 +175,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_FIRM_LEVEL = ERROR * (1 - APART)
 _GRID = ", ".join(f"({c}::DOUBLE)" for c in CUTOFFS)
-_LIMIT = RISK / len(MEASURES)
 ORACLE = rf"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -161,20 +198,23 @@ m AS (
          n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeats FROM c),
 good AS (SELECT stratum, doc_id, max(symbols) AS symbols, max(dup_lines) AS dup_lines, max(repeats) AS repeats
          FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
-each AS (
-  SELECT stratum, 'symbols' AS measure, symbols AS v FROM good UNION ALL SELECT stratum, 'dup_lines', dup_lines FROM good
-  UNION ALL SELECT stratum, 'repeats', repeats FROM good),
+size AS (SELECT stratum, CASE WHEN count(*) >= {enough()} THEN stratum END AS unit FROM good GROUP BY stratum),
+rule AS (
+  SELECT 9 * m + i AS rule, CASE WHEN m = 0 THEN c ELSE 0.01 END AS a, CASE m WHEN 0 THEN NULL WHEN 1 THEN c ELSE 0.01 END AS b, CASE WHEN m = 2 THEN c END AS c
+  FROM (SELECT c, row_number() OVER (ORDER BY c DESC) AS i FROM (VALUES {_GRID}) g(c)), range(3) t(m)),
 seen AS (
-  SELECT stratum, measure, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k
-  FROM each, (VALUES {_GRID}) g(cutoff) GROUP BY ALL),
-allowed AS (
-  SELECT * FROM seen WHERE k < {_LIMIT} * n AND
+  SELECT unit, rule, count(*) AS n, count(*) FILTER (symbols > a OR coalesce(dup_lines > b, false) OR coalesce(repeats > c, false)) AS k
+  FROM good JOIN size USING (stratum), rule GROUP BY ALL),
+p AS (
+  SELECT unit, rule, CASE WHEN k < {RISK} * n THEN
     list_sum(list_transform(range(0, k + 1), lambda i: exp(CASE WHEN i = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END
-      + i * ln({_LIMIT}::DOUBLE) + (n - i) * ln(1 - {_LIMIT}::DOUBLE))))
-    <= {ERROR} / ((SELECT count(DISTINCT stratum) FROM seen) * {len(MEASURES)} * {len(CUTOFFS)})),
-cuts AS (
-  SELECT stratum, min(cutoff) FILTER (measure = 'symbols') AS a, min(cutoff) FILTER (measure = 'dup_lines') AS b,
-         min(cutoff) FILTER (measure = 'repeats') AS c FROM allowed GROUP BY stratum)
+      + i * ln({RISK}::DOUBLE) + (n - i) * ln(1 - {RISK}::DOUBLE)))) ELSE 1 END AS p FROM seen),
+last AS (SELECT *, row_number() OVER (ORDER BY p, unit NULLS FIRST) AS r, count(*) OVER () AS m FROM p WHERE rule = {FIRM}),
+done AS (SELECT *, bool_and(p <= {_FIRM_LEVEL}::DOUBLE / (m - r + 1)) OVER (ORDER BY r) AS done FROM last),
+level AS (SELECT unit, p AS p_firm, done, m, {_FIRM_LEVEL}::DOUBLE / greatest(1, m - (SELECT count(*) FROM done WHERE done)) AS lv FROM done),
+best AS (SELECT p.unit, max(p.rule) AS rule FROM p JOIN level l ON p.unit IS NOT DISTINCT FROM l.unit
+         WHERE CASE WHEN rule <= {FIRM} THEN done OR p <= lv ELSE (done OR p_firm <= lv) AND p <= {ERROR * APART}::DOUBLE / m END GROUP BY p.unit),
+cuts AS (SELECT stratum, a, b, c FROM size s JOIN best ON s.unit IS NOT DISTINCT FROM best.unit JOIN rule USING (rule))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(symbols > a, false) AND NOT coalesce(dup_lines > b, false) AND NOT coalesce(repeats > c, false) AS kept
 FROM m LEFT JOIN cuts USING (stratum)
