@@ -8,8 +8,8 @@ stretch of the text around it. As k edits change at most 3 k of the item's group
 three characters, a stretch that lacks more of them is out; Myers' bit-parallel
 distance verifies the others. That keeps pieces which many items share (the wording
 of a question) cheap. Items of equal text are searched once. Items too short
-for an edit must stand in the text word for word; items of fewer than
-``LEAST_WORDS`` words are in too many texts to tell anything and match nothing.
+for an edit must stand in the text word for word. Every item of a word or more is
+searched; a caller to whom short ones tell nothing asks for ``least_words``.
 
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters, with one
 pass over the documents each, so a benchmark of any size fits. With several
@@ -37,7 +37,6 @@ from matchgrid.sources.store import stored
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
-LEAST_WORDS = 3
 #: Characters of a part of a text whose groups of GRAM characters are looked up together.
 PART, GRAM = 256, 3
 WORD = re.compile(r"[^\W_]+")
@@ -86,7 +85,7 @@ def grams(text: str) -> set[str]:
 class Items:
     """Searches texts for the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_words: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_words: int = 1):
         import ahocorasick
 
         self.items, self.trie = [], ahocorasick.Automaton()
@@ -166,12 +165,12 @@ def to_original(text: str, found: list[dict]) -> None:
         hit["end"] = places[min(hit["end"] - 1, len(places) - 1)] + 1
 
 
-def matches(docs: DataFrame, items: list[tuple[int, str]], error_rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` with ``bench_hits``: the items found in each text."""
+def matches(docs: DataFrame, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, least_words: int = 1) -> DataFrame:
+    """``docs`` with ``bench_hits``: the items of ``least_words`` words or more found in each text."""
     kept = docs.sparkSession.sparkContext.broadcast(items)
 
     def setup():
-        own = Items(kept.value, error_rate)
+        own = Items(kept.value, error_rate, least_words)
         return lambda texts: [[own.search(t) for t in texts]]
 
     return map_text(docs, "text", f"bench_hits {HITS}", setup)
@@ -187,7 +186,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Da
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, least_words: int = 1) -> DataFrame:
     """``docs`` with ``bench_hits`` over every block of the benchmark.
 
     Of several blocks the driver holds the items of one at a time.
@@ -195,10 +194,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     blocks = item_blocks(benchmark, block_chars)
     items = lambda block: [(r.item_id, r.text) for r in block.collect()]
     if len(blocks) == 1:
-        return matches(docs, items(blocks[0]), error_rate)
+        return matches(docs, items(blocks[0]), error_rate, least_words)
     passes = []
     for block in blocks:
-        hits = matches(docs.select("text"), items(block), error_rate).filter(F.size("bench_hits") > 0)
+        hits = matches(docs.select("text"), items(block), error_rate, least_words).filter(F.size("bench_hits") > 0)
         passes.append(stored(hits.select(F.sha2("text", 256).alias("hit_key"), "bench_hits").dropDuplicates(["hit_key"]), "decontamination"))
     every = functools.reduce(DataFrame.unionByName, passes).groupBy("hit_key").agg(F.flatten(F.collect_list("bench_hits")).alias("found"))
     own = [c for c in docs.columns if c.lower() != "bench_hits"]

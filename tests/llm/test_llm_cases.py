@@ -187,8 +187,11 @@ def test_decontamination_cases(spark):
         first = next(r for r in rows if r.text.startswith("x"))
         assert first.text[first.h.start : first.h.end] == item.upper()
     short = table(spark, [(1, "Well, YES of it."), (2, "yes"), (3, "xyes of itx"), (4, "yes  of--it")])
-    found = decontamination.contaminated(short, table(spark, [(1, "yes of it"), (2, "of it"), (3, "yes")], "item_id long, text string"))
-    assert {(r.doc_id, r.h.item_id, r.text[r.h.start : r.h.end]) for r in found.select("doc_id", "text", F.explode("bench_hits").alias("h")).collect()} == {(1, 1, "YES of it"), (4, 1, "yes  of--it")}
+    few = table(spark, [(1, "yes of it"), (2, "of it"), (3, "yes"), (4, "well no")], "item_id long, text string")
+    said = lambda found: {(r.doc_id, r.h.item_id, r.text[r.h.start : r.h.end]) for r in found.select("doc_id", "text", F.explode("bench_hits").alias("h")).collect()}
+    three = {(1, 1, "YES of it"), (4, 1, "yes  of--it")}
+    assert said(decontamination.contaminated(short, few, least_words=3)) == three
+    assert said(decontamination.contaminated(short, few)) == three | {(1, 2, "of it"), (4, 2, "of--it"), (1, 3, "YES"), (2, 3, "yes"), (4, 3, "yes")}
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).filter("size(bench_hits) > 0").count() == 0
 
