@@ -23,6 +23,8 @@ from matchgrid.sources.store import discard, stored
 
 #: Per cent of shared shingles from which two documents are near copies; op5's own contract says 85.
 NEAR = 80
+#: Benchmark items of fewer words are in too many clean documents to tell anything.
+LEAST_WORDS = 3
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no benchmark item is found."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return unpacked(decontamination.contaminated(packed(docs), benchmark).filter(F.size("bench_hits") == 0), docs)
+    return unpacked(decontamination.contaminated(packed(docs), benchmark, least_words=LEAST_WORDS).filter(F.size("bench_hits") == 0), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
