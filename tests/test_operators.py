@@ -122,7 +122,7 @@ def test_otsu_and_thresholds(spark):
     rows = spark.createDataFrame([(v, v > 5) for v in (1, 2, 2, 3, 8, 9, 9)], "v long, p boolean")
     assert models.otsu(rows, "v").first().threshold == 3
     assert models.f1_threshold(rows, "v", F.col("p")).first() == (5.5, 1.0)
-    assert models.accuracy_threshold(rows, "v", F.col("p")).first() == (8, 1, 1.0)
+    assert models.accuracy_threshold(rows, "v", F.col("p")).first() == (5.5, 1, 1.0)
     a, b = models.two_means(rows, "v")
     assert math.isclose(a, 2.0) and math.isclose(b, 26 / 3)
 
