@@ -58,8 +58,13 @@ SKETCH = ["s1", "s2", "s3", "s4"]
 SIGNED = "n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
+def text_hash() -> F.Column:
+    """128 bits of the text."""
+    return F.unhex(F.md5("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text replaced by set size, set key, band keys and odd sketch."""
+    """``docs`` with its text replaced by its hash, set size, set key, band keys and odd sketch."""
 
     def setup():
         def call(texts):
@@ -79,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return call
 
-    return map_text(docs, "text", SIGNED, setup).drop("text")
+    return map_text(docs.withColumn("text_hash", text_hash()), "text", SIGNED, setup).drop("text")
 
 
 def distance(other: str = "") -> F.Column:
@@ -218,23 +223,29 @@ def meeting_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return meetings(rare).filter(good).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame:
-    """(set_key, hashes) of the wanted vertices, by the doc_id that stands for each.
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_key, text) of the wanted vertices, from the rows with the doc_id and text hash that stand for them.
 
-    Where a doc_id is repeated with another text, the key of the text decides.
+    A hash belongs to one vertex, so no row meets more than one, also where doc_ids are null or repeated.
     """
-    wanted = stored(vertices.join(keys, "set_key", "left_semi").select("set_key", F.col("doc_id").alias("d")), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("d"))).select("set_key", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("own_hash") == F.col("text_hash"))
+    return docs.select("doc_id", "text", text_hash().alias("own_hash")).join(few, same).select("set_key", "text")
+
+
+def sets_of(docs: DataFrame, vertices: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, hashes) of the wanted vertices."""
+    wanted = stored(vertices.join(keys, "set_key", "left_semi").select("set_key", F.col("doc_id").alias("d"), "text_hash"), "wanted")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = S.shingle_sets(part.column("text").to_pylist())
-                both = [(k, s.tobytes()) for k, s in zip(part.column("set_key").to_pylist(), sets, strict=True) if S.set_key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], pa.binary()) for i in (0, 1)], ["set_key", "hashes"])
+                # Rows that repeat doc_id and text are one set.
+                own = dict(zip(part.column("set_key").to_pylist(), part.column("text").to_pylist(), strict=True))
+                sets = [s.tobytes() for s in S.shingle_sets(list(own.values()))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(sets, pa.binary())], ["set_key", "hashes"])
 
-    sets = stored(found.mapInArrow(tidy(run), "set_key binary, hashes binary").dropDuplicates(["set_key"]), "sets")
+    sets = stored(texts_of(docs, wanted).mapInArrow(tidy(run), "set_key binary, hashes binary").dropDuplicates(["set_key"]), "sets")
     discard(wanted)
     return sets
 
@@ -264,8 +275,10 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     """
     signed = stored(signatures(docs), "signatures")
     with_words = signed.filter("set_key is not null")
-    vertices = with_words.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)))
-    vertices = stored(vertices, "vertices")
+    # The smallest doc_id stands for the vertex, a null one only where there is no other.
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first")
+    vertices = with_words.groupBy("set_key").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)))
+    vertices = stored(vertices.select("set_key", "first.doc_id", "first.text_hash", "n_shingles", "bands", *SKETCH), "vertices")
     places = stored(shared_bands(vertices), "bands")
     sets = sets_of(docs, vertices, places.select("set_key").distinct())
     private = stored(private_counts(sets, places), "private")

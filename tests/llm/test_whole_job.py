@@ -101,6 +101,18 @@ def test_hot_groups_near_the_threshold_equal_brute_force(spark, monkeypatch, pri
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+def test_null_and_repeated_ids_do_not_meet_each_other(spark):
+    """The rows that are joined for the sets are no more than the documents."""
+    for n in (50, 100):
+        rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(template_texts(n, 60))] * 2
+        docs = spark.createDataFrame(rows, TEXT)
+        signed = near_dedup.signatures(docs).dropDuplicates(["set_key"])
+        wanted = signed.select("set_key", F.col("doc_id").alias("d"), "text_hash")
+        assert near_dedup.texts_of(docs, wanted).count() == 2 * n
+        assert near_dedup.sets_of(docs, signed, signed.select("set_key")).count() == n
+        assert near_dedup.groups(docs).filter("kept").count() == 2 * n
+
+
 def test_very_long_texts_are_linked(spark):
     words = [f"w{i}" for i in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[1500:])), (3, " ".join(words[:30_000]))]
