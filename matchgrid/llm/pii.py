@@ -30,6 +30,7 @@ gives an empty result. Columns of the outputs' names are replaced; others stay.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -44,6 +45,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![A-Za-z0-9.+(-])\(?[0-9]{2,5}\)?(?:[\x20/.-]?[0-9]{2,5}){2,4}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9])"
+SECRET_LETTERS = string.ascii_letters + string.digits + "+/_-="
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 KEY = (
     r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}"
@@ -155,15 +157,19 @@ def says(context: Column, words: str) -> Column:
 
 
 def entropy(match: Column) -> Column:
-    """Bits a character, from the frequencies of the characters in the string itself."""
-    chars = F.split(match, "")
-    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
-    return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    """Bits a character of a string over ``SECRET_LETTERS``, from the frequencies of its own characters.
+
+    Each letter is counted in one pass, so a string of any length takes time in proportion to it and no array of its characters.
+    """
+    n = F.length(match)
+    letters = F.array(*(F.lit(c) for c in SECRET_LETTERS))
+    share = F.transform(letters, lambda c: (n - F.length(F.replace(match, c, F.lit("")))) / n)
+    return F.aggregate(share, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
 def is_secret(match: Column) -> Column:
-    """Letters and several digits, at most 256 characters, as mixed as random hex digits are."""
-    sized = F.length(match).between(20, 256) & match.rlike("[A-Za-z]") & match.rlike("(?:[0-9][^0-9]*){3}")
+    """Letters and several digits, as mixed as random hex digits are."""
+    sized = (F.length(match) >= 20) & match.rlike("[A-Za-z]") & match.rlike("(?:[0-9][^0-9]*){3}")
     return F.when(sized, entropy(match) >= 3.0).otherwise(False)
 
 
