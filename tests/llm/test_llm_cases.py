@@ -104,6 +104,50 @@ def test_training_takes_whole_texts_within_its_bounds(spark):
     assert set(found) == {"xx", "zz"} and len(found["xx"]) == 2 and all(len(t) == 900 for t in found["xx"]) and found["zz"] == ["short"]
 
 
+def test_more_languages_than_the_letters_suffice_for(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    own = {f"l{i:03}": [word() for _ in range(4)] for i in range(401)}
+    say = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(say(words), lang) for lang, words in own.items() for _ in range(2)]
+    model = language_id.Model(language_id.training_sample(table(spark, rows, "text string, lang string")))
+    assert model.langs == sorted(own)
+    assert model.predict([say(words) for words in own.values()])[0] == list(own)
+
+
+def test_the_model_keeps_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_LETTERS", 2000)
+    rows = [(w * n, w) for w in ("abc ", "def ", "ghi ", "jkl ") for n in (5, 100, 1000, 5000)]
+    for limit in (language_id.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(language_id, "BROADCAST_ROWS", limit)
+        sample = language_id.training_sample(table(spark, rows, "text string, lang string"))
+        assert len(sample) == 4 and all(sum(map(len, ts)) <= 3 * 500 for ts in sample.values())
+    model = language_id.Model(sample)
+    assert all(len(origin) <= 3 * 500 and count <= 2 * 500 for count, origin, _, _ in model.edges)
+    assert model.predict(["def def def"])[0] == ["def "]
+
+
+@pytest.mark.parametrize("limit", [0, 256 << 20])
+def test_every_letter_of_the_training_texts_has_its_code(monkeypatch, limit):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", limit)
+    monkeypatch.setattr(language_id, "PAGES", 5)
+    monkeypatch.setattr(language_id, "PLACES", 20)
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(1000)]
+    halves = {"a": letters[:500], "b": letters[500:]}
+    text = {lang: "".join(rng.sample(own, 500)) + "".join(rng.choice(own) for _ in range(3000)) for lang, own in halves.items()}
+    model = language_id.Model({lang: [t] for lang, t in text.items()})
+    codes = [(model.first[ord(c)], model.second[ord(c)], model.third[ord(c)]) for c in letters]
+    assert len(set(codes)) == 1000 and sum(c[2] > 0 for c in codes) > 500 and model.width <= 256
+    assert model.predict([text["a"][600:650], text["b"][600:650], text["b"][:400]])[0] == ["a", "b", "b"]
+    # Phrases of a text of three-symbol letters equal those of plain search over its codes.
+    coded = lambda t: [int(s) for c in t for s in (model.first[ord(c)], model.second[ord(c)], model.third[ord(c)]) if s]
+    asked = text["a"][100:130] + text["b"][700:720]
+    train, query = bytes(coded(text["a"])), bytes(coded(asked))
+    assert model.phrases([asked])[1][0, 0] == plain_phrases(train, query)
+    assert language_id.FREQUENT + 76 * 76 * 76 > sum(chr(i).isalpha() for i in range(0x110000))
+
+
 # 2
 
 
