@@ -32,16 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` made and that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
-        shared = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.makeQualified(folder.getParent()).equals(fs.makeQualified(shared)):
-            fs.delete(folder, True)
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
