@@ -8,7 +8,9 @@ import os
 import random
 import re
 import subprocess
+import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -306,6 +308,89 @@ def test_warc_digests():
     assert warc.record(head(b"sha1:AAAA"), None)[-1] == "payload digest"
 
 
+def test_warc_records_of_any_size(spark, tmp_path, monkeypatch):
+    body = random.Random(3).randbytes(700_000)
+    content = warc.member(9, "u", body, hashlib.sha256(body).hexdigest(), "response", None)
+    wrong = warc.member(8, "u", body, hashlib.sha256(b"other").hexdigest(), "response", None)
+    monkeypatch.setattr(warc, "LONGEST", 500_000)
+    large, other, small = warc_rows(content + wrong + warc.member(7, "u", b"x", hashlib.sha256(b"x").hexdigest(), "response", None))
+    assert large == (9, "u", "response", None, 700_000, hashlib.sha256(body).hexdigest(), None, "block,payload", None)
+    assert other[6] is None and other[-1] == "payload digest" and small[6] == b"x" and small[-1] is None
+    monkeypatch.setattr(warc, "LONGEST", 700_000)
+    assert warc_rows(content)[0][6] == body
+    assert [warc.record(d, e)[6] for d, e in warc.members(io.BytesIO(content), keep=False)] == [None]
+
+
+def test_warc_records_do_not_depend_on_how_they_stream():
+    whole = [zlib.decompress(warc.member(i, "http://é", p, hashlib.sha256(p).hexdigest(), k, r), wbits=31) for i, p, k, r in ((1, b"a\r\n\r\nb", "response", None), (2, b"", "response", None), (3, b"zz", "revisit", 1))]
+    whole += [whole[0][:-3], whole[0] + b"x", whole[0].replace(b"WARC/1.1", b"W"), b"WARC/1.1\r\nContent-Length: 4\r\nWARC-Type: resource\r\nWARC-Payload-Digest: md5:" + hashlib.md5(b"ab\r\n").hexdigest().encode() + b"\r\n\r\nab\r\n\r\n\r\n"]
+    for data in whole:
+        for step in (1, 2, 3, 7, 50):
+            one = warc.Record()
+            for at in range(0, len(data), step):
+                one.feed(data[at : at + step])
+            assert one.row(None) == warc.record(data, None)
+    assert [warc.record(d, None)[-1] for d in whole] == [None, None, None, "bad length", "bad length", "bad header", None]
+    # Without HTTP the whole block is the payload.
+    assert warc.record(whole[-1], None)[4:8] == (4, hashlib.md5(b"ab\r\n").hexdigest(), b"ab\r\n", "payload")
+
+
+def test_warc_whole_records_survive_damage_around_them():
+    rng = random.Random(6)
+    body = lambda n: rng.randbytes(n)
+    made = lambda i, p: warc.member(i, "u", p, hashlib.sha256(p).hexdigest(), "response", None)
+    for _ in range(60):
+        parts, good = [], []
+        for i in range(6):
+            one = made(i, body(rng.choice((10, 5000, 150_000))))
+            if rng.random() < 0.5:
+                parts.append(one)
+                good.append(i)
+            elif rng.random() < 0.5:
+                parts.append(one[: rng.randrange(20, len(one) - 9)])
+            else:
+                parts.append(bytes(rng.choice((10, 100_000))))
+        rows = warc_rows(b"".join(parts))
+        assert [r[0] for r in rows if r[-1] is None] == good
+
+
+def test_warc_paths_are_those_of_hadoop(spark, tmp_path):
+    sc = spark.sparkContext
+    assert warc.resolved(spark, str(tmp_path)) == f"file:{tmp_path}" and warc.store_of(f"file:{tmp_path}")[1] == str(tmp_path)
+    cluster = SimpleNamespace(conf=spark.conf, sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=sc._jsc, _jvm=sc._jvm))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert warc.resolved(cluster, f"{shared}/w") == f"file:{shared}/w"
+    for path in (str(tmp_path), f"{shared}-other/w"):
+        with pytest.raises(ValueError, match="local disk"):
+            warc.resolved(cluster, path)
+    hadoop = sc._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "hdfs://127.0.0.1:9")
+        assert warc.resolved(spark, "/some/where") == "hdfs://127.0.0.1:9/some/where"
+        assert warc.resolved(spark, f"file:{tmp_path}") == f"file:{tmp_path}"
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    store, folder = warc.store_of("s3a://bucket/some/where?region=eu-west-1&endpoint_override=localhost:9000")
+    assert (store.type_name, folder) == ("s3", "bucket/some/where")
+
+
+def test_warc_fails_where_a_file_is_not_as_written(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"1234")
+    for name, size in (("none", 4), ("a", 5)):
+        with pytest.raises(OSError, match="do not see the same folder"):
+            warc.Writer(str(tmp_path), 1).commit([None, warc.Written([(f"{tmp_path}/{name}.warc.gz", f"{tmp_path}/b.warc.gz", size)])])
+    with pytest.raises(OSError, match="where it was listed"):
+        list(warc.Reader(str(tmp_path), ["page_id"]).read(warc.Files([(f"{tmp_path}/a.warc.gz", 3)])))
+
+
+def test_warc_ties_and_null_ids(spark, tmp_path):
+    same = "p" * 200
+    warc.write(table(spark, [(None, "u", same)] * 3 + [(5, "u", same + "q")] * 2 + [(None, "u", same + "q")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    found = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "w")).collect()]
+    assert sorted(found, key=str) == sorted([(None, 200, "response", None)] * 3 + [(5, 201, "response", None)] * 2 + [(None, 201, "revisit", 5)], key=str)
+
+
 # 4
 
 
