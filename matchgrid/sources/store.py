@@ -38,8 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` made and that nothing reads any more."""
+    """Delete tables that ``stored`` made, or that were derived from one of its tables, and that nothing reads any more."""
     for table in tables:
         context = table.sparkSession.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        path_of = context._jvm.org.apache.hadoop.fs.Path
+        folder = path_of(table.stored_at) if hasattr(table, "stored_at") else path_of(table.inputFiles()[0]).getParent()
+        shared = path_of(shared_dir(table.sparkSession))
+        fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        if fs.makeQualified(folder.getParent()).equals(fs.makeQualified(shared)):
+            fs.delete(folder, True)
