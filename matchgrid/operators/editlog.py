@@ -68,3 +68,35 @@ def difference(base: DataFrame, edited: DataFrame) -> DataFrame:
     corner = lambda c: F.when(F.col("action").isin("add", "move"), tenth("b", c)).alias(c)
     log = rows.select(*keys, "place", "action", *map(corner, BOX), F.coalesce("b.group", "a.group").alias("group"))
     return numbered(log, ["frame", "box_key", "place"], "seq").select("seq", *keys, "action", *fields)
+
+
+def reset(log: DataFrame, frames: DataFrame) -> DataFrame:
+    """The log without the edits of ``frames`` (frame): their boxes are the original detections again.
+
+    Repeated and null frames reset nothing more. Edits without a frame stay.
+    """
+    return log.join(frames.select("frame").distinct(), "frame", "left_anti").select(*log.columns)
+
+
+def redetected(base: DataFrame, log: DataFrame, frames: DataFrame, found: DataFrame, start: int, least: float = 2.0) -> DataFrame:
+    """The log after detecting the boxes of ``frames`` (frame) from ``start`` on anew: (seq, frame, box_key, action, x1..y2, group).
+
+    Edits before ``start`` stay as they are, later ones go, also those of frames that were not looked at. In every frame that was, each box of
+    ``base`` is deleted, and each of ``found`` (frame, place, box, group) that is at least ``least`` wide and high is
+    added, its corners rounded to tenths, under the next key of -1, -2, ... over all frames. The new
+    rows follow on the old ones by frame, deletes by key before adds by place. Frames where nothing is found lose their boxes;
+    what is found in other frames, or has no frame, is left out.
+    """
+    from matchgrid.operators.ranges import numbered
+
+    fields = ["frame", "box_key", "action", *BOX, "group"]
+    kept = log.filter(F.col("frame") < start).select("seq", *fields)
+    looked = frames.filter(F.col("frame") >= start).select("frame").distinct()
+    gone = base.join(looked, "frame", "left_semi").select("frame", "box_key", F.lit("delete").alias("action"), *(F.lit(None).cast("double").alias(c) for c in BOX), "group")
+    whole = found.filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least)).join(looked, "frame", "left_semi")
+    new = numbered(whole.select("frame", "place", *(F.round(c, 1).alias(c) for c in BOX), "group"), ["frame", "place", *BOX, "group"], "n")
+    added = new.select("frame", (-F.col("n")).cast("int").alias("box_key"), F.lit("add").alias("action"), *BOX, "group")
+    order = [F.col("frame"), F.col("action").desc(), F.abs("box_key"), F.col("box_key")]
+    last = kept.agg(F.max("seq")).first()[0] or 0
+    rows = numbered(gone.unionByName(added), order, "seq").select((F.col("seq") + last).alias("seq"), *fields)
+    return kept.unionByName(rows)

@@ -108,6 +108,41 @@ def saved_difference(spark, d):
     return editlog.difference(base, editlog.replay(base, A.edits(spark, d)))
 
 
+@query("k02_reset_boxes", f"""
+WITH {_BASE},
+log AS (SELECT * FROM edits WHERE frame % 10 <> 3),
+mv AS (SELECT frame, box_key, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY frame, box_key ORDER BY seq DESC) AS r FROM log WHERE action = 'move') WHERE r = 1),
+rg AS (SELECT frame, box_key, "group" AS g FROM (SELECT *, row_number() OVER (PARTITION BY frame, box_key ORDER BY seq DESC) AS r FROM log WHERE action = 'reassign') WHERE r = 1),
+ad AS (SELECT frame, box_key, x1, y1, x2, y2, "group", 'added' AS origin FROM (SELECT *, row_number() OVER (PARTITION BY frame, box_key ORDER BY seq DESC) AS r FROM log WHERE action = 'add') WHERE r = 1),
+every AS (SELECT * FROM bx UNION ALL SELECT * FROM ad)
+SELECT e.frame, e.box_key, coalesce(mv.x1, e.x1) AS x1, coalesce(mv.y1, e.y1) AS y1, coalesce(mv.x2, e.x2) AS x2, coalesce(mv.y2, e.y2) AS y2, coalesce(g, "group") AS "group", origin
+FROM every e LEFT JOIN mv USING (frame, box_key) LEFT JOIN rg USING (frame, box_key) WHERE NOT EXISTS (SELECT 1 FROM log x WHERE x.action = 'delete' AND x.frame = e.frame AND x.box_key = e.box_key)""", "det", "edits")
+def reset_boxes(spark, d):
+    """All boxes after the edits, every tenth frame set back to its original detections."""
+    base, log = base_boxes(spark, d), A.edits(spark, d)
+    return editlog.replay(base, editlog.reset(log, log.filter("frame % 10 = 3")))
+
+
+def found_anew(base):
+    """A second detector's boxes: where those of ``base`` are, from too narrow to wide."""
+    key = F.col("box_key")
+    return base.filter(key % 7 != 0).select("frame", key.alias("place"), (F.col("x1") + 0.28).alias("x1"), "y1", (F.col("x1") + 1.53 + key % 4).alias("x2"), "y2", (1 + key % 3).cast("int").alias("group"))
+
+
+@query("k02_redetected_log", f"""
+WITH {_BASE},
+kept AS (SELECT seq, frame, box_key, action, x1, y1, x2, y2, "group" FROM edits WHERE frame < 20),
+found AS (SELECT frame, box_key AS place, x1 + 0.28 AS x1, y1, x1 + 1.53 + box_key % 4 AS x2, y2, 1 + box_key % 3 AS "group" FROM bx WHERE box_key % 7 <> 0 AND frame >= 20),
+ad AS (SELECT frame, -row_number() OVER (ORDER BY frame, place) AS box_key, 'add' AS action, round(x1, 1) AS x1, round(y1, 1) AS y1, round(x2, 1) AS x2, round(y2, 1) AS y2, "group" FROM found WHERE x2 - x1 >= 2 AND y2 - y1 >= 2),
+fresh AS (SELECT frame, box_key, 'delete' AS action, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, "group" FROM bx WHERE frame >= 20 UNION ALL SELECT * FROM ad)
+SELECT * FROM kept UNION ALL
+SELECT (SELECT coalesce(max(seq), 0) FROM kept) + row_number() OVER (ORDER BY frame, action DESC, abs(box_key)) AS seq, frame, box_key, action, x1, y1, x2, y2, "group" FROM fresh""", "det", "edits")
+def redetected_log(spark, d):
+    """The edit log once all frames from 20 on were detected anew."""
+    base = base_boxes(spark, d)
+    return editlog.redetected(base, A.edits(spark, d), base, found_anew(base), 20)
+
+
 def click_log(spark, d):
     """A click log for every customer: the order's key is its place."""
     o, k = A.scan(spark, d, "orders"), F.col("o_orderkey")

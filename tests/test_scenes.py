@@ -87,6 +87,45 @@ def test_replaying_the_difference_gives_the_edited_boxes(spark, sf_dir):
     assert seqs == list(range(1, len(seqs) + 1))
 
 
+LOG = "seq long, frame int, box_key int, action string, x1 double, y1 double, x2 double, y2 double, group int"
+
+
+def test_reset_frames_show_their_detections_again(spark, sf_dir):
+    from matchgrid.plans.joins import base_boxes
+    from matchgrid.sources import adapters as A
+
+    base, log = base_boxes(spark, sf_dir), A.edits(spark, sf_dir)
+    before, was, now = boxes_of(base), boxes_of(editlog.replay(base, log)), boxes_of(editlog.replay(base, editlog.reset(log, base.filter("frame < 10"))))
+    assert now == {k: v for k, v in before.items() if k[0] < 10} | {k: v for k, v in was.items() if k[0] >= 10 or k[0] not in {f for f, _ in before}}
+    odd = spark.createDataFrame([(1, None, 1, "delete", *[None] * 4, 1), (2, 5, 1, "delete", *[None] * 4, 1)], LOG)
+    assert [r.seq for r in editlog.reset(odd, spark.createDataFrame([(5,), (5,), (None,)], "frame int")).collect()] == [1]
+
+
+def test_frames_detected_anew_have_the_new_boxes_only(spark, sf_dir):
+    from matchgrid.plans.joins import base_boxes
+    from matchgrid.plans.scenes import found_anew
+    from matchgrid.sources import adapters as A
+
+    base, log = base_boxes(spark, sf_dir), A.edits(spark, sf_dir)
+    new = editlog.redetected(base, log, base, found_anew(base), 20)
+    was, now = boxes_of(editlog.replay(base, log)), boxes_of(editlog.replay(base, new))
+    assert {k: v for k, v in now.items() if k[0] < 20} == {k: v for k, v in was.items() if k[0] < 20}
+    wanted = sorted((r.frame, r.place, *(round(r[c], 1) for c in editlog.BOX), r.group) for r in found_anew(base).filter("frame >= 20").collect() if r.x2 - r.x1 >= 2 and r.y2 - r.y1 >= 2)
+    later = sorted(((k[0], -k[1], *v) for k, v in now.items() if k[0] >= 20))
+    assert later == [(w[0], i, *w[2:]) for i, w in enumerate(wanted, 1)] and len(later) > 100
+
+
+def test_detecting_anew_in_order(spark):
+    base = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 9.0, 1), (2, 1, 0.0, 0.0, 9.0, 9.0, 1), (2, 0, 0.0, 0.0, 9.0, 9.0, 2), (3, 0, 0.0, 0.0, 9.0, 9.0, 1), (4, 0, 0.0, 0.0, 9.0, 9.0, 1)], BOX)
+    log = spark.createDataFrame([(7, 1, -1, "add", 0.0, 0.0, 9.0, 9.0, 1), (8, 2, 0, "delete", *[None] * 4, 1), (9, 4, 0, "delete", *[None] * 4, 1)], LOG)
+    frames = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "frame int")
+    found = spark.createDataFrame([(2, 1, 1.04, 0.0, 3.04, 2.0, 1), (2, 0, 5.0, 0.0, 6.9, 8.0, 1), (2, 2, 5.0, 5.0, 8.0, 8.0, 3), (1, 0, 0.0, 0.0, 9.0, 9.0, 1), (4, 0, 0.0, 0.0, 9.0, 9.0, 1), (None, 0, 0.0, 0.0, 9.0, 9.0, 1)], "frame int, place int, x1 double, y1 double, x2 double, y2 double, group int")
+    rows = sorted(tuple(r) for r in editlog.redetected(base, log, frames, found, 2).select("seq", "frame", "box_key", "action", "x1", "group").collect())
+    assert rows == [(7, 1, -1, "add", 0.0, 1), (8, 2, 0, "delete", None, 2), (9, 2, 1, "delete", None, 1), (10, 2, -1, "add", 1.0, 1), (11, 2, -2, "add", 5.0, 3), (12, 3, 0, "delete", None, 1)]
+    empty = editlog.redetected(base.limit(0), log.limit(0), frames.limit(0), found.limit(0), 2)
+    assert empty.count() == 0 and empty.columns == ["seq", "frame", "box_key", "action", *editlog.BOX, "group"]
+
+
 def test_difference_logs_each_change_once_and_in_order(spark):
     base = [(1, 0, 10.0, 10.0, 20.0, 20.0, 1), (1, 1, 0.0, 0.0, 5.0, 5.0, 2), (1, 2, 1.0, 1.0, 2.0, 2.0, 1), (2, 0, 3.0, 3.0, 4.0, 4.0, 3)]
     edited = [(1, 0, 11.0, 10.0, 20.0, 20.0, 2), (1, 1, 0.0, 0.0, 5.04, 5.0, 2), (2, 0, 3.0, 3.0, 4.0, 4.0, 1), (2, -1, 7.26, 8.0, 9.0, 10.0, 3)]
