@@ -17,7 +17,8 @@ def exclusive_runs(runs: DataFrame) -> DataFrame:
     live = runs.filter((F.col("logit") > 0) & (F.col("x2") >= F.col("x1"))).select("frame", "y", "object", "x1", "x2", "logit")
     borders = live.select(*line, F.explode(F.array("x1", F.col("x2") + 1)).alias("a")).distinct()
     stretch = borders.withColumn("b", F.lead("a").over(Window.partitionBy(*line).orderBy("a")) - 1).filter("b is not null")
-    inside = stretch.join(live, line).filter((F.col("x1") <= F.col("a")) & (F.col("x2") >= F.col("b")))
+    # Sizes are guessed from before the runs were made, so without the hint all of them would be broadcast.
+    inside = stretch.join(live.hint("merge"), line).filter((F.col("x1") <= F.col("a")) & (F.col("x2") >= F.col("b")))
     won = inside.groupBy(*line, "a", "b").agg(F.max_by("object", F.struct("logit", -F.col("object"))).alias("object"))
     order = Window.partitionBy(*line).orderBy("a")
     goes_on = (F.lag("object").over(order) == F.col("object")) & (F.lag("b").over(order) + 1 == F.col("a"))
