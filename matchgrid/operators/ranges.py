@@ -58,9 +58,11 @@ def carried(rows: DataFrame, order: str, back: dict[str, Column], ahead: dict[st
     after = Window.orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
     summary = [F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_{n}") for n in back] + [F.first(f"_{n}", ignorenulls=True).over(after).alias(f"_{n}") for n in ahead]
     away = parts.groupBy(PART).agg(*edges).select(PART, *summary)
-    past, future = by.rowsBetween(Window.unboundedPreceding, 0 if own else -1), by.rowsBetween(0 if own else 1, Window.unboundedFollowing)
+    # What is ahead is what lies behind in the falling order: a frame up to the partition's end is summed anew for every row.
+    falling = Window.partitionBy(PART).orderBy(F.desc(order))
+    past, future = (w.rowsBetween(Window.unboundedPreceding, 0 if own else -1) for w in (by, falling))
     found = {n: F.coalesce(F.last(c, ignorenulls=True).over(past), f"_{n}") for n, c in back.items()}
-    found |= {n: F.coalesce(F.first(c, ignorenulls=True).over(future), f"_{n}") for n, c in ahead.items()}
+    found |= {n: F.coalesce(F.last(c, ignorenulls=True).over(future), f"_{n}") for n, c in ahead.items()}
     return parts.join(F.broadcast(away), PART).select(*rows.columns, *(c.alias(n) for n, c in found.items()))
 
 
