@@ -1,8 +1,8 @@
 """Exclusive matching and tracking: greedy and optimal, one group at a time.
 
 Matchings are keyed by frame and trackers by clip. Candidate pairs come from
-plain joins; only the sequential choice within a group runs in Python, on the
-small set of a frame's boxes or a clip's detections in frame order.
+plain joins; only the sequential choice within a group runs in Python, on blocks
+of whole frames or a clip's detections in frame order.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
+from matchgrid.operators.blocks import Padded, blocks, in_groups, numbers
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, key: str, distance: Column, tolerance: float, penalty: Column | None = None) -> DataFrame:
@@ -83,14 +85,63 @@ def optimal(cost: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[int]:
     return [index[r, c] for c, r in enumerate(owner.tolist()) if (r, c) in index]
 
 
+def ranked(values: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values, equal ones for equal values."""
+    return np.unique(values.to_numpy(), return_inverse=True)[1].astype(np.int64)
+
+
+def greedy_in_groups(group: np.ndarray, cost: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What greedy() takes of each group, for many groups at once.
+
+    A pair that comes before all others of both its sides is taken; without the pairs of these sides there are next ones, until none is left.
+    """
+    order = np.lexsort((right, left, cost, group))
+    # Sides of different groups are different ones.
+    l, r = (np.unique(group[order] * (side.max(initial=0) + 1) + side[order], return_inverse=True)[1] for side in (left, right))
+    rest, taken = np.arange(len(order)), []
+    while len(rest):
+        a, b = l[rest], r[rest]
+        first_l, first_r = np.full(l.max() + 1, len(order)), np.full(r.max() + 1, len(order))
+        first_l[a[::-1]], first_r[b[::-1]] = rest[::-1], rest[::-1]  # the last one written, the first in the order, stays
+        good = (first_l[a] == rest) & (first_r[b] == rest)
+        taken.append(rest[good])
+        used_l, used_r = np.zeros(l.max() + 1, bool), np.zeros(r.max() + 1, bool)
+        used_l[a[good]], used_r[b[good]] = True, True
+        rest = rest[~used_l[a] & ~used_r[b]]
+    return order[np.concatenate(taken)] if taken else order
+
+
+def optimal_in_groups(group: np.ndarray, cost: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What optimal() takes of each group, solved apart for each set of pairs that are connected by common sides."""
+    l, r = (np.unique(group * (side.max(initial=0) + 1) + side, return_inverse=True)[1] for side in (left, right))
+    label = np.arange(len(cost))
+    while len(cost):
+        least_l, least_r = np.full(l.max() + 1, len(cost)), np.full(r.max() + 1, len(cost))
+        np.minimum.at(least_l, l, label)
+        np.minimum.at(least_r, r, label)
+        now = np.minimum(least_l[l], least_r[r])
+        if (now == label).all():
+            break
+        label = now
+    order = np.argsort(label, kind="stable")
+    begins = np.flatnonzero(np.diff(label[order], prepend=-1))
+    sizes = np.diff(begins, append=len(order))
+    taken = order[begins[sizes == 1]].tolist()
+    for begin, size in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        part = order[begin : begin + size]
+        taken += part[optimal(cost[part], left[part], right[part])].tolist()
+    return np.array(taken, np.int64)
+
+
 def exclusive(pairs: DataFrame, key: str, solver: str = "greedy") -> DataFrame:
     """``pairs`` (key, l, r, cost) cut down to a one-to-one matching per key."""
-    choose = optimal if solver == "optimal" else greedy
+    choose = optimal_in_groups if solver == "optimal" else greedy_in_groups
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return group.iloc[choose(group["cost"].to_numpy(), group["l"].to_numpy(), group["r"].to_numpy())]
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=table.num_rows))
+        return table.take(np.sort(choose(group, numbers(table, "cost"), ranked(table.column("l")), ranked(table.column("r")))))
 
-    return pairs.groupBy(key).applyInPandas(one, pairs.schema)
+    return in_groups(pairs, [key], [], work, pairs.schema)
 
 
 def with_unmatched(matched: DataFrame, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -103,20 +154,24 @@ def with_unmatched(matched: DataFrame, left: DataFrame, right: DataFrame, key: s
 def suppressed(boxes: DataFrame, key: str, own: str, limit: float) -> DataFrame:
     """Greedy non-maximum suppression: by area, a box stays if it overlaps no kept one by more than ``limit``."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        b = group.sort_values(own, kind="stable")
-        x1, y1, x2, y2 = (b[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        area = (x2 - x1) * (y2 - y1)
-        kept: list[int] = []
-        for i in np.argsort(-area, kind="stable").tolist():
-            w = np.minimum(x2[i], x2[kept]) - np.maximum(x1[i], x1[kept])
-            h = np.minimum(y2[i], y2[kept]) - np.maximum(y1[i], y1[kept])
-            both = np.maximum(w, 0) * np.maximum(h, 0)
-            if not np.any(both > limit * np.minimum(area[i], area[kept])):
-                kept.append(i)
-        return b.iloc[sorted(kept)]
-
-    return boxes.groupBy(key).applyInPandas(one, boxes.schema)
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        corners, found = [numbers(table, c) for c in ("x1", "y1", "x2", "y2")], []
+        for first, last in blocks(starts, table.num_rows):
+            pad = Padded(starts, table.num_rows, first, last)
+            x1, y1, x2, y2 = map(pad.of, corners)
+            order = np.argsort(-(x2 - x1) * (y2 - y1), axis=1, kind="stable")  # rows are in the order of own, empty cells are last
+            x1, y1, x2, y2 = (np.take_along_axis(v, order, 1) for v in (x1, y1, x2, y2))
+            area, own_ = (x2 - x1) * (y2 - y1), np.take_along_axis(pad.own, order, 1)
+            kept = np.zeros(own_.shape, bool)
+            for i in range(own_.shape[1]):
+                w = np.minimum(x2[:, i, None], x2[:, :i]) - np.maximum(x1[:, i, None], x1[:, :i])
+                h = np.minimum(y2[:, i, None], y2[:, :i]) - np.maximum(y1[:, i, None], y1[:, :i])
+                both = np.maximum(w, 0) * np.maximum(h, 0)
+                kept[:, i] = own_[:, i] & ~(kept[:, :i] & (both > limit * np.minimum(area[:, i, None], area[:, :i]))).any(1)
+            found.append(np.take_along_axis(pad.at, order, 1)[kept])
+        return table.take(np.concatenate(found))
+
+    return in_groups(boxes, [key], [own], work, boxes.schema)
 
 
 class NearestTracker:
@@ -225,19 +280,20 @@ def chain_merges(units: DataFrame, clip: str, max_gap: int = 30, max_distance: f
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         u = group.sort_values(["first", "unit"], kind="stable").reset_index(drop=True)
-        u["team"] = u["team"].fillna("")
+        team = u["team"].fillna("").to_numpy(str)
+        unit, first, last, sx, sy, ex, ey = (u[c].to_numpy() for c in ("unit", "first", "last", "sx", "sy", "ex", "ey"))
         free, out, root = np.ones(len(u), bool), [], u["component" if "component" in u else "unit"].to_numpy(copy=True)
+        lows, highs = np.searchsorted(first, last + 1), np.searchsorted(first, last + max_gap, "right")
         for i in range(len(u)):
-            gap = u["first"] - u["last"][i]
-            d = np.hypot(u.sx - u.ex[i], u.sy - u.ey[i])
-            own = (u.team == u.team[i]) | (u.team == "") | (u.team[i] == "")
-            good = (gap >= 1) & (gap <= max_gap) & (d <= max_distance) & own & free & (root != root[i])
-            cost = (d + 0.1 * gap).where(good)
+            near = slice(lows[i], highs[i])  # first is in order, so these are all with a gap from 1 to max_gap
+            gap, d = first[near] - last[i], np.hypot(sx[near] - ex[i], sy[near] - ey[i])
+            own = (team[near] == team[i]) | (team[near] == "") | (team[i] == "")
+            good = (d <= max_distance) & own & free[near] & (root[near] != root[i])
             if good.any():
-                j = int(cost.idxmin())
+                j = int(np.where(good, d + 0.1 * gap, np.inf).argmin()) + int(lows[i])
                 free[j] = False
                 root[root == root[j]] = root[i]
-                out.append((u[clip][i], u.unit[i], u.unit[j]))
+                out.append((u[clip][i], unit[i], unit[j]))
         return pd.DataFrame(out, columns=[clip, "a", "b"])
 
     kind = dict(units.dtypes)
