@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions import geometry as G
+from matchgrid.operators.blocks import CELLS, Padded, blocks, in_groups, numbers
 from matchgrid.operators.temporal import range_join
 
 
@@ -76,17 +79,40 @@ def merge_candidates(unit: DataFrame, max_gap: int = 72, max_distance: float = 1
     return good.select(c("a_unit").alias("a_id"), c("b_unit").alias("b_id"), gap.alias("gap"), "end_dist", "pred_dist", "speed", score.alias("score"))
 
 
-def nearest_site(sites: DataFrame, own: str, columns: int, rows: int, step_x: float, step_y: float) -> DataFrame:
-    """(frame, px, py, site): the nearest of a frame's players for every cell of a grid, in every frame.
+def best_of_grid(sites: DataFrame, key: str, own: str, columns: int, rows: int, at, score) -> DataFrame:
+    """(key, px, py, site, value): for every cell of a grid the ``own`` of the key's row with the least score, the smallest one on a tie.
 
-    A frame has at most a few dozen players, which travel in one array.
+    ``sites`` has key, own, x and y; those without a place do not count. ``at`` makes places of numbers of columns and of rows, ``score``
+    is of the differences in x and y. A key's rows meet its cells in one array.
     """
-    players = sites.groupBy("frame").agg(F.collect_list(F.struct(F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"), F.col(own).alias("site"))).alias("players"))
-    grid = players.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(columns * rows - 1))))
-    grid = grid.select("frame", "players", (F.col("cell") % columns).cast("int").alias("px"), F.floor(F.col("cell") / columns).cast("int").alias("py"))
-    x, y = F.col("px") * step_x, F.col("py") * step_y
-    ranked = F.transform("players", lambda s: F.struct(((x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])).alias("d2"), s["site"].alias("site")))
-    return grid.select("frame", "px", "py", F.array_min(ranked)["site"].alias("site"))
+    cells = columns * rows
+    px, py = np.tile(np.arange(columns, dtype=np.int32), rows), np.repeat(np.arange(rows, dtype=np.int32), columns)
+    cx, cy = (v.astype(float)[:, None] for v in at(px, py))
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        place, sites_, values = [numbers(table, c) for c in ("x", "y")], [], []
+        for first, last in blocks(starts, table.num_rows, most=CELLS // cells):
+            pad = Padded(starts, table.num_rows, first, last)
+            x, y = (pad.of(v)[:, None, :] for v in place)
+            found = score(cx - x, cy - y)
+            found[np.isnan(found)] = np.inf
+            best = found.argmin(2)  # rows are in the order of own
+            values.append(np.take_along_axis(found, best[:, :, None], 2).ravel())
+            sites_.append(np.take_along_axis(pad.at, best, 1).ravel())
+        n = len(starts)
+        keys, site = table.column(key).take(np.repeat(starts, cells)), table.column(own).take(np.concatenate(sites_))
+        return pa.table([keys, np.tile(px, n), np.tile(py, n), site, np.concatenate(values)], [key, "px", "py", "site", "value"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
+    known = sites.select(key, own, "x", "y").dropna(subset=["x", "y"])
+    return in_groups(known, [key], [own], work, f"{key} {kinds[key]}, px int, py int, site {kinds[own]}, value double")
+
+
+def nearest_site(sites: DataFrame, own: str, columns: int, rows: int, step_x: float, step_y: float) -> DataFrame:
+    """(frame, px, py, site): the nearest of a frame's players for every cell of a grid, in every frame."""
+    placed = sites.select("frame", own, F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"))
+    found = best_of_grid(placed, "frame", own, columns, rows, lambda px, py: (px * step_x, py * step_y), lambda dx, dy: dx * dx + dy * dy)
+    return found.drop("value")
 
 
 def shared_frames(tracks: DataFrame, own: str, limit: float) -> DataFrame:
