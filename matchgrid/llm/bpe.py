@@ -12,8 +12,9 @@ that is compatible with the last token of the prefix before it is stored.
 Following these back from the end of the word emits the ids.
 
 Two tokens are compatible if no merge across their border comes before the
-merges that build them. Compatibility is remembered by pair, encodings by word,
-in dictionaries of a bounded size.
+merges that build them. Compatibility is remembered by pair, encodings by what
+stands between white space, in tables of a bounded size. The words of a slice that are not
+remembered go through their prefixes together, as arrays.
 
 Very long texts are encoded whole, a slice of texts at a time. Null or empty text has no ids and decodes to the empty string. Rows are
 independent of each other, so repeated rows and ties need no rule. An empty
@@ -37,8 +38,12 @@ from matchgrid.llm.common import map_text, tidy
 
 END = 256
 SYMBOLS = 257
-#: Words (in each of two halves) and pairs that a worker remembers.
+#: Chunks between white space (in each of two halves, beyond those of a slice) and pairs that a worker remembers.
 REMEMBERED = 150_000
+PAIRS = 1 << 19
+#: Words of more bytes are encoded one by one, the others in blocks of this many.
+LONG = 48
+BLOCK = 1 << 14
 
 # Fixed values of the vocabulary's rules: its word pattern, with Unicode white
 # space written out as the library reads it.
@@ -147,6 +152,40 @@ def load(path: str) -> dict:
     }
 
 
+class Table:
+    """Whole numbers from 0 on (int64) to small ones, open addressing in two arrays; -1 where there is none."""
+
+    def __init__(self, room: int):
+        self.room, self.bits = room, max(4, (2 * room - 1).bit_length())
+        self.keys, self.values, self.size = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32), 0
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place(keys)
+        there = self.keys[at]
+        out = self.values[at]
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while rest.size:
+            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[rest]]
+            out[rest] = self.values[at[rest]]
+            rest = rest[(there != keys[rest]) & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that the table does not hold."""
+        self.size += len(keys)
+        at = self.place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of keys for one place the last one stays
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            at, keys, values = (at[~won] + 1) & (len(self.keys) - 1), keys[~won], values[~won]
+
+
 class Encoder:
     """Encodes words and decodes ids with the arrays of load()."""
 
@@ -168,7 +207,28 @@ class Encoder:
         self.names, self.special = v["names"], v["special"]
         self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.link)
         self.pairs: dict[int, bool] = {}
-        self.words = Words(self)
+        self.arrays(v)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def arrays(self, v: dict) -> None:
+        """What words() reads: the edges, and for each state its tokens, longest first, as a chain of entries."""
+        import regex
+
+        self.find = regex.compile(WORDS).findall
+        self.goto = Table(len(v["edge_keys"]))
+        self.goto.put(v["edge_keys"], v["edge_to"])
+        self.known = Table(PAIRS)
+        self.links, self.lengths = v["link"], v["length"]
+        order = np.lexsort((-v["sizes"], v["owner"]))
+        owner, n = v["owner"][order], len(order)
+        self.entry_size, self.entry_token = v["sizes"][order], v["ids"][order]
+        own = np.full(len(self.link), -1, np.int32)
+        own[owner[::-1]] = np.arange(n - 1, -1, -1)
+        under = np.array(self.up, np.int32)
+        below = np.where(under >= 0, own[under], -1)
+        self.first = np.where(own >= 0, own, below)
+        self.follow = np.where(np.append(owner[1:] == owner[:-1], False), np.arange(1, n + 1), below[owner])
 
     def border(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at the token's border (side 1: right) while it is built, and until which merge."""
@@ -238,23 +298,97 @@ class Encoder:
             end = start[end]
         return out[::-1]
 
+    def fits(self, pairs: np.ndarray) -> np.ndarray:
+        """compatible() of each pair (one token << 32 | the next)."""
+        found = self.known.get(pairs)
+        new = np.unique(pairs[found < 0])
+        if new.size:
+            if self.known.size + new.size > self.known.room:
+                self.known = Table(max(PAIRS, new.size))
+            self.known.put(new, np.array([self.compatible(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()], np.int32))
+            rest = np.flatnonzero(found < 0)
+            found[rest] = self.known.get(pairs[rest])
+        return found > 0
+
+    def block(self, words: list[bytes]) -> list[bytes]:
+        """word() of many words of at most LONG bytes, as packed ids: all of them go on by one symbol at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        ends = sizes[order] + 1
+        count, longest = len(words), int(ends[0])
+        symbols = np.full((longest, count), END, np.int64)
+        at = np.repeat(np.arange(count), ends - 1)
+        symbols[np.arange(len(at)) - np.repeat(np.cumsum(ends - 1) - (ends - 1), ends - 1), at] = np.frombuffer(b"".join(words[i] for i in order.tolist()), np.uint8)
+        last, step = np.full((longest + 1, count), -1, np.int64), np.zeros((longest + 1, count), np.int64)
+        last[0] = 0
+        state, size = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        for end in range(1, longest + 1):
+            alive = int(np.searchsorted(-ends, -end, side="right"))  # words are in falling order of their length
+            now, symbol, long = state[:alive], symbols[end - 1, :alive], size[:alive]
+            to = self.goto.get(now * SYMBOLS + symbol)
+            lost = np.flatnonzero(to < 0)
+            while lost.size:
+                now[lost] = self.links[now[lost]]
+                long[lost] = self.lengths[now[lost]]
+                to[lost] = self.goto.get(now[lost] * SYMBOLS + symbol[lost])
+                lost = lost[to[lost] < 0]
+            now[:] = to
+            long += 1
+            who, entry = np.arange(alive), self.first[now]
+            who, entry = who[entry >= 0], entry[entry >= 0]
+            while who.size:
+                n, token = self.entry_size[entry], self.entry_token[entry].astype(np.int64)
+                good = n <= long[who]
+                before = last[np.where(good, end - n, 0), who]
+                good &= before >= 0
+                ask = np.flatnonzero(good & (n < end))
+                good[ask] = self.fits(before[ask] << 32 | token[ask])
+                last[end, who[good]], step[end, who[good]] = token[good], n[good]
+                who, entry = who[~good], self.follow[entry[~good]]
+                who, entry = who[entry >= 0], entry[entry >= 0]
+        back, every, who, at = [], np.zeros(count, np.int64), np.arange(count), ends.copy()
+        while who.size:
+            back.append((who, last[at, who]))
+            every[who] += 1
+            at -= step[at, who]
+            who, at = who[at > 0], at[at > 0]
+        stops = np.cumsum(every)
+        ids = np.empty(int(stops[-1]), np.int32)
+        for k, (who, tokens) in enumerate(back):
+            ids[stops[who] - 1 - k] = tokens
+        raw, out, cuts = ids.tobytes(), [b""] * count, (4 * np.append(0, stops)).tolist()
+        for k, i in enumerate(order.tolist()):
+            out[i] = raw[cuts[k] : cuts[k + 1]]
+        return out
 
-class Words(dict):
-    """The packed ids of words seen lately: a full half takes the place of the older one."""
-
-    def __init__(self, coder: Encoder):
-        super().__init__()
-        self.coder, self.older = coder, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = array("i", self.coder.word(word)).tobytes()
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def chunks(self, text: str) -> list[str]:
+        """Lower-case text in parts between which no word lies; four separators are no white space to the library, so there it is cut into words."""
+        return self.find(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The packed ids of chunks (and perhaps others): a full half takes the place of the older one."""
+        if len(self.recent) >= REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+
+        def new(texts: set[str]) -> set[str]:
+            missing = texts.difference(recent)
+            again = {t: ids for t in missing if (ids := older.get(t)) is not None}
+            recent.update(again)
+            return missing.difference(again)
+
+        fresh = new(chunks)
+        plain = {c for c in fresh if c.isascii() and c.isalpha()}  # words as they are
+        cut = {c: self.find(c) for c in fresh.difference(plain)}
+        words = new({w for own in cut.values() for w in own}).union(plain)
+        coded = [(w, w.encode()) for w in words]
+        short = [(w, b) for w, b in coded if len(b) <= LONG]
+        for at in range(0, len(short), BLOCK):
+            part = short[at : at + BLOCK]
+            recent.update(zip((w for w, _ in part), self.block([b for _, b in part]), strict=True))
+        recent.update((w, array("i", self.word(w)).tobytes()) for w, b in coded if len(b) > LONG)
+        recent.update((c, b"".join(map(recent.__getitem__, own))) for c, own in cut.items() if c not in recent)
+        return recent
 
 
 def lower(text: str) -> str:
@@ -284,16 +418,17 @@ def encode(df: DataFrame, path: str, column: str = "text", decoded: bool = False
         import regex
 
         coder = encoder_of(kept)
-        find = regex.compile(WORDS).findall
-        packed = coder.words.__getitem__
+        special = {name: np.int32(i).tobytes() for name, i in coder.special.items()}
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(coder.special, key=len, reverse=True))) + ")").split
 
-        def ids_of(text: str) -> bytes:
-            parts = cut(text) if any(s in text for s in coder.special) else [text]
-            return b"".join(np.int32(coder.special[p]).tobytes() if p in coder.special else b"".join(map(packed, find(lower(p)))) for p in parts)
+        def parts_of(text: str) -> list[bytes | list[str]]:
+            parts = cut(text) if any(s in text for s in special) else [text]
+            return [special[p] if p in special else coder.chunks(lower(p)) for p in parts]
 
         def call(texts):
-            each = [ids_of(t) if t else b"" for t in texts]
+            parts = [parts_of(t) if t else [] for t in texts]
+            packed = coder.learn(set().union(*(p for own in parts for p in own if isinstance(p, list)))).__getitem__
+            each = [b"".join(p if isinstance(p, bytes) else b"".join(map(packed, p)) for p in own) for own in parts]
             ends = np.cumsum([0] + [len(p) // 4 for p in each])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
             return [ids, [joined(coder.names, p) for p in each]] if decoded else [ids]

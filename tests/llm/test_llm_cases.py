@@ -679,6 +679,43 @@ def test_bpe_cases(spark):
     assert bpe.digests(df.limit(0), bpe.vocabulary_path()).count() == 0
 
 
+def test_bpe_new_words_go_together(coder, monkeypatch):
+    """Short words cost no call of their own, and chunks, separators that are no white space, long words and small tables give what each word alone gives."""
+    from array import array
+
+    import regex
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    parts = ["the", "relyan", "Σίσυφος", "don't", "'red", "!'s", "über", "日本", "a\x1cb", "\x1f's", "x" * 60, "ab" * 23, "é" * 24, "--", "7", "th́e", "ﬁ", ".", "🙂🙂"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", " ", "\x1d", "\x85"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    find = regex.compile(bpe.WORDS).findall
+    want = [b"".join(array("i", coder.word(w)).tobytes() for w in find(bpe.lower(t))) for t in texts]
+    alone, word = [], coder.word
+    monkeypatch.setattr(coder, "word", lambda w: alone.append(w) or word(w))
+    monkeypatch.setattr(bpe, "BLOCK", 50)
+    for room, pairs in ((bpe.REMEMBERED, bpe.PAIRS), (40, 30)):
+        monkeypatch.setattr(bpe, "REMEMBERED", room)
+        monkeypatch.setattr(bpe, "PAIRS", pairs)
+        coder.recent, coder.older, coder.known = {}, {}, bpe.Table(pairs)
+        found = []
+        for at in range(0, len(texts), 30):
+            cut = [coder.chunks(bpe.lower(t)) for t in texts[at : at + 30]]
+            packed = coder.learn({c for own in cut for c in own})
+            found += [b"".join(packed[c] for c in own) for own in cut]
+        assert found == want
+        assert all(len(w.encode()) > bpe.LONG for w in alone)
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    assert [memoryview(b).cast("i").tolist() for b in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_split_at_white_space_is_the_library_s():
+    import regex
+
+    space = regex.compile(f"[{bpe.SPACE}]")
+    assert [i for i in range(0x110000) if bool(space.match(chr(i))) != chr(i).isspace()] == [0x1C, 0x1D, 0x1E, 0x1F]
+
+
 def test_other_vocabulary_rules_are_refused():
     import public_tokenizers
 
