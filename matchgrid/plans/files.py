@@ -55,5 +55,5 @@ def label_files(spark, d):
     """The training set's label files as they are read back."""
     path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
     labels.write_dataset(A.detections(spark, d), path)
-    files = spark.read.text(f"{path}/labels/*/*.txt", wholetext=True).withColumn("name", F.input_file_name())
-    return files.select(F.regexp_extract("name", "labels/([a-z]+)/", 1).alias("split"), F.regexp_extract("name", "[^/]+$", 0).alias("file"), (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("n"), F.md5("value").alias("labels"))
+    files = labels.read_dataset(spark, path)
+    return files.select("split", "file", (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("n"), F.md5("value").alias("labels"))

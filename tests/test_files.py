@@ -66,3 +66,19 @@ def test_a_job_that_fails_leaves_no_labels(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         labels.write_dataset(broken, f"{tmp_path}/set")
     assert not list(tmp_path.rglob("*.txt")) and not list(tmp_path.rglob("_staging*"))
+
+
+def test_the_driver_neither_moves_nor_lists_label_files(spark, tmp_path):
+    boxes = spark.createDataFrame([(f, 1, 0.0, 0.0, 1.0, 1.0) for f in range(30)], BOXES)
+    writer = labels.LabelWriter(f"file:{tmp_path}/direct")
+    rows = spark.createDataFrame([(f, "val" if f > 25 else "train", "0 1") for f in range(30)], labels.SCHEMA).toArrow().to_batches()
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))  # an attempt that is lost, and the one that counts
+    assert len(str(first)) < 200 and first.files == again.files == 30
+    writer.commit([again, None])
+    assert len(list((tmp_path / "direct" / "labels").rglob("*.txt"))) == 30 and not list((tmp_path / "direct").glob("_staging*"))
+    labels.write_dataset(boxes, f"{tmp_path}/set")
+    for folder in ("direct", "set"):
+        found = labels.read_dataset(spark, f"{tmp_path}/{folder}")
+        sent = {f"{r.split}/{r.file}": r.value for r in found.collect()}
+        assert sent == {p.relative_to(tmp_path / folder / "labels").as_posix(): p.read_text() for p in (tmp_path / folder / "labels").rglob("*.txt")} and len(sent) == 30
+        assert found.rdd.getNumPartitions() <= 8
