@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators.temporal import as_of
+from matchgrid.sources.store import stored
 
 #: The nested document of identity edits.
 EDIT_SCHEMA = "cuts map<string,array<int>>, merges array<array<array<int>>>, names map<string,string>, frame_labels map<string,string>, geom map<string,array<double>>"
 
 
 def edit_tables(documents: DataFrame, column: str, order: str | None = None) -> dict[str, DataFrame]:
-    """Identity edit documents as flat tables: cuts, merges, names (with their place, by ``order`` of the documents), frame labels and geometry."""
-    doc = documents.select(F.from_json(column, EDIT_SCHEMA).alias("d"), F.lit(0) if order is None else F.col(order)).toDF("d", "_doc").select("d.*", "_doc")
+    """Identity edit documents as flat tables: cuts, merges, names (with their place, by ``order`` of the documents), frame labels and geometry.
+
+    The documents are parsed once, into the shared folder; each table reads its own column of that.
+    """
+    parsed = documents.select(F.from_json(column, EDIT_SCHEMA).alias("d"), F.lit(0) if order is None else F.col(order)).toDF("d", "_doc")
+    doc = stored(parsed.select("d.*", "_doc"), "edits")
     pair = F.col("p")
     key = F.split("k", "_")
     return {
@@ -51,10 +56,11 @@ def identified(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     roots = components(merges, "a", "b").select(F.col("v").alias("_node"), F.col("root").alias("_root"))
     rooted = lambda df: df.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     named = rooted(tables["names"].withColumn("_node", node(F.col("tid"), F.col("cut")))).groupBy("_root").agg(F.min_by("name", "place").alias("name"))
-    found = rooted(placed)
+    # Written once: the numbering below reads it several times (to draw bounds, to write, for the result).
+    found = stored(rooted(placed).drop("_node"), "identified")
     sizes = found.groupBy("_root").agg((-F.count("*")).alias("_n"), F.min("frame").alias("_first"))
     players = numbered(sizes, ["_n", "_first", "_root"], "player_id").select("_root", "player_id")
-    return found.join(players, "_root").join(named, "_root", "left").withColumn("name", F.coalesce("name", F.lit(""))).drop("_root", "_node")
+    return found.join(players, "_root").join(named, "_root", "left").withColumn("name", F.coalesce("name", F.lit(""))).drop("_root")
 
 
 def assigned(log: DataFrame) -> DataFrame:
